@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, simhash, toxicity
+from . import language, packing, simhash, toxicity, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +19,10 @@ def over(name: str, fn: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op2_language_id": over("documents", language.language_query),
+        "op3_rotated_code_search": over("embeddings", vectors.neighbours_query),
         "op5_toxicity": lambda spark, sf_dir: toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op6_simhash_dedup": over("documents", simhash.simhash_query),
+        "op7_embedding_dedup": over("embeddings", vectors.near_vectors_query),
         "op10_packing": over("documents", packing.packing_query),
     }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, simhash, toxicity, vectors
+from . import chat, language, licenses, packing, simhash, toxicity, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,9 +23,11 @@ def queries() -> dict[str, Query]:
         "op5_toxicity": lambda spark, sf_dir: toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op6_simhash_dedup": over("documents", simhash.simhash_query),
         "op7_embedding_dedup": over("embeddings", vectors.near_vectors_query),
+        "op8_license_scan": over("documents", licenses.license_query),
+        "op9_chat_format": over("conversations", chat.chat_query),
         "op10_packing": over("documents", packing.packing_query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_scan": licenses.license_sql(), "op9_chat_format": chat.CHAT_SQL}

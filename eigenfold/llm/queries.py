@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, licenses, packing, simhash, toxicity, vectors
+from . import chat, html_extract, language, licenses, packing, simhash, toxicity, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def over(name: str, fn: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_extract": over("pages", html_extract.html_query),
         "op2_language_id": over("documents", language.language_query),
         "op3_rotated_code_search": over("embeddings", vectors.neighbours_query),
         "op5_toxicity": lambda spark, sf_dir: toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),

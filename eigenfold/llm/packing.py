@@ -30,53 +30,112 @@ FINEST = 64
 END = 1
 
 
+class Numbered(dict):
+    """Numbers its keys from 0 as they are first looked up; ``fresh`` lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
+
+
 class WordIds:
     """Token ids of texts, by way of the ids of their parts between white space.
 
     White space always ends a token of this vocabulary and leaves no id, so that a
-    text's ids are those of its parts in a row. Parts already met are kept, at most ``most`` of them.
+    text's ids are those of its parts in a row; so does the border between letters and the
+    punctuation after them. Parts already met are kept, until there are ``most`` of them.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.clear()
-        found = [self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False) for at in range(0, len(words), 20_000)]
-        lists = [e.ids for part in found for e in part]
-        base = len(self.known)
-        self.known.update(zip(words, range(base, base + len(words))))
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))])
+        self.known = Numbered()
+        self.starts, self.lengths, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(8192, np.uint32), 0
+
+    def _store(self, numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        need = len(self.known)
+        if need > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * need), np.resize(self.lengths, 2 * need)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
+        self.starts[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[numbers] = lengths
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered parts in a row, and each one's count."""
+        start, n = self.starts[numbers], self.lengths[numbers]
+        end = np.cumsum(n, dtype=np.int64)
+        return self.ids[np.repeat(start - (end - n), n) + np.arange(end[-1] if len(end) else 0)], n
+
+    def _plain(self, words: list[str]) -> None:
+        """Learns words one by one."""
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        lists = [e.ids for e in found]
+        self._store(np.array([self.known[w] for w in words]), np.fromiter(map(len, lists), np.int64, len(lists)), np.fromiter((i for x in lists for i in x), np.uint32))
+
+    def _letters(self, words: list[str], run: int = 200) -> None:
+        """Learns words of letters, encoded together: each ends at its last token."""
+        runs = [words[at : at + run] for at in range(0, len(words), run)]
+        odd: list[str] = []
+        for part, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(self.ends[ids])
+            if len(at) == len(part) and at[-1] == len(ids) - 1:
+                self._store(np.array([self.known[w] for w in part]), np.diff(at, prepend=-1), ids)
+            else:
+                odd += part
+        if odd:
+            self._plain(odd)
+
+    def _learn(self) -> None:
+        fresh, self.known.fresh = self.known.fresh, []
+        letters, plain, both = [], [], []
+        for w in fresh:
+            if w.isalpha():
+                letters.append(w)
+            elif (stem := w.rstrip(TAIL)).isalpha() and stem.lower().isalpha():  # a few capitals become a letter and a mark
+                both.append((w, stem, w[len(stem) :]))
+            else:
+                plain.append(w)
+        pieces = [x for _, stem, tail in both for x in (self.known[stem], self.known[tail])]
+        fresh, self.known.fresh = self.known.fresh, []
+        for w in fresh:
+            (letters if w.isalpha() else plain).append(w)
+        for at in range(0, len(letters), 20_000):
+            self._letters(letters[at : at + 20_000])
+        for at in range(0, len(plain), 20_000):
+            self._plain(plain[at : at + 20_000])
+        if both:
+            ids, n = self._gather(np.array(pieces))
+            self._store(np.array([self.known[w] for w, _, _ in both]), n[::2] + n[1::2], ids)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null is empty."""
+        if len(self.known) > self.most:
+            self.clear()
         parts = [(SPACE.split(t) if ODD.search(t) else t.split()) if t else [] for t in texts]
-        fresh = {w for p in parts for w in p if w not in self.known}
-        if fresh:
-            fresh = sorted(fresh)
-            if len(self.known) + len(fresh) > self.most:
-                fresh = sorted({w for p in parts for w in p})
-            self._learn(fresh)
         look = self.known.__getitem__
-        out = []
-        for p in parts:
-            w = np.fromiter(map(look, p), np.int64, len(p))
-            start, n = self.starts[w], self.starts[w + 1] - self.starts[w]
-            shift = np.repeat(start - (np.cumsum(n) - n), n)
-            out.append(self.ids[shift + np.arange(len(shift))])
-        return out
+        numbers = [np.fromiter(map(look, p), np.int64, len(p)) for p in parts]
+        if self.known.fresh:
+            self._learn()
+        return [self._gather(n)[0] for n in numbers]
 
 
+#: Punctuation that stands as a token of its own behind letters.
+TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: White space as the vocabulary's normaliser knows it; Python's also has U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD = re.compile("[\x1c-\x1f]")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_extract, language, licenses, packing, simhash, toxicity, vectors
+from . import chat, html_extract, language, licenses, packing, pieces, simhash, toxicity, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op1_html_extract": over("pages", html_extract.html_query),
         "op2_language_id": over("documents", language.language_query),
         "op3_rotated_code_search": over("embeddings", vectors.neighbours_query),
+        "op4_piece_sampling": over("documents", pieces.pieces_query),
         "op5_toxicity": lambda spark, sf_dir: toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op6_simhash_dedup": over("documents", simhash.simhash_query),
         "op7_embedding_dedup": over("embeddings", vectors.near_vectors_query),

@@ -134,7 +134,10 @@ def _slp(t: Nonlinear, k: complex, x: np.ndarray, tol: float, most: int) -> tupl
     for it in range(1, most + 1):
         a, b = t.at(k), t.slope(k)
         if t.n <= DENSE_ROWS:
-            mu, y = np.linalg.eig(np.linalg.solve(a.dense() + 0j, b.dense()))
+            try:
+                mu, y = np.linalg.eig(np.linalg.solve(a.dense() + 0j, b.dense()))
+            except np.linalg.LinAlgError:  # k is a value to the last digit
+                return k, np.linalg.svd(a.dense())[2][-1].conj(), it, True
             i = int(np.abs(mu).argmax())
             mu, x = 1 / mu[i], y[:, i]
         else:

@@ -11,6 +11,7 @@ stars instead of pairs, nothing left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -79,41 +80,57 @@ def partition_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def allocate(cost: list[list[float]], distance: int) -> list[int]:
-    """Thresholds from -1 that sum to ``distance - parts + 1`` at the least total cost;
+def allocate(cost: list[list[float]], distance: int, parts: int) -> list[int]:
+    """Thresholds from -1 to ``distance`` that sum to ``distance - parts + 1`` at the least total cost;
     ``cost[k][t + 1]`` is that of threshold t in partition k."""
-    parts = len(cost)
-    want = distance + 1  # of thresholds plus one
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}  # by the thresholds' sum so far
     for k in range(parts):
         new: dict[int, tuple[float, list[int]]] = {}
-        for used, (c, ts) in best.items():
-            for t in range(-1, want - used):
+        for total, (c, ts) in best.items():
+            for t in range(-1, distance + 1):
                 x = (c + cost[k][t + 1], [*ts, t])
-                if used + t + 1 not in new or x < new[used + t + 1]:
-                    new[used + t + 1] = x
+                if total + t not in new or x < new[total + t]:
+                    new[total + t] = x
         best = new
-    return best[want][1]
-
-
-def estimated_costs(sample: np.ndarray, groups: list[list[int]], distance: int, total: int) -> list[list[float]]:
-    """Candidates (pairs of the sample within each threshold on a partition, scaled up to all
-    fingerprints) plus the values to look up."""
-    few = sample[:1500]
-    scale = (total / max(len(few), 1)) ** 2
+    return best[distance - parts + 1][1]
+
+
+def estimated_costs(sample: np.ndarray, groups: list[list[int]], distance: int, total: int, near: int = 12, key_cost: float = 4.0) -> list[list[float]]:
+    """Candidates by threshold (from -1) in each partition: the pairs of the sample within it, scaled up to all
+    fingerprints, plus ``key_cost`` for each value that is looked up. Pairs within ``near`` bits are
+    left out: copies meet under any partition, and their number does not grow with the square."""
+    found = np.zeros((len(groups), distance + 1))
+    masks = [np.uint64(sum(1 << b for b in g)) for g in groups]
+    for at in range(0, len(sample), 500):
+        x = sample[at : at + 500, None] ^ sample[None, :]
+        far = np.bitwise_count(x) > near
+        for k, m in enumerate(masks):
+            found[k] += np.bincount(np.bitwise_count(x & m)[far], minlength=distance + 1)[: distance + 1]
+    scale = (total / max(len(sample), 1)) ** 2 / 2
     costs = []
-    for g in groups:
-        mask = np.uint64(sum(1 << b for b in g))
-        v = few & mask
-        d = np.bitwise_count(v[:, None] ^ v[None, :]) if len(few) else np.zeros((0, 0))
+    for g, n in zip(groups, found):
         row = [0.0]
         for t in range(distance + 1):
-            probes = sum(len(list(combinations(range(len(g)), i))) for i in range(t + 1))
-            row.append(float((d <= t).sum() / 2 * scale + total * probes))
+            probes = sum(math.comb(len(g), i) for i in range(t + 1)) + (t > 0)
+            row.append(float(n[: t + 1].sum() * scale + total * probes * key_cost))
         costs.append(row)
     return costs
 
 
+def plan(sample: np.ndarray, distance: int, total: int) -> tuple[list[list[int]], list[int]]:
+    """Partitions and thresholds of the least estimated cost, over numbers of partitions up to ``distance + 1``:
+    few fingerprints are told apart by short values, many need longer ones and more look-ups."""
+    best = None
+    for parts in range(2, distance + 2):
+        groups = partition_bits(sample, parts)
+        costs = estimated_costs(sample, groups, distance, total)
+        thresholds = allocate(costs, distance, parts)
+        cost = sum(c[t + 1] for c, t in zip(costs, thresholds))
+        if best is None or cost < best[0]:
+            best = (cost, groups, thresholds)
+    return best[1], best[2]
+
+
 def flips(bits: list[int], most: int) -> list[int]:
     """Masks of up to ``most`` of ``bits``, as signed longs."""
     masks = [sum(1 << b for b in c) for n in range(most + 1) for c in combinations(bits, n)]
@@ -124,7 +141,7 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def links(unique: DataFrame, distance: int = 2, parts: int = 3, crowd: int = 48, sample_rows: int = 4000) -> DataFrame:
+def links(unique: DataFrame, distance: int = 2, crowd: int = 48, sample_rows: int = 8000) -> DataFrame:
     """Edges (a, b) between different fingerprints ``fp`` of ``unique``, as many as join all that
     are linked within ``distance`` bits (at most 2) into one component.
 
@@ -138,8 +155,7 @@ def links(unique: DataFrame, distance: int = 2, parts: int = 3, crowd: int = 48,
     drawn = unique.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
     sample = np.array(sorted(r[0] for r in drawn.select("fp").collect()), np.int64).view(np.uint64)
     sample = np.random.default_rng(0).permutation(sample)
-    groups = partition_bits(sample, parts)
-    thresholds = allocate(estimated_costs(sample, groups, distance, total), distance)
+    groups, thresholds = plan(sample, distance, total)
     rows = []
     for k, (g, t) in enumerate(zip(groups, thresholds)):
         if t < 0:

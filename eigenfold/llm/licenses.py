@@ -1,7 +1,7 @@
 """Licence scan by a positional index of rare words, with DataFrame functions only.
 
 Templates are word sequences of licence notices. The index has, for each template word, its postings (template, position). Of each
-file, the licence words of the highest inverse document frequency are looked up;
+file, the words of each licence with the highest inverse document frequency are looked up;
 postings that agree on the relative position (file position less template position) are intersected, and a
 placement of a template that at least two rare words agree on is verified: all its mandatory key
 phrases have to stand there word by word. Files without a licence word are read once and not looked up.
@@ -30,7 +30,7 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
 ]
-RARE = 6
+RARE = 4
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()} | {w for p in PHRASES for w in p.split()})
 #: Every phrase and every template has one of these, so that a file without them has no place of either.
 GATES = ["license", "cc by", "granted free of charge", "redistribution and use"]
@@ -103,11 +103,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     lookup = template.join(F.broadcast(idf), template.tw == idf.w, "left").select("t", "label", "k", "tw", "must", F.coalesce("idf", F.log(F.lit(2.0))).alias("idf"))
     lookup = checkpointed(lookup.withColumn("full", F.sum("idf").over(W.partitionBy("t"))).withColumn("musts", F.sum(F.col("must").cast("int")).over(W.partitionBy("t"))))
 
-    # the file's rarest licence words, their postings, and the placements that two of them agree on
-    own = placed.select("row", "w").distinct().join(F.broadcast(lookup.select(F.col("tw").alias("w"), "idf").distinct()), "w")
-    rare = own.withColumn("rank", F.row_number().over(W.partitionBy("row").orderBy(F.desc("idf"), "w"))).where(F.col("rank") <= RARE).select("row", "w")
+    # the file's rarest words of each licence, their postings, and the placements that two of them agree on
+    own = placed.select("row", "w").distinct().join(F.broadcast(lookup.select(F.col("tw").alias("w"), "t", "idf").distinct()), "w")
+    rare = own.withColumn("rank", F.row_number().over(W.partitionBy("row", "t").orderBy(F.desc("idf"), "w"))).where(F.col("rank") <= RARE).select("row", "w", "t")
     votes = (
-        placed.join(rare, ["row", "w"]).join(F.broadcast(lookup.select(F.col("tw").alias("w"), "t", "k")), "w")
+        placed.join(rare, ["row", "w"]).join(F.broadcast(lookup.select(F.col("tw").alias("w"), "t", "k")), ["w", "t"])
         .groupBy("row", "t", (F.col("p") - F.col("k")).alias("o")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     )
     wanted = votes.join(F.broadcast(lookup), "t").select("row", "t", "o", "label", F.col("tw").alias("w"), (F.col("o") + F.col("k")).alias("p"), "must", "idf", "full", "musts")
@@ -152,12 +152,12 @@ stands AS (
   SELECT t, label, k, template.w, must, coalesce(idf, ln(2.0)) AS idf, sum(coalesce(idf, ln(2.0))) OVER (PARTITION BY t) AS full_,
     sum(must) OVER (PARTITION BY t) AS musts FROM template LEFT JOIN idf USING (w)
 ), rare AS (
-  SELECT r, w FROM (
-    SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY idf DESC, w) AS rank
-    FROM (SELECT DISTINCT r, w FROM placed) JOIN (SELECT DISTINCT w, idf FROM lookup) USING (w)
+  SELECT r, t, w FROM (
+    SELECT r, t, w, row_number() OVER (PARTITION BY r, t ORDER BY idf DESC, w) AS rank
+    FROM (SELECT DISTINCT r, w FROM placed) JOIN (SELECT DISTINCT t, w, idf FROM lookup) USING (w)
   ) WHERE rank <= {RARE}
 ), votes AS (
-  SELECT r, t, p - k AS o FROM placed SEMI JOIN rare USING (r, w) JOIN lookup USING (w) GROUP BY r, t, p - k HAVING count(*) >= 2
+  SELECT r, t, p - k AS o FROM placed JOIN rare USING (r, w) JOIN lookup USING (t, w) GROUP BY r, t, p - k HAVING count(*) >= 2
 ), verified AS (
   SELECT votes.r AS r, t, o, label, sum(idf) / any_value(full_) AS share FROM votes JOIN lookup USING (t) JOIN placed ON placed.r = votes.r AND placed.p = o + k AND placed.w = lookup.w
   GROUP BY votes.r, t, o, label HAVING sum(must) = any_value(musts)

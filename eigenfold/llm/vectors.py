@@ -184,8 +184,9 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 3)
 
 
 def reach(dimension: int, threshold: float, sigmas: float) -> float:
-    """How far a vector linked with another may lie beyond a cell border: what a difference of the greatest
-    length that links, sqrt(2 - 2 threshold), has in a random direction within ``sigmas`` deviations."""
+    """How near a cell border a row has to lie to be compared beyond it too: what a difference of the greatest length
+    that links, sqrt(2 - 2 threshold), has in a random direction within ``sigmas`` deviations. A pair
+    is missed only if both its rows lie farther off, so twice as many deviations apart."""
     return min(1.0, sigmas / math.sqrt(dimension)) * math.sqrt(2 - 2 * threshold)
 
 
@@ -213,7 +214,7 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def near_vectors(frame: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, cell_rows: int = 4000, block: int = 2048, sample_rows: int = 16_000, sigmas: float = 3.5) -> DataFrame:
+def near_vectors(frame: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, cell_rows: int = 500, block: int = 2048, sample_rows: int = 16_000, sigmas: float = 1.75) -> DataFrame:
     """(key, n_links, component_id, kept) of every row.
 
     Equal vectors are one until the end. The rest lies in cells of about ``cell_rows`` around centres fitted on a
@@ -268,9 +269,11 @@ def near_vectors(frame: DataFrame, key: str = "vec_id", vector: str = "embedding
         unit = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(group), -1)
         left, right = np.flatnonzero(blk == x), np.flatnonzero(blk == y)
         firsts, seconds = [], []
-        for at in range(0, len(left), 512):
-            i, j = np.nonzero(unit[left[at : at + 512]] @ unit[right].T >= threshold)
-            i, j = left[at + i], right[j]
+        at_home = home == cell
+        here, there = left[at_home[left]], right[at_home[right]]
+        for one, other in [(here[at : at + 512], right) for at in range(0, len(here), 512)] + [(v[at : at + 512], there) for v in [left[~at_home[left]]] for at in range(0, len(v), 512)]:
+            i, j = np.nonzero(unit[one] @ unit[other].T >= threshold)
+            i, j = one[i], other[j]
             if x == y:
                 i, j = i[i < j], j[i < j]
             low, high = np.minimum(home[i], home[j]), np.maximum(home[i], home[j])

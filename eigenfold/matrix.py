@@ -8,6 +8,7 @@ with a partial and a final sum by i.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +24,14 @@ VECTOR_BYTES = 256 << 20
 DENSE_ROWS = 2000
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the session's ``spark.checkpoint.dir`` and read back; a temporary folder only where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def joined_sum(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     """y = A x over frames (i, j, v) and (i, x double): join on the inner index, sum by the outer."""
     x = vector.select(F.col("i").alias("j"), "x")

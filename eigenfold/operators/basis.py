@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..matrix import joined_block
+from ..matrix import checkpointed, joined_block
 
 
 def rows_of(batch: pa.RecordBatch, name: str = "x") -> np.ndarray:
@@ -211,7 +211,7 @@ def subspace_frames(matrix: DataFrame, n: int, k: int, steps: int = 30, tol: flo
     x, _ = orthogonalised(random(spark, n, m, seed=seed))
     w = np.zeros(k)
     for step in range(1, steps + 1):
-        y = every.join(matmult(matrix, x, m), "i", "left").select("i", F.coalesce("x", F.array(*[F.lit(0.0)] * m)).alias("x")).checkpoint()
+        y = checkpointed(every.join(matmult(matrix, x, m), "i", "left").select("i", F.coalesce("x", F.array(*[F.lit(0.0)] * m)).alias("x")))
         h = dot(x, y)
         values, q = np.linalg.eigh((h + h.T) / 2)
         q = q[:, np.argsort(-np.abs(values), kind="stable")]
@@ -219,7 +219,7 @@ def subspace_frames(matrix: DataFrame, n: int, k: int, steps: int = 30, tol: flo
         done = np.abs(values[:k] - w).max() <= tol * np.abs(values[:k]).max()
         w = values[:k]
         x, _ = orthogonalised(multiply(y, q))
-        x = x.checkpoint()
+        x = checkpointed(x)
         if done:
             break
     return w, columns(x, list(range(k))), step

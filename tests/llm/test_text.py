@@ -329,9 +329,7 @@ def test_toxicity_learns_and_sees_through_disguise(spark):
 
 def test_restore_is_the_best_path():
     """The beam search against all paths of the lattice."""
-    from collections import Counter
-
-    model = toxicity.CharacterModel.of(Counter({"idiot": 5, "band": 3, "toad": 2}))
+    model = toxicity.CharacterModel.of(toxicity.grams({"idiot": 5, "band": 3, "toad": 2}))
 
     def all_paths(raw):
         best = (float("inf"), None)
@@ -355,6 +353,27 @@ def test_restore_is_the_best_path():
         assert toxicity.restore(raw, model) == all_paths(raw), raw
 
 
+def test_character_model_counts_every_text(spark):
+    rng = random.Random(8)
+    texts = [words(rng, "abcdé.", 40) for _ in range(60)] + ["(Quoted) word, w0rd looong", "a" * 3, "quoted"]
+    rows = [(k, t) for k, t in enumerate(texts)] + ODD
+    want = {}
+    for t in texts + [t for _, t in ODD]:
+        for token in (t or "").lower().split():
+            core = token.strip(toxicity.EDGE)
+            if core.isalpha() and not any(len(list(g)) > 2 for _, g in itertools.groupby(core)):
+                s = "#" + core + "#"
+                for i, n in itertools.product(range(len(s)), range(1, 5)):
+                    if i + n <= len(s) and i + n > 1:
+                        want[s[i : i + n]] = want.get(s[i : i + n], 0) + 1
+    read = lambda m: {a + c: n for a, after in m.after.items() for c, n in after.items() if c}
+    docs = frame(spark, rows).repartition(5)
+    assert read(toxicity.letters_of(docs)) == want == read(toxicity.letters_of(docs, distinct=7))
+    few = read(toxicity.letters_of(docs, most=50))
+    assert 0 < len(few) <= 50 and few.items() <= want.items() and min(few.values()) > max(n for g, n in want.items() if g not in few)
+    assert read(toxicity.letters_of(frame(spark, []).limit(0))) == {}
+
+
 def test_toxicity_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity_query(frame(spark, ODD), none).collect()

@@ -327,9 +327,19 @@ def test_toxicity_learns_and_sees_through_disguise(spark):
     assert kept.columns == frame(spark, rows).columns and abs(kept.count() - sum(1 - y for _, y in labels)) <= 5
 
 
+def plain_grams(counts):
+    out = {}
+    for word, n in counts.items():
+        s = "#" + word + "#"
+        for i, size in itertools.product(range(len(s)), range(1, 5)):
+            if 1 < i + size <= len(s):
+                out[s[i : i + size]] = out.get(s[i : i + size], 0) + n
+    return out
+
+
 def test_restore_is_the_best_path():
     """The beam search against all paths of the lattice."""
-    model = toxicity.CharacterModel.of(toxicity.grams({"idiot": 5, "band": 3, "toad": 2}))
+    model = toxicity.CharacterModel.of(plain_grams({"idiot": 5, "band": 3, "toad": 2}))
 
     def all_paths(raw):
         best = (float("inf"), None)
@@ -357,15 +367,9 @@ def test_character_model_counts_every_text(spark):
     rng = random.Random(8)
     texts = [words(rng, "abcdé.", 40) for _ in range(60)] + ["(Quoted) word, w0rd looong", "a" * 3, "quoted"]
     rows = [(k, t) for k, t in enumerate(texts)] + ODD
-    want = {}
-    for t in texts + [t for _, t in ODD]:
-        for token in (t or "").lower().split():
-            core = token.strip(toxicity.EDGE)
-            if core.isalpha() and not any(len(list(g)) > 2 for _, g in itertools.groupby(core)):
-                s = "#" + core + "#"
-                for i, n in itertools.product(range(len(s)), range(1, 5)):
-                    if i + n <= len(s) and i + n > 1:
-                        want[s[i : i + n]] = want.get(s[i : i + n], 0) + 1
+    cores = [token.strip(toxicity.EDGE) for _, t in rows for token in (t or "").lower().split()]
+    plain = [c for c in cores if c.isalpha() and not any(len(list(g)) > 2 for _, g in itertools.groupby(c))]
+    want = plain_grams({c: plain.count(c) for c in set(plain)})
     read = lambda m: {a + c: n for a, after in m.after.items() for c, n in after.items() if c}
     docs = frame(spark, rows).repartition(5)
     assert read(toxicity.letters_of(docs)) == want == read(toxicity.letters_of(docs, distinct=7))

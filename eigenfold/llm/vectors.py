@@ -183,11 +183,11 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 3)
     return centres
 
 
-def reach(dimension: int, threshold: float, sigmas: float) -> float:
-    """How near a cell border a row has to lie to be compared beyond it too: what a difference of the greatest length
-    that links, sqrt(2 - 2 threshold), has in a random direction within ``sigmas`` deviations. A pair
-    is missed only if both its rows lie farther off, so twice as many deviations apart."""
-    return min(1.0, sigmas / math.sqrt(dimension)) * math.sqrt(2 - 2 * threshold)
+def reach(threshold: float) -> float:
+    """How near a cell border a row has to lie to be compared beyond it too: half the length of the longest difference
+    that links, sqrt(2 - 2 threshold). The distances of two linked rows from the border between their homes add up to no more
+    than their difference, so one of the two lies within; the rest is for rounding."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) / 2 + 1e-9
 
 
 def near_cells(similarity: np.ndarray, home: np.ndarray, gap: np.ndarray, far: float) -> np.ndarray:
@@ -214,12 +214,12 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def near_vectors(frame: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, cell_rows: int = 500, block: int = 2048, sample_rows: int = 16_000, sigmas: float = 1.75) -> DataFrame:
+def near_vectors(frame: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, cell_rows: int = 500, block: int = 2048, sample_rows: int = 16_000) -> DataFrame:
     """(key, n_links, component_id, kept) of every row.
 
     Equal vectors are one until the end. The rest lies in cells of about ``cell_rows`` around centres fitted on a
     sample of about ``sample_rows`` (the bound on what reaches the driver). Besides its home, a row visits the
-    cells beyond whose border a linked vector may lie (``reach``). A cell is cut into
+    cells beyond whose border a linked vector may lie (``reach``), so that no link is missed. A cell is cut into
     blocks of ``block`` rows, and each pair of blocks is one group of products, so that a crowded cell
     is spread over many tasks. A pair counts in one of the homes of its two rows. What leaves a group is
     each row's count of links and the first row it is joined with, not the pairs.
@@ -238,7 +238,7 @@ def near_vectors(frame: DataFrame, key: str = "vec_id", vector: str = "embedding
         x = matrix(drawn.column("v").combine_chunks())[np.argsort(drawn.column("u").to_numpy(), kind="stable")]
         centres = spherical_kmeans(unit_rows(x), max(1, min(round(total / cell_rows), len(x) // 4)))
     held = frame.sparkSession.sparkContext.broadcast((centres, gaps(centres)))
-    far = reach(centres.shape[1], threshold, sigmas)
+    far = reach(threshold)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, gap = held.value

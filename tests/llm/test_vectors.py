@@ -92,6 +92,19 @@ def test_near_vectors_against_brute_force(spark, cell_rows, block):
     assert same.mean() > 0.98 and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+@pytest.mark.parametrize("rank", [3, 6])
+def test_near_vectors_of_low_rank_lose_no_link(spark, rank):
+    rng = np.random.default_rng(rank)
+    x = rng.standard_normal((800, rank)) @ rng.standard_normal((rank, 64))
+    ids = np.arange(800)
+    f = frame(spark, ids, x.astype(np.float32))
+    links, label = brute_links(x.astype(np.float32).astype(float))
+    got = {r["vec_id"]: r for r in vectors.near_vectors(f, cell_rows=50, block=100).collect()}
+    assert links.sum() > 0
+    assert [got[i]["n_links"] for i in ids] == links.tolist()
+    assert [got[i]["component_id"] for i in ids] == label.tolist()
+
+
 def test_near_vectors_odd_rows(spark):
     rows = [(1, [1, 0]), (1, [1, 0]), (2, [0, 1]), (3, None), (4, [0, 0]), (5, [float("nan"), 1]), (None, [1, 0]), (6, [1, 2, 3])]
     got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in vectors.near_vectors_query(frame(spark, *zip(*rows))).collect())

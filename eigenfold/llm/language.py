@@ -128,15 +128,18 @@ def learn(texts: dict[str, list[bytes]], most_nodes: int = 6000, least: int = 6)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", where=None, per_language: int = 250) -> ContextTrees | None:
-    """Trees from about ``per_language`` rows of each language, taken by the hash of their text
-    (the bound on what reaches the driver); None if no row has both text and language."""
+    """Trees from about ``per_language`` different texts of each language, taken by their hash
+    (the bound on what reaches the driver); None if no row has both text and language. Copies of a text count
+    once, both in the share drawn and in what is learned."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
     rows = rows.where(where) if where is not None else rows
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    hashed = F.xxhash64(F.col(text))
+    different = rows.select(F.col(lang).alias("lang"), hashed.alias("hash")).distinct()
+    counts = {r[0]: r[1] for r in different.groupBy("lang").count().collect()}
     if not counts:
         return None
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    draw = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(draw < share[F.col(lang)]).select(lang, text).distinct()
     texts: dict[str, list[bytes]] = {}
     for k, t in sorted(map(tuple, sample.collect())):

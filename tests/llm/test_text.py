@@ -96,6 +96,17 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in language.identify(frame(spark, ODD), None).collect()} == {"und"}
 
 
+def test_language_of_many_copies_is_learned(spark, monkeypatch):
+    """Each language gives all its different texts, however often they occur."""
+    rng = random.Random(9)
+    few = {l: [words(rng, alphabet, 20) for _ in range(12)] for l, alphabet in (("aa", "abcde"), ("bb", "fghij"))}
+    rows = [(k, t, l) for l, texts in few.items() for k, t in enumerate(texts)]
+    docs = frame(spark, rows).where("lang = 'bb'").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("copy").unionByName(frame(spark, rows).where("lang = 'aa'"))
+    monkeypatch.setattr(language, "learn", lambda texts: texts)
+    got = language.train(docs)
+    assert {l: sorted(t) for l, t in got.items()} == {l: sorted(t.encode() for t in texts) for l, texts in few.items()}
+
+
 # --- SimHash ---------------------------------------------------------------------------------
 
 

@@ -60,21 +60,54 @@ def grams(words: dict[str, int]) -> tuple[list[str], np.ndarray]:
     return [joined[i : i + 4] for i in first[kept].tolist()], counts[kept]
 
 
+#: Bits of a character in a packed string.
+WIDE = 21
+
+
 @dataclass
 class CharacterModel:
-    """Letters given up to three before them, interpolated with shorter contexts; ``after``: by context, the counts
-    of what follows and under "" their sum."""
+    """Letters given up to three before them, interpolated with shorter contexts. The counts of all strings lie in arrays, 20 bytes a
+    string: ``contexts`` (packed, ascending, with repetitions), what follows them and how often. ``seen`` holds the contexts looked up."""
 
-    after: dict[str, dict[str, int]] = field(default_factory=dict)
+    contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    follows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     held: dict[str, float] = field(default_factory=dict)
+    seen: dict[str, dict[str, int]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, counts: dict[str, int]) -> CharacterModel:
-        after: dict[str, dict[str, int]] = defaultdict(lambda: {"": 0})
-        for s, n in counts.items():
-            after[s[:-1]][s[-1]] = n
-            after[s[:-1]][""] += n
-        return cls(dict(after))
+        rows = [(cls.packed(s[:-1]), ord(s[-1]), n) for s, n in counts.items()]
+        return cls.from_arrays(*(np.array([r[k] for r in rows], t) for k, t in enumerate((np.int64, np.int32, np.int64))))
+
+    @classmethod
+    def from_arrays(cls, contexts: np.ndarray, follows: np.ndarray, counts: np.ndarray) -> CharacterModel:
+        order = np.argsort(contexts, kind="stable")
+        return cls(contexts[order], follows[order], counts[order])
+
+    @staticmethod
+    def packed(context: str) -> int:
+        key = 0
+        for c in context:
+            key = key << WIDE | ord(c)
+        return key
+
+    @property
+    def after(self) -> dict[str, dict[str, int]]:
+        """By context, the counts of what follows and under "" their sum."""
+        names = ["".join(chr(k >> WIDE * i & (1 << WIDE) - 1) for i in (2, 1, 0) if k >> WIDE * i) for k in np.unique(self.contexts).tolist()]
+        return {c: self.following(c) for c in names}
+
+    def following(self, context: str) -> dict[str, int]:
+        if (found := self.seen.get(context)) is None:
+            key = np.int64(self.packed(context))
+            at, end = int(self.contexts.searchsorted(key)), int(self.contexts.searchsorted(key, "right"))
+            n = self.counts[at:end].tolist()
+            found = {"": sum(n)} | dict(zip(map(chr, self.follows[at:end].tolist()), n)) if n else {}
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            self.seen[context] = found
+        return found
 
     def cost(self, context: str, c: str) -> float:
         """-log of the probability of ``c`` after ``context``, its last three characters."""
@@ -82,7 +115,7 @@ class CharacterModel:
         if (found := self.held.get(key)) is None:
             p = 1e-4
             for k in range(len(context) + 1):
-                after = self.after.get(context[len(context) - k :])
+                after = self.following(context[len(context) - k :])
                 if after:
                     n, kinds = after[""], len(after)
                     p = (after.get(c, 0) + kinds * p) / (n + kinds)
@@ -91,8 +124,12 @@ class CharacterModel:
             found = self.held[key] = -math.log(p)
         return found
 
+    def forget(self) -> None:
+        self.held.clear()
+        self.seen.clear()
+
     def __getstate__(self):
-        return {"after": self.after, "held": {}}
+        return self.__dict__ | {"held": {}, "seen": {}}
 
 
 def channel(c: str, before: str) -> list[tuple[str, float]]:
@@ -173,7 +210,7 @@ class ToxicityModel:
             yield self
         finally:
             self.held.clear()
-            self.letters.held.clear()
+            self.letters.forget()
 
     def known(self, token: str) -> tuple[str, ...]:
         """The learned features in a token."""
@@ -224,19 +261,21 @@ def plain_words(counts: dict[str, int]) -> Counter:
     return out
 
 
-def letters_of(docs: DataFrame, text: str = "text", most: int = 200_000, distinct: int = 50_000) -> CharacterModel:
-    """The character model of all texts of ``docs``.
+def letters_of(docs: DataFrame, text: str = "text", most: int | None = None, distinct: int = 50_000) -> CharacterModel:
+    """The character model of all texts of ``docs``, with every string counted.
 
     A task counts tokens, turns every ``distinct`` different ones into strings of four characters, and sends only their
-    counts; shorter contexts are sums of longer ones. Strings of the rarest powers of two of the count are left out where there are over ``most`` in all: the
-    bound on what reaches the driver and is broadcast.
+    counts, packed into numbers; shorter contexts are sums of longer ones. ``most``: if given, strings of the rarest powers of two of the
+    count are left out where there are over ``most`` in all; no query gives it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted() -> pa.RecordBatch:
             found, n = grams(plain_words(tokens))
             tokens.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n)], ["gram", "n"])
+            four = np.frombuffer("".join(found).encode("utf-32-le"), np.uint32).reshape(-1, 4).astype(np.int64)
+            context = four[:, 0] << 2 * WIDE | four[:, 1] << WIDE | four[:, 2]
+            return pa.RecordBatch.from_arrays([pa.array(context), pa.array(four[:, 3].astype(np.int32)), pa.array(n)], ["context", "c", "n"])
 
         tokens: Counter = Counter()
         for batch in batches:
@@ -246,18 +285,27 @@ def letters_of(docs: DataFrame, text: str = "text", most: int = 200_000, distinc
                     yield counted()
         yield counted()
 
-    four = docs.select(F.col(text).alias("text")).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    ends = four.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.substring("gram", -k, k))).alias("gram"), "n")
-    ends = ends.where(~F.col("gram").startswith(BREAK * 2))
-    counts = checkpointed(ends.groupBy("gram").agg(F.sum("n").alias("n")))
+    four = docs.select(F.col(text).alias("text")).mapInArrow(run, "context long, c int, n long").groupBy("context", "c").agg(F.sum("n").alias("n"))
+    masks = F.array(*[F.lit((1 << WIDE * k) - 1).cast("long") for k in range(4)])
+    ends = four.select(F.explode(F.transform(masks, lambda m: F.col("context").bitwiseAND(m))).alias("context"), "c", "n")
+    # strings that begin with two breaks are none
+    two = F.lit(ord(BREAK) << WIDE | ord(BREAK)).cast("long")
+    ends = ends.where((F.col("context") != two) & (F.shiftright("context", WIDE) != two))
+    counts = checkpointed(ends.groupBy("context", "c").agg(F.sum("n").alias("n")))
+    rows = counts if most is None else most_frequent(counts, most)
+    table = rows.toArrow()
+    return CharacterModel.from_arrays(*(table.column(k).to_numpy() for k in ("context", "c", "n")))
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of the highest powers of two of ``n``, at most ``most``."""
     floor, total = 0, 0
     for r in sorted(counts.groupBy(F.floor(F.log2("n")).alias("power")).count().collect(), reverse=True):
         total += r["count"]
         if total > most:
             floor = 2 ** (r["power"] + 1)
             break
-    rows = counts.where(F.col("n") >= floor).toArrow()
-    return CharacterModel.of(dict(zip(rows.column("gram").to_pylist(), rows.column("n").to_pylist())))
+    return counts.where(F.col("n") >= floor)
 
 
 def learn(texts: list[tuple[str, int]], letters: CharacterModel, rate: float | None = None) -> ToxicityModel:

@@ -389,6 +389,15 @@ def test_character_model_counts_every_text(spark):
     assert read(toxicity.letters_of(frame(spark, []).limit(0))) == {}
 
 
+def test_character_model_has_no_cap(spark):
+    """More strings than fit any fixed number of the size that there once was."""
+    texts = spark.range(40).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(0, 2499), i -> concat(char(97 + cast(id % 26 as int)), decode(unhex(hex(cast(19968 + (id * 2500 + i) % 20000 as int))), 'UTF-16BE'), decode(unhex(hex(cast(19968 + (id * 7919 + i * 31) % 20000 as int))), 'UTF-16BE'))))").alias("text"))
+    words = {w for r in texts.collect() for w in r["text"].split()}
+    model = toxicity.letters_of(texts)
+    want = plain_grams(dict.fromkeys(words, 1))
+    assert len(want) > 200_000 and sum(len(after) - 1 for after in model.after.values()) == len(want)
+
+
 def test_toxicity_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity_query(frame(spark, ODD), none).collect()

@@ -1,9 +1,9 @@
 """Toxicity of texts by way of a noisy channel.
 
-A token that may be disguised (letters mixed with digits or symbols, letters repeated three times or more, or letters standing alone
-in a row) becomes a lattice: every character may be itself, a letter it imitates, nothing
+A token that may be disguised (letters mixed with digits or symbols, repeated letters, letters that look like others, or letters standing
+alone in a row) becomes a lattice: every character may be itself, a letter it imitates, nothing
 (a separator or a repetition), or a word break, each at a cost. A Viterbi search under a
-character language model finds the likeliest letters. A token of letters only has a
+character language model finds the likeliest letters. A token of letters that are neither repeated nor look like others has a
 lattice of one path and stays. The restored words are scored by what the labels taught about
 words and word beginnings.
 """
@@ -36,10 +36,12 @@ IMITATES = {
 }
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in IMITATES) + "“”‘’«»…–—¿"
 SUBSTITUTED, DROPPED, KEPT_APART, REPEATED = 0.5, 0.7, 2.0, 0.3
-#: At least four single characters with white space between them.
-SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S){3,}(?!\S)")
+#: At least three single characters with white space between them.
+SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S){2,}(?!\S)")
 TAIL = re.compile(r"(?:!+|\${3,}|\++|\(+)$")
 RUN = re.compile(r"(.)\1\1")
+#: What the channel can change among letters.
+OPEN = re.compile(rf"(.)\1|[{''.join(c for c in IMITATES if c.isalpha())}]")
 
 
 def grams(words: dict[str, int]) -> tuple[list[str], np.ndarray]:
@@ -179,7 +181,7 @@ def restore(raw: str, model: CharacterModel) -> list[str]:
 def words_of(token: str, model: CharacterModel | None) -> list[str]:
     """The words that a token between white space stands for."""
     core = TAIL.sub("", token.strip(EDGE)).strip(EDGE)
-    if core.isalpha() and not RUN.search(core):
+    if core.isalpha() and (model is None or not OPEN.search(core)):
         return [core]
     if not any(map(str.isalpha, core)):
         return []

@@ -338,6 +338,18 @@ def test_toxicity_learns_and_sees_through_disguise(spark):
     assert kept.columns == frame(spark, rows).columns and abs(kept.count() - sum(1 - y for _, y in labels)) <= 5
 
 
+def test_toxicity_sees_through_letters_alone(spark):
+    """Doubled letters, letters of another script and words of three spaced letters."""
+    rng = random.Random(10)
+    rows, labels = toxic_rows(rng, 500)
+    rows = [(k, t.replace("blorpf", "zup")) for k, t in rows]
+    model = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for disguised in ("kraagnus", "vexllom", "vexlоm", "krаgnus", "z u p", "zuup"):
+        assert model.score(f"some text with {disguised} in it") > 0.9, disguised
+    for clean in ("some letters in a book", "x y z", "привет мир, сообщение"):
+        assert model.score(clean) < 0.3, clean
+
+
 def plain_grams(counts):
     out = {}
     for word, n in counts.items():

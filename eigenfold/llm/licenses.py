@@ -1,7 +1,7 @@
 """Licence scan by a positional index of rare words, with DataFrame functions only.
 
 Templates are word sequences of licence notices. The index has, for each template word, its postings (template, position). Of each
-file, the words of each licence with the highest inverse document frequency are looked up;
+file, the mandatory words of each licence with the highest inverse document frequency are looked up;
 postings that agree on the relative position (file position less template position) are intersected, and a
 placement of a template that at least two rare words agree on is verified: all its mandatory key
 phrases have to stand there word by word. Files without a licence word are read once and not looked up.
@@ -103,11 +103,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     lookup = template.join(F.broadcast(idf), template.tw == idf.w, "left").select("t", "label", "k", "tw", "must", F.coalesce("idf", F.log(F.lit(2.0))).alias("idf"))
     lookup = checkpointed(lookup.withColumn("full", F.sum("idf").over(W.partitionBy("t"))).withColumn("musts", F.sum(F.col("must").cast("int")).over(W.partitionBy("t"))))
 
-    # the file's rarest words of each licence, their postings, and the placements that two of them agree on
-    own = placed.select("row", "w").distinct().join(F.broadcast(lookup.select(F.col("tw").alias("w"), "t", "idf").distinct()), "w")
+    # the file's rarest mandatory words of each licence, their postings, and the placements that two of them agree on: any that
+    # can be verified has all mandatory words in place
+    must = lookup.where("must")
+    own = placed.select("row", "w").distinct().join(F.broadcast(must.select(F.col("tw").alias("w"), "t", "idf").distinct()), "w")
     rare = own.withColumn("rank", F.row_number().over(W.partitionBy("row", "t").orderBy(F.desc("idf"), "w"))).where(F.col("rank") <= RARE).select("row", "w", "t")
     votes = (
-        placed.join(rare, ["row", "w"]).join(F.broadcast(lookup.select(F.col("tw").alias("w"), "t", "k")), ["w", "t"])
+        placed.join(rare, ["row", "w"]).join(F.broadcast(must.select(F.col("tw").alias("w"), "t", "k")), ["w", "t"])
         .groupBy("row", "t", (F.col("p") - F.col("k")).alias("o")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     )
     wanted = votes.join(F.broadcast(lookup), "t").select("row", "t", "o", "label", F.col("tw").alias("w"), (F.col("o") + F.col("k")).alias("p"), "must", "idf", "full", "musts")

@@ -457,6 +457,13 @@ def test_license_scan(spark):
     assert licenses.license_query(frame(spark, []).limit(0)).count() == 0
 
 
+def test_license_phrase_beside_rarer_template_words(spark):
+    mit = "permission is hereby granted free of charge to everyone . documentation files associated obtaining person copy software any this"
+    mpl = "subject to v 2 0 of something . this file is under the mozilla public license"
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_query(frame(spark, [(1, mit), (2, mpl)] + [(3 + k, "permission is hereby granted free of charge under the mozilla public license") for k in range(9)])).collect()}
+    assert got[1] == "mit-notice" and got[2] == "mpl-2.0"
+
+
 # --- chat -----------------------------------------------------------------------------------------------------------------
 
 

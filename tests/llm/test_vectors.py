@@ -110,3 +110,43 @@ def test_near_vectors_odd_rows(spark):
     got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in vectors.near_vectors_query(frame(spark, *zip(*rows))).collect())
     assert got == [(0, 0, 0, False), (1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True)]
     assert vectors.near_vectors_query(frame(spark, [1], [[1, 0]]).limit(0)).count() == 0
+
+
+def test_lengths_are_searched_and_linked_by_themselves(spark):
+    rng = np.random.default_rng(4)
+    x, y = groups(rng, 60, 8, 0.2), groups(rng, 40, 5, 0.2)
+    ids = np.arange(100)
+    f = frame(spark, ids, [*x, *y])
+    got = vectors.nearest(f, f.where(F.col("vec_id") % 10 == 0), candidates=7, block=2).collect()
+    for q in range(0, 100, 10):
+        own, first = (x, 0) if q < 60 else (y, 60)
+        want = [(i + first, round(d, 9)) for i, d in exact_neighbours(np.arange(len(own)), own, q - first)]
+        assert [(r["vec_id"], round(r["score"], 9)) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+    found = {r["vec_id"]: r for r in vectors.near_vectors(f, cell_rows=10, block=4).collect()}
+    for own, first in ((x, 0), (y, 60)):
+        links, label = brute_links(own)
+        assert [found[i + first]["n_links"] for i in range(len(own))] == links.tolist()
+        assert [found[i + first]["component_id"] for i in range(len(own))] == (label + first).tolist()
+
+
+def test_one_id_with_several_vectors_and_heavy_groups(spark):
+    rng = np.random.default_rng(5)
+    x = groups(rng, 90, 16, 0.2)
+    x[30:75] = x[30]  # half of all rows are copies of one vector
+    ids = np.arange(90) // 2
+    links, label = brute_links(x)
+    f = frame(spark, ids, x)
+    got = vectors.near_vectors(f, cell_rows=20, block=9, heavy_rows=5).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted(zip(ids.tolist(), links.tolist(), ids[label].tolist()))
+    rows = vectors.nearest(f, f.where(F.col("vec_id") == 3)).collect()  # two vectors: two queries
+    assert sorted(r["rank"] for r in rows) == sorted([*range(1, 11)] * 2) and 3 not in {r["vec_id"] for r in rows}
+
+
+def test_cells_are_fitted_to_the_rows():
+    rng = np.random.default_rng(6)
+    loose = vectors.unit_rows(rng.standard_normal((4000, 64)))
+    centres = rng.standard_normal((200, 64))
+    tight = vectors.unit_rows(np.repeat(centres, 20, 0) + 0.05 * rng.standard_normal((4000, 64)))
+    far = vectors.reach(0.95)
+    costs = [vectors.cost_of(x, vectors.fitted_cells(x, 10**7, 8192, far), 10**7, 8192, far) for x in (loose, tight)]
+    assert costs[1] < costs[0] / 2 and len(vectors.spherical_kmeans(tight, 300)) >= 280

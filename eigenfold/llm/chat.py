@@ -1,8 +1,8 @@
 """Chat formatting over typed content parts, with DataFrame functions only.
 
 A row of a conversation has content parts: an array of structs (type, text, ref). Visiting a part
-gives its flat text: text is escaped, an attachment becomes a placeholder numbered by its
-order in the conversation, and its reference is recorded with the tokens that it expands to. Turns are framed by control strings; wherever a text itself has
+gives its flat text: text is escaped, an attachment becomes a placeholder of its kind, and its reference is recorded
+with the tokens that it expands to; the n-th placeholder of a conversation stands for its n-th reference. Turns are framed by control strings; wherever a text itself has
 the escape character or the first character of a control string, that character is written as an escape pair, so that no
 text can close or open a turn and the texts are read back exactly.
 """
@@ -61,12 +61,25 @@ def text_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref")))
 
 
+def before(sizes: Column, i: Column) -> Column:
+    """The sum of the first ``i`` sizes."""
+    return F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def placed_spans(items: Column) -> Column:
+    """(start, length) of the assistant's texts in the joined items."""
+    sizes = F.transform(items, lambda x: F.char_length(x["s"]).cast("long"))
+    spans = F.transform(items, lambda x, i: F.when(x["role"] == "assistant", F.struct((before(sizes, i) + x["head"]).cast("long").alias("start"), x["body"].cast("long").alias("length"))))
+    return F.array_compact(spans)
+
+
 def formatted(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", chunk: int = 64) -> DataFrame:
     """(conv_id, formatted, mask, refs, tokens): one row a conversation.
 
     ``formatted`` has the turns in order of ``turn`` (null first; ties by role, then content); ``mask`` lists the loss spans
     (start, length in code points) of the assistant's texts in it; ``refs`` and ``tokens`` are those of all its parts.
-    A long conversation is put together in two steps: runs of ``chunk`` turn numbers first, then the runs. A null
+    A long conversation is put together in two steps: runs of ``chunk`` turn numbers first, then the runs, so that starts are sums over
+    a run's turns and over runs, not over all turns. A null
     conversation id is a conversation; a null role is empty; rows of an empty table give none; further columns
     are not read; repeated rows are turns.
     """
@@ -81,19 +94,13 @@ def formatted(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn"
     joined = runs.select(
         "conv_id", "run", F.array_join(F.col("items.s"), "").alias("s"), F.flatten("items.refs").alias("refs"),
         F.aggregate("items.tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"),
-        F.transform("items", lambda x: F.struct(x["role"].alias("role"), x["head"].cast("long").alias("head"), x["body"].cast("long").alias("body"), F.char_length(x["s"]).cast("long").alias("all"))).alias("spans"),
-    )
-    whole = joined.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("run", "s", "refs", "tokens", "spans"))).alias("runs"))
-    spans = F.flatten("runs.spans")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("out"))
-    # starts are running sums: each run's are made with one pass
-    walk = F.aggregate(
-        spans, zero,
-        lambda a, x: F.struct((a["at"] + x["all"]).alias("at"), F.when(x["role"] == "assistant", F.concat(a["out"], F.array(F.struct((a["at"] + x["head"]).alias("start"), x["body"].alias("length"))))).otherwise(a["out"]).alias("out")),
-        lambda a: a["out"],
+        placed_spans(F.col("items")).alias("spans"), F.char_length(F.array_join(F.col("items.s"), "")).cast("long").alias("size"),
     )
+    whole = joined.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("run", "s", "refs", "tokens", "spans", "size"))).alias("runs"))
+    # a run's spans are moved by the sizes of the runs before it
+    moved = F.transform("runs", lambda r, i: F.transform(r["spans"], lambda x: F.struct((x["start"] + before(F.col("runs.size"), i)).alias("start"), x["length"].alias("length"))))
     return whole.select(
-        "conv_id", F.array_join(F.col("runs.s"), "").alias("formatted"), walk.alias("mask"), F.flatten("runs.refs").alias("refs"),
+        "conv_id", F.array_join(F.col("runs.s"), "").alias("formatted"), F.flatten(moved).alias("mask"), F.flatten("runs.refs").alias("refs"),
         F.aggregate("runs.tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"),
     )
 

@@ -19,15 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, with its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a temporary folder is used.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset on one machine
+    (``local``, as in tests) a temporary folder is used.
     """
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("a cluster needs a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def of_sized(rows: DataFrame, sizes: DataFrame, by: list[str], heavy: int = 1000) -> DataFrame:
+    """The rows whose key ``by`` is in ``sizes`` (a row a key, ``n``: the key's rows). Keys with more than ``heavy`` rows and a
+    thousandth of all, which are a thousand at most, are broadcast, so that no task takes a whole such group."""
+    bound = max(heavy, (sizes.agg(F.sum("n")).first()[0] or 0) // 1000)
+    many = sizes.where(F.col("n") > bound).select(*by)
+    if many.isEmpty():
+        return rows.join(sizes.select(*by), by)
+    rest = rows.join(F.broadcast(many), by, "left_anti").join(sizes.where(F.col("n") <= bound).select(*by), by)
+    return rows.join(F.broadcast(many), by).unionByName(rest)
+
+
 def fold(column: str, parts: int):
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts)

@@ -26,7 +26,7 @@ from .common import map_arrow, slices
 
 # --- pages to blocks ----------------------------------------------------------------------
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>?", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = {"script", "style", "noscript", "template", "textarea", "select", "button", "title", "svg", "math", "iframe", "object", "canvas", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -113,7 +113,7 @@ def blocks(page: str | None) -> list[Block]:
         entries = (tag,)
         if found[3] and len(found[3]) > 4:
             for m in NAMES.finditer(found[3]):
-                entries += tuple("." + w for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w)[:6]
+                entries += tuple("." + w for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w)
         stack.append((tag, entries))
         links += tag == "a"
     flush()
@@ -127,13 +127,15 @@ WIDTH = PATH + WORDS + EXTRA
 
 
 class Hashed(dict):
-    """Word to its bucket, remembered."""
+    """Word to its bucket; short words are remembered, up to 200000."""
 
     def __init__(self, base: int, buckets: int):
         super().__init__()
         self.base, self.buckets = base, buckets
 
     def __missing__(self, key: str) -> int:
+        if len(key) > 64:
+            return self.base + zlib.crc32(key.encode("utf8", "surrogatepass")) % self.buckets
         if len(self) > 200_000:
             self.clear()
         self[key] = n = self.base + zlib.crc32(key.encode("utf8", "surrogatepass")) % self.buckets
@@ -148,7 +150,7 @@ def vectors(sequence: list[Block]) -> np.ndarray:
     n = len(sequence)
     x = np.zeros((n, WIDTH), np.float32)
     for i, b in enumerate(sequence):
-        for e in b.path[-24:]:
+        for e in b.path:
             x[i, PATH_AT[e]] = 1
         words = b.text.lower().split()
         at = np.fromiter(map(WORD_AT.__getitem__, words), np.int64, len(words))
@@ -156,7 +158,7 @@ def vectors(sequence: list[Block]) -> np.ndarray:
         size = len(b.text)
         x[i, -EXTRA:] = (
             min(np.log1p(size) / 6, 2), min(len(words) / 40, 2), min(b.linked / size, 1), sum(map(b.text.count, ".,;!?")) / len(words),
-            b.text[-1] in ".!?…:", len(b.path) / 12, i / n, (n - 1 - i) / n, size < 25, 1,
+            b.text[-1] in ".!?…:", min(len(b.path) / 12, 4), i / n, (n - 1 - i) / n, size < 25, 1,
         )
     return x
 

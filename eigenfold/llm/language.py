@@ -127,32 +127,36 @@ def learn(texts: dict[str, list[bytes]], most_nodes: int = 6000, least: int = 6)
     return ContextTrees(languages, classes, state, bits.reshape(-1, len(languages)), w)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", where=None, per_language: int = 250) -> ContextTrees | None:
-    """Trees from about ``per_language`` different texts of each language, taken by their hash
-    (the bound on what reaches the driver); None if no row has both text and language. Copies of a text count
-    once, both in the share drawn and in what is learned."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", where=None, per_language: int = 250, bytes_per_language: int = 16 << 20, most_languages: int = 500) -> ContextTrees | None:
+    """Trees from about ``per_language`` different texts of each language, fewer where those would have more than
+    ``bytes_per_language`` bytes, taken by their hash (the bounds on what reaches the driver); at least one text of each language. None if no
+    row has both text and language. Copies of a text count once, both in the share drawn and in what is learned. A column of
+    more than ``most_languages`` values is no column of languages and raises an error."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
     rows = rows.where(where) if where is not None else rows
     hashed = F.xxhash64(F.col(text))
-    different = rows.select(F.col(lang).alias("lang"), hashed.alias("hash")).distinct()
-    counts = {r[0]: r[1] for r in different.groupBy("lang").count().collect()}
+    draw = F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    different = rows.select(F.col(lang).alias("lang"), hashed.alias("hash"), draw.alias("draw"), F.octet_length(text).alias("size")).distinct()
+    counts = different.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("draw").alias("first")).limit(most_languages + 1).collect()
     if not counts:
         return None
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    draw = F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < share[F.col(lang)]).select(lang, text).distinct()
+    if len(counts) > most_languages:
+        raise ValueError(f"{lang} has more than {most_languages} values")
+    share = {r["lang"]: max(min(1.0, per_language / r["n"], bytes_per_language / r["size"]), np.nextafter(r["first"], 2.0)) for r in counts}
+    shares = F.create_map(*[x for k, n in share.items() for x in (F.lit(k), F.lit(float(n)))])
+    sample = rows.where(draw < shares[F.col(lang)]).select(lang, text).distinct()
     texts: dict[str, list[bytes]] = {}
     for k, t in sorted(map(tuple, sample.collect())):
         texts.setdefault(k, []).append(t.encode())
     return learn(texts) if texts else None
 
 
-def predict_batch(model: ContextTrees | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and posterior probability (uniform prior) of every text."""
+def predict_batch(model: ContextTrees | None, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, posterior probability (uniform prior) and bits a byte in that language of every text."""
     data, offsets = utf8(column)
     n = len(offsets) - 1
     if model is None or n == 0:
-        return [UNKNOWN] * n, np.zeros(n)
+        return [UNKNOWN] * n, np.zeros(n), np.full(n, np.inf)
     letters = summed(ASCII_LETTER[data], offsets) > 0
     for i in np.flatnonzero(~letters):  # letters beyond ASCII
         letters[i] = any(map(str.isalpha, data[offsets[i] : offsets[i + 1]].tobytes().decode("utf8", "replace")))
@@ -160,7 +164,7 @@ def predict_batch(model: ContextTrees | None, column: pa.Array) -> tuple[list[st
     best = lengths.argmin(1)
     odds = np.exp2(np.maximum(lengths.min(1, keepdims=True) - lengths, -1000))
     score = np.where(letters, 1 / odds.sum(1), 0.0)
-    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)], score
+    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)], score, lengths.min(1) / np.maximum(np.diff(offsets), 1)
 
 
 def identify(docs: DataFrame, model: ContextTrees | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,19 +179,25 @@ def identify(docs: DataFrame, model: ContextTrees | None, key: str = "doc_id", t
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lang, score = predict_batch(held.value, batch.column(1))
+        lang, score, _ = predict_batch(held.value, batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], [key, "lang_pred", "score"])
 
     return map_arrow(frame, run, schema)
 
 
-def accepted(docs: DataFrame, model: ContextTrees | None, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows whose language is told with a score of ``least`` or more, with all their columns."""
+def accepted(docs: DataFrame, model: ContextTrees | None, text: str = "text", least: float = 0.5, most_bits: float = 8.0) -> DataFrame:
+    """The rows written in a language that was learned, with all their columns.
+
+    Rejected are a null or empty text, one without letters, one between languages (a score below ``least``: rare, as whole texts
+    nearly always score 0 or 1), and one that no language's tree codes in less than ``most_bits`` bits a byte: plain bytes take 8,
+    so nothing of the text was recognised. Repeated rows are judged alike; an empty table gives none, as does a model that
+    learned nothing; no other column is read, whatever its name.
+    """
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lang, score = predict_batch(held.value, batch.column(at))
-        yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(lang, score)], pa.bool_()))
+        rows = zip(*predict_batch(held.value, batch.column(at)))
+        yield batch.filter(pa.array([k != UNKNOWN and s >= least and bits < most_bits for k, s, bits in rows], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
 

@@ -1,10 +1,11 @@
 """Licence scan by a positional index of rare words, with DataFrame functions only.
 
-Templates are word sequences of licence notices. The index has, for each template word, its postings (template, position). Of each
-file, the mandatory words of each licence with the highest inverse document frequency are looked up;
+Templates are word sequences of licence notices and bodies, in their versions. The index has, for each template word, its postings
+(template, position). Of each file, the mandatory words of each licence with the highest inverse document frequency are looked up;
 postings that agree on the relative position (file position less template position) are intersected, and a
 placement of a template that at least two rare words agree on is verified: all its mandatory key
-phrases have to stand there word by word. Files without a licence word are read once and not looked up.
+phrases have to stand there word by word. Since all mandatory words of a placement that can be verified are in the file, its
+rarest ones agree on it: no such placement is missed. Files without any gate phrase are read once and not looked up.
 """
 
 from __future__ import annotations
@@ -17,23 +18,108 @@ from .common import checkpointed
 
 #: Phrases of the plain scan and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: label: (notice, mandatory key phrases). A notice may have several forms.
-TEMPLATES = [
+NOTICES = [
     ("gpl-notice", "licensed under the gnu general public license version", ["gnu general public license", "licensed under"]),
     ("gpl-notice", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["gnu general public license", "free software foundation"]),
     ("lgpl-notice", "under the terms of the gnu lesser general public license", ["gnu lesser general public license"]),
+    ("lgpl-notice", "under the terms of the gnu library general public license", ["gnu library general public license"]),
+    ("agpl-notice", "under the terms of the gnu affero general public license", ["gnu affero general public license"]),
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
     ("mit-notice", "released under the mit license", ["under the mit license"]),
     ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
-    ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-]
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1 the license", ["mozilla public license version 1 1"]),
+    ("artistic-2.0", "under the terms of the artistic license 2 0", ["artistic license 2 0"]),
+    ("cddl", "subject to the terms of the common development and distribution license the license", ["common development and distribution license"]),
+    ("boost-1.0", "distributed under the boost software license version 1 0", ["boost software license version 1 0"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
+]
+#: Bodies, each with phrases that a whole copy has near its beginning, middle or end.
+BODIES = [
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is "
+        "without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or "
+        "copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other "
+        "dealings in the software",
+        ["permission is hereby granted free of charge", "use copy modify merge publish distribute sublicense and or sell copies"],
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all "
+        "copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        ["distribute this software for any purpose with or without fee is hereby granted"],
+    ),
+    (
+        "bsd-2-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above "
+        "copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in "
+        "the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is",
+        ["redistribution and use in source and binary forms", "redistributions in binary form must reproduce the above copyright notice", "with the distribution this software is provided"],
+    ),
+    (
+        "bsd-3-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above "
+        "copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in "
+        "the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission",
+        ["redistribution and use in source and binary forms", "may be used to endorse or promote products derived from this software without specific prior written permission"],
+    ),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        ["apache license version 2 0", "unless required by applicable law or agreed to in writing software distributed under the license"],
+    ),
+    (
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        ["mozilla public license v 2 0 if a copy of the mpl was not distributed with this file"],
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone "
+        "to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        ["without any express or implied warranty in no event will the authors be held liable", "permission is granted to anyone to use this software for any purpose"],
+    ),
+]
+
+
+def versions() -> list[tuple[str, str, list[str]]]:
+    """Notices that differ in version and kind only."""
+    out = []
+    for kind, label, numbers in (("general", "gpl", ("1", "2", "3")), ("lesser general", "lgpl", ("2 1", "3")), ("library general", "lgpl", ("2",)), ("affero general", "agpl", ("3",))):
+        for v in numbers:
+            either = f"either version {v} of the license"
+            text = f"it under the terms of the gnu {kind} public license as published by the free software foundation {either} or at your option any later version"
+            out.append((f"{label}-{v.replace(' ', '.')}-or-later", text, [f"gnu {kind} public license", either]))
+            text = f"it under the terms of the gnu {kind} public license version {v} as published by the free software foundation"
+            out.append((f"{label}-{v.replace(' ', '.')}-only", text, [f"gnu {kind} public license version {v} as published by"]))
+    rights = {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives"}
+    for kind in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"):
+        for v, port in (("3 0", "unported"), ("4 0", "international")):
+            label = f"cc-{kind} {v[0]}.{v[2]}".replace(" ", "-")
+            out.append((label, f"licensed under cc {kind} {v}", [f"cc {kind} {v}"]))
+            name = " ".join(rights[r] for r in kind.split())
+            out.append((label, f"licensed under a creative commons {name} {v} {port} license", [f"creative commons {name} {v} {port} license"]))
+    for v in ("1 0", "2 0"):
+        out.append((f"epl-{v[0]}.{v[2]}", f"made available under the terms of the eclipse public license v {v}", [f"eclipse public license v {v}"]))
+    return out
+
+
+#: (label, text, mandatory key phrases). A licence may have several forms.
+TEMPLATES = NOTICES + BODIES + versions()
 RARE = 4
+#: The index is broadcast; more postings than these would need a join.
+MOST_POSTINGS = 100_000
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()} | {w for p in PHRASES for w in p.split()})
-#: Every phrase and every template has one of these, so that a file without them has no place of either.
-GATES = ["license", "cc by", "granted free of charge", "redistribution and use"]
+#: Every phrase and every template's mandatory phrases have one of these, so that a file without them has no place of either.
+GATES = ["license", "cc by", "is hereby granted", "redistribution and use", "public domain", "neighboring rights", "permission is granted to anyone"]
 
 
 def _key_places(template: str, phrases: list[str]) -> list[int]:
@@ -47,20 +133,32 @@ def _key_places(template: str, phrases: list[str]) -> list[int]:
 
 def template_words() -> list[tuple[int, str, int, str, bool]]:
     """(template, label, position, word, mandatory) of every template word."""
-    return [(t, label, k, w, k in _key_places(text, keys)) for t, (label, text, keys) in enumerate(TEMPLATES) for k, w in enumerate(text.split())]
+    out = []
+    for t, (label, text, keys) in enumerate(TEMPLATES):
+        places = set(_key_places(text, keys))
+        out += [(t, label, k, w, k in places) for k, w in enumerate(text.split())]
+    if len(out) > MOST_POSTINGS:
+        raise ValueError(f"{len(out)} postings are too many to broadcast")
+    return out
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def words_text(text: Column) -> Column:
     """A text's words, with a space before, between and after; only spaces where there are none."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
 
 
 def phrase_places(parts: list[str]) -> Column:
-    """Starts of a phrase among ``hits``, read through ``at``, the words by position."""
-    words = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(parts)])
+    """Starts of a phrase among ``hits``: all its words are in the vocabulary, so its hits follow each other."""
 
-    def stands(h: Column) -> Column:
-        return (h["w"] == parts[0]) & F.forall(words, lambda x: F.coalesce(F.col("at")[h["p"] + x["i"]] == x["w"], F.lit(False)))
+    def stands(h: Column, i: Column) -> Column:
+        ok = h["w"] == parts[0]
+        for k, w in enumerate(parts[1:], 1):
+            then = F.get("hits", i + k)
+            ok = ok & (then["w"] == w) & (then["p"] == h["p"] + k)
+        return F.coalesce(ok, F.lit(False))
 
     return F.transform(F.filter("hits", stands), lambda h: h["p"])
 
@@ -79,25 +177,24 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         gate = gate | F.contains("s", F.lit(f" {g} "))
     words = F.split(F.trim("s"), " ")
     known = F.array(*[F.lit(w) for w in VOCABULARY])
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda h: F.array_contains(known, h["w"]))
+    hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(VOCABULARY), F.struct(i.alias("p"), w.alias("w")))), lambda h: h.isNotNull())
     n_words = F.when(F.trim("s") == "", 0).otherwise(F.char_length("s") - F.char_length(F.replace("s", F.lit(" "), F.lit(""))) - 1)
     none = F.array().cast("array<struct<p:int,w:string>>")
-    read = rows.select("key", n_words.cast("long").alias("n_words"), F.when(gate, hits).otherwise(none).alias("hits"))
+    read = rows.select("key", n_words.cast("long").alias("n_words"), F.when(gate, hits).otherwise(none).alias("hits"), F.array_intersect(words, known).alias("seen"))
     read = checkpointed(read.withColumn("row", F.monotonically_increasing_id()))
     files = read.where(F.size("hits") > 0)
     placed = files.select("row", F.explode("hits").alias("h")).select("row", "h.p", "h.w")
 
     # places of the plain phrases: a phrase's words at consecutive positions of the row's words
-    at = F.map_from_arrays(F.col("hits.p"), F.col("hits.w"))
     places = [phrase_places(phrase.split()) for phrase in PHRASES]
-    based = files.select("row", "hits", at.alias("at")).select("row", *[p.alias(f"b{i}") for i, p in enumerate(places)])
+    based = files.select("row", *[p.alias(f"b{i}") for i, p in enumerate(places)])
     every = F.concat(*[F.col(f"b{i}") for i in range(len(places))])
     labels = F.array_compact(F.array(*[F.when(F.size(f"b{i}") > 0, F.lit(v)) for i, v in enumerate(PHRASES.values())]))
     based = based.select("row", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(labels).alias("base"))
 
-    # inverse document frequencies over all rows; a row for each word of the templates
+    # inverse document frequencies over all rows, looked up or not; a row for each word of the templates
     total = read.agg(F.count(F.lit(1)).alias("n"))
-    frequency = placed.groupBy("w").agg(F.count_distinct("row").alias("df"))
+    frequency = read.select(F.explode("seen").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     idf = frequency.crossJoin(F.broadcast(total)).select("w", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))  # one row beside a few words
     template = spark.createDataFrame(template_words(), "t int, label string, k int, tw string, must boolean")
     lookup = template.join(F.broadcast(idf), template.tw == idf.w, "left").select("t", "label", "k", "tw", "must", F.coalesce("idf", F.log(F.lit(2.0))).alias("idf"))
@@ -132,17 +229,16 @@ def license_query(docs: DataFrame) -> DataFrame:
 
 
 def license_sql() -> str:
-    """The same scan in SQL."""
+    """The same in SQL, without index, gates and rare words: every place where all mandatory words of a template stand."""
     template = ", ".join(f"({t}, '{label}', {k}, '{w}', {int(m)})" for t, label, k, w, m in template_words())
     phrases = ", ".join(f"({i}, '{label}', {k}, '{w}', {len(p.split())})" for i, (p, label) in enumerate(PHRASES.items()) for k, w in enumerate(p.split()))
-    gates = " OR ".join(f"contains(' ' || array_to_string(ws, ' ') || ' ', ' {g} ')" for g in GATES)
     return f"""
 WITH template(t, label, k, w, must) AS (VALUES {template}), phrase(f, label, k, w, size) AS (VALUES {phrases}),
 docs AS (
   SELECT row_number() OVER () AS r, doc_id,
-    regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
 ), vocabulary AS (SELECT w FROM template UNION SELECT w FROM phrase),
-every AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM docs WHERE {gates}),
+every AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM docs),
 placed AS MATERIALIZED (SELECT r, p, w FROM every SEMI JOIN vocabulary USING (w)),
 stands AS (
   SELECT r, f, label, p - k AS o FROM placed JOIN phrase USING (w) GROUP BY r, f, label, size, p - k HAVING count(*) = size
@@ -153,16 +249,11 @@ stands AS (
 ), lookup AS (
   SELECT t, label, k, template.w, must, coalesce(idf, ln(2.0)) AS idf, sum(coalesce(idf, ln(2.0))) OVER (PARTITION BY t) AS full_,
     sum(must) OVER (PARTITION BY t) AS musts FROM template LEFT JOIN idf USING (w)
-), rare AS (
-  SELECT r, t, w FROM (
-    SELECT r, t, w, row_number() OVER (PARTITION BY r, t ORDER BY idf DESC, w) AS rank
-    FROM (SELECT DISTINCT r, w FROM placed) JOIN (SELECT DISTINCT t, w, idf FROM lookup) USING (w)
-  ) WHERE rank <= {RARE}
 ), votes AS (
-  SELECT r, t, p - k AS o FROM placed JOIN rare USING (r, w) JOIN lookup USING (t, w) GROUP BY r, t, p - k HAVING count(*) >= 2
+  SELECT r, t, p - k AS o FROM placed JOIN (SELECT t, k, w, musts FROM lookup WHERE must = 1) USING (w) GROUP BY r, t, p - k, musts HAVING count(*) = musts
 ), verified AS (
   SELECT votes.r AS r, t, o, label, sum(idf) / any_value(full_) AS share FROM votes JOIN lookup USING (t) JOIN placed ON placed.r = votes.r AND placed.p = o + k AND placed.w = lookup.w
-  GROUP BY votes.r, t, o, label HAVING sum(must) = any_value(musts)
+  GROUP BY votes.r, t, o, label
 ), found AS (SELECT r, max(round(share, 6)) AS score, list(DISTINCT label) AS labels FROM verified GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,

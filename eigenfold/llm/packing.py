@@ -1,10 +1,9 @@
 """Packing of token sequences into fixed windows by harmonic classes.
 
 A piece of length n belongs to the class k = capacity // n, and a bin of class k takes exactly
-k pieces, whatever the other bins hold: workers need to know nothing of each other. Documents
-may be cut, so pieces are cut to a whole window, then to the classes whose length is a power
-of two down to ``finest`` (these fill their bins exactly), and the rest, shorter than
-``finest``, falls into the fine classes, whose bins waste little. When a worker ends, what lies in its
+k pieces, whatever the other bins hold: workers need to know nothing of each other. What a document has beyond whole windows
+stays one piece if k pieces of its length all but fill a bin. Otherwise a piece of the next class's full length,
+capacity // (k + 1), is cut off, k + 1 of which fill a bin, and the rest is looked at in the same way. When a worker ends, what lies in its
 open bins (fewer than k pieces a class) is placed again, longest first.
 """
 
@@ -26,20 +25,23 @@ from tokenizers import Tokenizer
 from .common import slices
 
 CAPACITY = 2048
-FINEST = 64
+#: Share of a bin that pieces of one class may leave empty.
+WASTE = 1 / 32
 END = 1
 
 
 class Numbered(dict):
-    """Numbers its keys from 0 as they are first looked up; ``fresh`` lists the new ones."""
+    """Numbers its keys from 0 as they are first looked up; ``fresh`` lists the new ones, ``characters`` is their length in all."""
 
     def __init__(self):
         super().__init__()
         self.fresh: list[str] = []
+        self.characters = 0
 
     def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
         self.fresh.append(key)
+        self.characters += len(key)
         return n
 
 
@@ -48,12 +50,12 @@ class WordIds:
 
     White space always ends a token of this vocabulary and leaves no id, so that a
     text's ids are those of its parts in a row; so does the border between letters and the
-    punctuation after them. Parts already met are kept, until there are ``most`` of them.
+    punctuation after them. Parts already met are kept, until there are ``most`` of them or they have ``most_characters``.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 800_000, most_characters: int = 16 << 20):
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
+        self.most, self.most_characters = most, most_characters
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -124,7 +126,7 @@ class WordIds:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null is empty."""
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or self.known.characters > self.most_characters:
             self.clear()
         parts = [(SPACE.split(t) if ODD.search(t) else t.split()) if t else [] for t in texts]
         look = self.known.__getitem__
@@ -141,17 +143,16 @@ SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 ODD = re.compile("[\x1c-\x1f]")
 
 
-def cuts(length: int, capacity: int = CAPACITY, finest: int = FINEST) -> list[int]:
+def cuts(length: int, capacity: int = CAPACITY, waste: float = WASTE) -> list[int]:
     """Lengths of the pieces of a document of ``length`` ids."""
     pieces = [capacity] * (length // capacity)
     rest = length % capacity
-    size = capacity // 2
-    while size >= finest:
-        if rest >= size:
-            pieces.append(size)
-            rest -= size
-        size //= 2
-    return pieces + [rest] * (rest > 0)
+    while rest:
+        k = capacity // rest
+        size = rest if k * rest >= capacity * (1 - waste) else capacity // (k + 1)
+        pieces.append(size)
+        rest -= size
+    return pieces
 
 
 class Harmonic:

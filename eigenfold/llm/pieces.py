@@ -27,10 +27,12 @@ from pyspark.sql import types as T
 from .common import map_arrow, slices
 from .packing import Numbered
 
-SPACE = 0x2581
-STRANGE = 0x110000  # stands for a literal U+2581 in a text
+SPACE = 0x2581  # how pieces write a space
+STRANGE = 0x110000  # beyond all characters: stands for a literal U+2581 of a text among its codes
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SPACES = re.compile(" +[^ ]*")
+#: A share of 1, in whole numbers: draws do not depend on what else a worker has met.
+ONE = 1 << 32
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -42,11 +44,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """Lattices of the words met, at most ``most`` of them, and samples from them."""
+    """Lattices of the words met, at most about ``most`` of them and ``most_edges`` edges (24 bytes each), and samples from them."""
 
-    def __init__(self, path: str, theta: float = 1.0, most: int = 250_000):
+    def __init__(self, path: str, theta: float = 1.0, most: int = 250_000, most_edges: int = 8_000_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.most, self.size = most, model.get_piece_size()
+        self.most, self.most_edges, self.size = most, most_edges, model.get_piece_size()
         self.byte = np.zeros(256, np.int64)
         normal: dict[str, int] = {}
         spelt: list[bytes] = []
@@ -86,14 +88,16 @@ class Pieces:
         self.first = np.zeros(0, np.int64)  # by word: its first node; the last is that plus its length
         self.length = np.zeros(0, np.int64)
         self.nodes = 0
-        self.reach = np.zeros(0)  # by edge: its node plus the running share of the edges that end there
+        self.reach = np.zeros(0, np.int64)  # by edge: its node, and below it the running share of the edges that end there
         self.start = np.zeros(0, np.int64)  # node that the edge comes from
         self.token = np.zeros(0, np.int64)  # piece, or -1 - character for bytes
 
     def _lattices(self, words: list[str]) -> None:
-        """Adds the lattices of new words; a word is its spaces as U+2581 and then its characters."""
+        """Adds the lattices of new words; a word is its leading spaces and then its characters."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        chars[chars == SPACE] = STRANGE
+        chars[chars == 0x20] = SPACE
         ends = np.cumsum(size)
         left = np.repeat(ends, size) - np.arange(len(chars))  # characters to the word's end
         node = np.arange(len(chars)) + np.repeat(np.arange(len(words)), size)  # a word has a node more than characters
@@ -114,7 +118,7 @@ class Pieces:
             if n == 1:
                 single[at[whole]] = True
         strange = np.flatnonzero(~single)
-        code = np.where(chars[strange] == STRANGE - 1, SPACE, chars[strange])
+        code = np.where(chars[strange] == STRANGE, SPACE, chars[strange])
         octets = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
         found.append((strange, 1, -1 - code, octets * self.per_byte))
         source = np.concatenate([f[0] for f in found])
@@ -145,14 +149,15 @@ class Pieces:
             value[a:b] = v / np.repeat(sums, counts)
         order = np.argsort(target, kind="stable")
         source, target, token, value = source[order], target[order], token[order], value[order]
-        run = np.cumsum(value)
+        parts = np.rint(value * ONE).astype(np.int64)  # whole numbers add up to the same in any company
+        run = np.cumsum(parts)
         starts = np.flatnonzero(np.diff(target, prepend=-1))
         counts = np.diff(np.append(starts, len(target)))
-        run -= np.repeat(run[starts] - value[starts], counts)
-        run[starts + counts - 1] = 1.0
+        run -= np.repeat(run[starts] - parts[starts], counts)
+        run[starts + counts - 1] = ONE
         self.first = np.concatenate([self.first, self.nodes + ends - size + np.arange(len(words))])
         self.length = np.concatenate([self.length, size])
-        self.reach = np.concatenate([self.reach, self.nodes + target + np.minimum(run, 1.0)])
+        self.reach = np.concatenate([self.reach, (self.nodes + target) * ONE + np.minimum(run, ONE)])
         self.start = np.concatenate([self.start, self.nodes + source])
         self.token = np.concatenate([self.token, token])
         self.nodes += total
@@ -162,18 +167,16 @@ class Pieces:
         at = np.flatnonzero(np.diff(level, prepend=-1))
         return at.tolist(), [*at[1:].tolist(), len(level)]
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text, each with the spaces before it as U+2581; a text has one space put before it."""
-        mark = chr(SPACE)
-        if mark in text:
-            text = text.replace(mark, chr(STRANGE - 1))
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """The words of a text, each with the spaces before it; a text has one space put before it."""
         if "  " in text or text[:1] == " " or text[-1:] == " ":
-            return [w.replace(" ", mark) for w in SPACES.findall(" " + text)]
-        return [mark + w for w in text.split(" ")]
+            return SPACES.findall(" " + text)
+        return [" " + w for w in text.split(" ")]
 
     def sample(self, texts: list[str | None], seeds: np.ndarray) -> list[np.ndarray]:
         """Ids of each text, drawn by its seed (uint64); a null or empty text has none."""
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or len(self.reach) > self.most_edges:
             self.clear()
         look = self.known.__getitem__
         numbers = [np.fromiter(map(look, self.words(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
@@ -194,8 +197,8 @@ class Pieces:
         alive, steps, step = np.arange(len(number)), [], 0
         count = np.zeros(len(number), np.int64)
         while len(alive):
-            u = (mixed(stream[alive] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(self.reach, place[alive] + u * (1 - 1e-9), "right")
+            u = (mixed(stream[alive] + np.uint64(step)) >> np.uint64(32)).astype(np.int64)
+            edge = np.searchsorted(self.reach, place[alive] * ONE + u, "right")
             steps.append((alive, self.token[edge]))
             count[alive] += 1
             place[alive] = self.start[edge]

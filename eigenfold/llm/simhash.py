@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, components, map_arrow, slices
+from .common import checkpointed, components, map_arrow, of_sized, slices
 
 BITS = 64
 
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 def partition_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
     """Bits grouped by correlation: each group grows by the bit most correlated with it."""
     x = ((sample[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(float)
-    x -= x.mean(0)
+    x -= x.mean(0) if len(x) else 0
     scale = np.sqrt((x * x).sum(0))
     corr = np.abs(x.T @ x) / np.maximum(np.outer(scale, scale), 1e-9)
     np.fill_diagonal(corr, 0)
@@ -179,7 +179,7 @@ def paired(keys: DataFrame, by: list[str], groups: list[list[int]], distance: in
     hot = sizes.where(F.col("n") > crowd)
     if hot.isEmpty():
         return edges.distinct()
-    crowded = keys.join(hot.select(*by), by)
+    crowded = of_sized(keys, hot, by)
     return edges.unionByName(split(crowded, by, groups, distance, crowd)).distinct()
 
 
@@ -205,7 +205,7 @@ def split(crowded: DataFrame, by: list[str], groups: list[list[int]], distance:
         .where("a <> b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     )
     edges = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    dense = fine.join(sizes.where(F.col("n") > crowd).select(*keys), keys).select("fp").distinct()
+    dense = of_sized(fine, sizes.where(F.col("n") > crowd), keys).select("fp").distinct()
     # two fingerprints within two bits share one that is at most one bit from each
     around = F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in flips(list(range(BITS)), 1)])
     balls = dense.select("fp", F.explode(around).alias("centre"))

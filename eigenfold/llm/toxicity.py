@@ -37,7 +37,7 @@ IMITATES = {
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in IMITATES) + "“”‘’«»…–—¿"
 SUBSTITUTED, DROPPED, KEPT_APART, REPEATED = 0.5, 0.7, 2.0, 0.3
 #: At least three single characters with white space between them.
-SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S){2,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 TAIL = re.compile(r"(?:!+|\${3,}|\++|\(+)$")
 RUN = re.compile(r"(.)\1\1")
 #: What the channel can change among letters.
@@ -391,7 +391,8 @@ def scored(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
 
 
 def accepted(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that score below ``threshold``, with all their columns."""
+    """The rows that score below ``threshold``, with all their columns. A null or empty text scores the base rate, at most 0.25, and
+    stays; repeated rows are judged alike; an empty table gives none; no other column is read, whatever its name."""
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,6 +64,27 @@ def test_run_is_the_stages_in_a_row(spark, corpus):
     check_packing([(k, by[k]) for k in {r["doc_id"] for r in rows}], rows)
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Empty tables, null keys and texts, repeated rows, and further columns whose names are those of results."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, fp long, component_id long"
+    rng = random.Random(3)
+    rows = [(k, t, "aa", "s", 1, 0.5, "k", 7, 9) for k, t in toxic_rows(rng, 40)[0]]
+    rows += [rows[3], (None, rows[5][1], None, None, None, None, None, None, None), (900, None, None, "s", 0, 0.1, "k", 1, 1), (901, "", "aa", "s", 0, 0.1, "k", 1, 1)]
+    spark.createDataFrame([(k, 1, k % 2) for k in range(20)] + [(None, 1, 1), (5, 1, None), (5, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, frame.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        out = stage(spark, frame, str(tmp_path))
+        if name == "packing":
+            assert {r["doc_id"] for r in out.collect()} == {r[0] for r in rows}
+            continue
+        assert out.columns == empty.columns == frame.columns
+        kept = [tuple(r) for r in out.collect()]
+        assert set(kept) <= set(rows) and len(kept) == len(set(kept)) + (rows[3] in kept and name != "simhash")
+        assert ((None, *rows[-3][1:]) in kept) and (name != "language" or not {900, 901} & {r[0] for r in kept})
+
+
 def test_entry_lists_every_operator():
     import __spark_entry__ as entry
 

@@ -200,6 +200,17 @@ def test_simhash_odd_rows(spark):
     assert simhash.simhash_query(frame(spark, []).limit(0)).count() == 0
 
 
+def test_language_bounds(spark):
+    rows = [(k, f"alpha beta gamma {k} " * 3, "aa") for k in range(30)] + [(100 + k, "rho sigma tau " * 40 + str(k), "bb") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.train(docs, bytes_per_language=10).languages == ["aa", "bb"]  # at least one text each
+    with pytest.raises(ValueError):
+        language.train(docs, most_languages=1)
+    junk = spark.createDataFrame([(1, "alpha beta gamma", "x"), (2, "qzx" * 40 + "JKWVQZ" * 30, "x"), (3, None, "x"), (4, "12", "x"), (1, "alpha beta gamma", "x")], "doc_id long, text string, lang_pred string")
+    assert [r["doc_id"] for r in language.accepted(junk, language.train(docs)).collect()] == [1, 1]
+    assert language.accepted(junk, None).count() == 0 and language.accepted(junk.limit(0), language.train(docs)).count() == 0
+
+
 # --- packing ------------------------------------------------------------------------------------
 
 
@@ -249,7 +260,11 @@ def test_packing_keeps_every_id(spark):
 
 
 def test_harmonic_bins():
-    assert packing.cuts(2048 * 2 + 1024 + 64 + 5) == [2048, 2048, 1024, 64, 5] and packing.cuts(1) == [1]
+    assert packing.cuts(2048 * 2 + 1024 + 64 + 5) == [2048, 2048, 1024, 69] and packing.cuts(1) == [1]
+    assert packing.cuts(2048 * 3) == [2048] * 3 and packing.cuts(680) == [680] and packing.cuts(1500) == [1024, 409, 67]
+    for n in range(1, 5000, 7):
+        found = packing.cuts(n)
+        assert sum(found) == n and all(2048 // x * x >= 2048 * (1 - packing.WASTE) for x in found)
     bins = packing.Harmonic(100)
     done = [x for k in range(3) for x in bins.add((k, 0, 30))]
     assert [(x[-2], x[-1]) for x in done] == [(0, 0), (0, 30), (0, 60)]
@@ -279,6 +294,20 @@ def test_pieces_are_lossless_and_reproducible(spark):
     assert all(r["lossless"] for r in rows) and pieces.pieces_query(frame(spark, []).limit(0)).count() == 0
 
 
+def test_pieces_of_the_last_character_and_of_any_company():
+    """The highest character is not mistaken for another, and a draw does not depend on the words met before."""
+    path, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(12)
+    p = pieces.Pieces(path)
+    texts = ["a\U0010ffffb", "\U0010ffff\u2581 \u2581\U0010ffff", "\u2581", " \u2581 "] + [words(rng, "theringas", 30) for _ in range(200)]
+    seeds = pieces.row_seeds(list(range(len(texts))), 0)
+    first = p.sample(texts, seeds)
+    assert [p.decode(i).decode() for i in first] == texts
+    for k in range(0, len(texts), 20):
+        other = pieces.Pieces(path)
+        other.sample([words(rng, "thoresin", 400)], seeds[:1])
+        assert np.array_equal(other.sample(texts[k : k + 1], seeds[k : k + 1])[0], first[k])
+
+
 def test_pieces_have_the_lattice_distribution():
     p = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     import sentencepiece
@@ -410,6 +439,57 @@ def test_character_model_has_no_cap(spark):
     assert len(want) > 200_000 and sum(len(after) - 1 for after in model.after.values()) == len(want)
 
 
+def test_toxicity_learns_and_scores_as_a_plain_model():
+    rng = random.Random(13)
+    rows, labels = toxic_rows(rng, 240)
+    texts = [(t.replace("blorpf", rng.choice(("blorpf", "bl0rpf", "b l o r p f"))), y) for (_, t), (_, y) in zip(rows, labels)]
+    counts = {}
+    for t, _ in texts:
+        for w in t.split():
+            if w.isalpha():
+                for g, n in plain_grams({w: 1}).items():
+                    counts[g] = counts.get(g, 0) + n
+    letters = toxicity.CharacterModel.of(counts)
+    model = toxicity.learn(texts, letters, 0.2)
+
+    def parts(text, spaced):
+        found = set()
+        for token in text.lower().split():
+            for w in toxicity.words_of(token, letters):
+                found |= {w} | {w[:n] + "-" for n in (4, 5, 6) if n < len(w)}
+        for m in toxicity.SPACED.finditer(text.lower()) if spaced else ():
+            for w in toxicity.restore(m[0], letters):
+                found |= {w} | {w[:n] + "-" for n in (4, 5, 6) if n < len(w)}
+        return found
+
+    toxic = {toxicity.sketch(t): t for t, y in sorted(texts, reverse=True) if y}
+    clean = [t for t, y in texts if not y]
+    share = len(toxic) / (len(toxic) + len(clean))
+    of = [parts(t, False) for t in toxic.values()], [parts(t, False) for t in clean]
+    every = {f for p in of[0] for f in p}
+    hits = {f: n for f in every if (n := sum(f in p for p in of[0])) >= 3}
+    want = {}
+    for f, n in hits.items():
+        m = sum(f in p for p in of[1])
+        p = n / (n + m)
+        gain = n * np.log(p / share) + (m * np.log((1 - p) / (1 - share)) if m else 0)
+        if p >= 0.95 and gain >= np.log(len(hits) + 1) + 5:
+            want[f] = (n + 0.5) / (n + m + 1)
+    assert want and model.weights == pytest.approx(want)
+    missed = sum(not parts(t, True) & set(want) for t in toxic.values())
+    assert model.base == pytest.approx(min(0.25, 0.2 * (missed + 0.5) / (len(toxic) + 1)))
+    for t, _ in texts[:80] + [("", 0), ("b    l  o\tr p f", 1)]:
+        left = 1 - model.base
+        for f in parts(t, True) & set(want):
+            left *= 1 - want[f]
+        assert model.score(t) == pytest.approx(1 - left)
+
+
+def test_spaced_words():
+    found = lambda t: [m[0] for m in toxicity.SPACED.finditer(t)]
+    assert found("an i    d    i \t o    t is") == ["i    d    i \t o    t"] and found("a b c") == ["a b c"] and found("a b cd") == [] and found("x y z word") == ["x y z"]
+
+
 def test_toxicity_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity_query(frame(spark, ODD), none).collect()
@@ -464,6 +544,47 @@ def test_license_phrase_beside_rarer_template_words(spark):
     assert got[1] == "mit-notice" and got[2] == "mpl-2.0"
 
 
+def plain_labels(text):
+    """Labels of every template whose mandatory phrases stand in their places, tried at every place."""
+    low = "".join(c.lower() if c.isascii() else c for c in text or "")
+    w, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low), set(filter(None, plain_scan(text)[4].split(",")))
+    for label, template, keys in licenses.TEMPLATES:
+        t = template.split()
+        must = [(k, t[k]) for k in licenses._key_places(template, keys)]
+        if any(all(0 <= o + k < len(w) and w[o + k] == x for k, x in must) for o in range(-len(t), len(w))):
+            out.add(label)
+    return ",".join(sorted(out))
+
+
+def test_license_index_finds_what_a_scan_of_all_templates_finds(spark):
+    rng, rows = random.Random(14), []
+    for k in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            t = rng.choice(licenses.TEMPLATES)[1].split()
+            a = rng.randrange(len(t)) if rng.random() < 0.3 else 0
+            t = t[a:]
+            if rng.random() < 0.3:
+                t[rng.randrange(len(t))] = rng.choice(licenses.VOCABULARY)
+            parts.append(" ".join(t if rng.random() < 0.8 else rng.sample(t, len(t))))
+        rows.append((k, words(rng, "abcd", 6) + " " + rng.choice((" ", "\n// ", ", (")).join(parts)))
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_query(frame(spark, rows)).collect()}
+    assert [got[k] for k, _ in rows] == [plain_labels(t) for _, t in rows]
+
+
+def test_license_templates():
+    for label, template, keys in licenses.TEMPLATES:
+        assert any(f" {g} " in f" {k} " for g in licenses.GATES for k in keys), label
+        assert len({template.split()[k] for k in licenses._key_places(template, keys)}) >= 2
+    assert all(any(f" {g} " in f" {p} " for g in licenses.GATES) for p in licenses.PHRASES)
+
+
+def test_license_letters_and_long_runs(spark):
+    """Only A-Z are lower-cased, and a long run of one phrase's words takes no time to speak of."""
+    got = {r["doc_id"]: r for r in licenses.license_query(frame(spark, [(1, "MIT L\u0130CENSE mit license"), (2, "M\u0130T license \u212a"), (3, "cc " * 60_000 + "by")])).collect()}
+    assert (got[1]["n_words"], got[1]["n_base"], got[1]["first_word"]) == (4, 1, 2) and got[2]["base_labels"] == "" and (got[3]["n_base"], got[3]["first_word"]) == (1, 59_999)
+
+
 # --- chat -----------------------------------------------------------------------------------------------------------------
 
 
@@ -488,6 +609,19 @@ def test_chat_reads_back(spark):
     assert set(r["conv_id"] for r in chat.chat_query(conversations(spark, []).limit(0)).collect()) == {-7}
 
 
+def test_chat_loss_spans_of_long_conversations(spark):
+    rng = random.Random(15)
+    rows = [(c, t if c != 2 else t // 40, rng.choice(("user", "assistant", None)), rng.choice(("<a>", "\\", "x" * t, "", None, "[b]"))) for c in (1, 2, 3) for t in range(230)]
+    frame_ = conversations(spark, rows)
+    done = {r["conv_id"]: r for r in chat.formatted(frame_.withColumn("parts", chat.text_parts(F.col("text")))).collect()}
+    for c in (1, 2, 3):
+        own = sorted(((t, r or "", x or "") for k, t, r, x in rows if k == c))
+        if c == 2:  # turns of one number come by role, then content as written
+            own = sorted(own, key=lambda x: (x[0], x[1], f"{x[2]}".replace("\\", "\\e").replace("<", "\\l").replace("[", "\\b") + chat.CLOSE))
+        said = [done[c]["formatted"][m["start"] : m["start"] + m["length"]] for m in done[c]["mask"]]
+        assert [x.replace("\\b", "[").replace("\\l", "<").replace("\\e", "\\") for x in said] == [x for _, r, x in own if r == "assistant"]
+
+
 def test_chat_parts(spark):
     part = T.ArrayType(chat.PART)
     schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("parts", part)])
@@ -517,6 +651,39 @@ def test_blocks():
     assert len(html_extract.blocks("<div>" * 3000 + "x" + "</div>" * 3000)) == 1
 
 
+def test_quotes_open_a_value_only_after_an_equals_sign():
+    texts = lambda page: [b.text for b in html_extract.blocks(page)]
+    assert texts("<p title=don't>First para.</p><p>It's second</p><p>third</p>") == ["First para.", "It's second", "third"]
+    assert texts("<p it's>a</p><p data-x = 'b > c' \"d>e</p>f") == ["a", "e", "f"]
+    assert texts("<p class=\"open>a</p><p>b</p>") == ["a", "b"]  # a quote that never closes is none
+
+
+def test_every_path_entry_counts():
+    deep = html_extract.blocks("<footer class='a b c d e f g h zebra'>" + "<div>" * 60 + "x" + "</div>" * 60 + "</footer>")
+    assert {"footer", ".zebra"} <= set(deep[0].path)
+    row = html_extract.vectors(deep)[0]
+    assert row[html_extract.PATH_AT["footer"]] == row[html_extract.PATH_AT[".zebra"]] == 1
+
+
+def test_batches_label_as_a_plain_pass_over_each_page(labeller):
+    """One page, one block and one gate after another, without batches, masks or shared inputs."""
+    made = [html_extract.blocks_and_labels(p)[0] for p in html_extract.sample_pages(12, 77)] + [[]]
+    w = {k: np.asarray(v, np.float64) for k, v in labeller.w.items()}
+    u, sigmoid = html_extract.UNITS, lambda a: 1 / (1 + np.exp(-a))
+    for page, got in zip(made, labeller.content(made)):
+        e = [np.tanh(x.astype(float) @ w["in"] + w["inb"]) for x in html_extract.vectors(page)]
+        sides = []
+        for d in "fb":
+            h, c, out = np.zeros(u), np.zeros(u), {}
+            for t in range(len(e)) if d == "f" else reversed(range(len(e))):
+                a = e[t] @ w[d + "x"] + w[d + "b"] + h @ w[d + "h"]
+                c = sigmoid(a[u : 2 * u]) * c + sigmoid(a[:u]) * np.tanh(a[3 * u :])
+                h = out[t] = sigmoid(a[2 * u : 3 * u]) * np.tanh(c)
+            sides.append(out)
+        scores = [np.concatenate([sides[0][t], sides[1][t], e[t]]) @ w["out"] + w["outb"] for t in range(len(e))]
+        assert all(bool(g) == (s > 0) for g, s in zip(got, scores) if abs(s) > 1e-3) and len(got) == len(page)
+
+
 def test_gradients():
     net, rng = html_extract.Labeller.fresh(1), np.random.default_rng(0)
     net.w = {k: np.asarray(v, np.float64) for k, v in net.w.items()}

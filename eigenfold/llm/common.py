@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,45 @@ def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+class Numbers(dict):
+    """Words numbered from 0 in the order in which they are met; ``characters`` is their length in all."""
+
+    def __init__(self):
+        super().__init__()
+        self.characters = 0
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The numbers of different ``words``, and which of them are new."""
+        numbers = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(numbers < 0)
+        fresh = [words[i] for i in new.tolist()]
+        if fresh:
+            numbers[new] = np.arange(len(self), len(self) + len(fresh))
+            self.update(zip(fresh, numbers[new].tolist()))
+            self.characters += sum(map(len, fresh))
+        return numbers, fresh
+
+
+class Grown:
+    """An array that is added to: ``data`` up to ``size``."""
+
+    def __init__(self):
+        self.data, self.size = np.zeros(1024, np.int64), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data[: self.size], np.zeros(max(need, 2 * self.size) - self.size, np.int64)])
+        self.data[self.size : need] = values
+        self.size = need
+
+
+def distinct_words(words: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """Each word's place among the different ones, and those."""
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the rows' offsets into them; a null is empty."""
     if column.null_count:

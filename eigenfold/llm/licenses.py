@@ -5,16 +5,17 @@ Templates are word sequences of licence notices and bodies, in their versions. T
 postings that agree on the relative position (file position less template position) are intersected, and a
 placement of a template that at least two rare words agree on is verified: all its mandatory key
 phrases have to stand there word by word. Since all mandatory words of a placement that can be verified are in the file, its
-rarest ones agree on it: no such placement is missed. Files without any gate phrase are read once and not looked up.
+rarest ones agree on it: no such placement is missed. Texts are read twice, for the document frequencies and for the look-up, which
+happens in each row: nothing but the counts of the templates' words is shuffled.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-from .common import checkpointed
 
 #: Phrases of the plain scan and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -115,7 +116,7 @@ def versions() -> list[tuple[str, str, list[str]]]:
 #: (label, text, mandatory key phrases). A licence may have several forms.
 TEMPLATES = NOTICES + BODIES + versions()
 RARE = 4
-#: The index is broadcast; more postings than these would need a join.
+#: The index is a constant of the plan; more postings than these would need a join.
 MOST_POSTINGS = 100_000
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()} | {w for p in PHRASES for w in p.split()})
 #: Every phrase and every template's mandatory phrases have one of these, so that a file without them has no place of either.
@@ -138,7 +139,7 @@ def template_words() -> list[tuple[int, str, int, str, bool]]:
         places = set(_key_places(text, keys))
         out += [(t, label, k, w, k in places) for k, w in enumerate(text.split())]
     if len(out) > MOST_POSTINGS:
-        raise ValueError(f"{len(out)} postings are too many to broadcast")
+        raise ValueError(f"{len(out)} postings are too many for a constant")
     return out
 
 
@@ -163,6 +164,34 @@ def phrase_places(parts: list[str]) -> Column:
     return F.transform(F.filter("hits", stands), lambda h: h["p"])
 
 
+def frequencies(spaced: DataFrame) -> tuple[int, dict[str, int]]:
+    """Rows of ``s`` (words between spaces), and how many have each word of the vocabulary (one row a word reaches the driver)."""
+    known = F.array(*[F.lit(w) for w in VOCABULARY])
+    seen = F.concat(F.array_intersect(F.split("s", " "), known), F.array(F.lit("")))  # the empty word counts the rows
+    counts = {r["w"]: r["n"] for r in spaced.select(F.explode(seen).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return counts.pop("", 0), counts
+
+
+INDEX = "array<struct<label:string,full:double,musts:array<struct<w:string,ks:array<int>>>,keys:array<struct<w:string,k:int>>,words:array<struct<w:string,k:int,idf:double>>>>"
+
+
+def index(rows: int, frequency: dict[str, int]) -> Column:
+    """The templates as a constant: label, weight in all, mandatory words from the rarest on with their positions (the postings), mandatory
+    places, and all words with place and weight."""
+    templates: dict[int, dict] = {}
+    for t, label, k, w, must in template_words():
+        idf = math.log((rows + 1) / (frequency[w] + 1)) if w in frequency else math.log(2.0)
+        out = templates.setdefault(t, {"label": label, "full": 0.0, "musts": {}, "keys": [], "words": []})
+        out["full"] += idf
+        out["words"].append({"w": w, "k": k, "idf": idf})
+        if must:
+            out["keys"].append({"w": w, "k": k})
+            out["musts"].setdefault(w, (-idf, w, []))[2].append(k)
+    for out in templates.values():
+        out["musts"] = [{"w": w, "ks": ks} for _, w, ks in sorted(out["musts"].values())]
+    return F.from_json(F.lit(json.dumps(list(templates.values()))), INDEX)
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -170,58 +199,41 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     verified placement; 0 without one. A null or empty text has no words and no labels; repeated rows
     give repeated results, a null key is carried; an empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), words_text(F.col(text)).alias("s"))
+    templates = index(*frequencies(rows.select("s")))
     gate = F.lit(False)
     for g in GATES:
         gate = gate | F.contains("s", F.lit(f" {g} "))
-    words = F.split(F.trim("s"), " ")
-    known = F.array(*[F.lit(w) for w in VOCABULARY])
-    hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(VOCABULARY), F.struct(i.alias("p"), w.alias("w")))), lambda h: h.isNotNull())
     n_words = F.when(F.trim("s") == "", 0).otherwise(F.char_length("s") - F.char_length(F.replace("s", F.lit(" "), F.lit(""))) - 1)
-    none = F.array().cast("array<struct<p:int,w:string>>")
-    read = rows.select("key", n_words.cast("long").alias("n_words"), F.when(gate, hits).otherwise(none).alias("hits"), F.array_intersect(words, known).alias("seen"))
-    read = checkpointed(read.withColumn("row", F.monotonically_increasing_id()))
-    files = read.where(F.size("hits") > 0)
-    placed = files.select("row", F.explode("hits").alias("h")).select("row", "h.p", "h.w")
+    no_words = F.array().cast("array<string>")
+    read = rows.select("key", n_words.cast("long").alias("n_words"), F.when(gate, F.split(F.trim("s"), " ")).otherwise(no_words).alias("ws"))
+    hits = F.filter(F.transform("ws", lambda w, i: F.when(w.isin(VOCABULARY), F.struct(i.alias("p"), w.alias("w")))), lambda h: h.isNotNull())
+    read = read.withColumn("hits", hits).withColumn("seen", F.array_distinct("hits.w"))
 
     # places of the plain phrases: a phrase's words at consecutive positions of the row's words
-    places = [phrase_places(phrase.split()) for phrase in PHRASES]
-    based = files.select("row", *[p.alias(f"b{i}") for i, p in enumerate(places)])
-    every = F.concat(*[F.col(f"b{i}") for i in range(len(places))])
-    labels = F.array_compact(F.array(*[F.when(F.size(f"b{i}") > 0, F.lit(v)) for i, v in enumerate(PHRASES.values())]))
-    based = based.select("row", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(labels).alias("base"))
-
-    # inverse document frequencies over all rows, looked up or not; a row for each word of the templates
-    total = read.agg(F.count(F.lit(1)).alias("n"))
-    frequency = read.select(F.explode("seen").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    idf = frequency.crossJoin(F.broadcast(total)).select("w", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))  # one row beside a few words
-    template = spark.createDataFrame(template_words(), "t int, label string, k int, tw string, must boolean")
-    lookup = template.join(F.broadcast(idf), template.tw == idf.w, "left").select("t", "label", "k", "tw", "must", F.coalesce("idf", F.log(F.lit(2.0))).alias("idf"))
-    lookup = checkpointed(lookup.withColumn("full", F.sum("idf").over(W.partitionBy("t"))).withColumn("musts", F.sum(F.col("must").cast("int")).over(W.partitionBy("t"))))
-
-    # the file's rarest mandatory words of each licence, their postings, and the placements that two of them agree on: any that
-    # can be verified has all mandatory words in place
-    must = lookup.where("must")
-    own = placed.select("row", "w").distinct().join(F.broadcast(must.select(F.col("tw").alias("w"), "t", "idf").distinct()), "w")
-    rare = own.withColumn("rank", F.row_number().over(W.partitionBy("row", "t").orderBy(F.desc("idf"), "w"))).where(F.col("rank") <= RARE).select("row", "w", "t")
-    votes = (
-        placed.join(rare, ["row", "w"]).join(F.broadcast(must.select(F.col("tw").alias("w"), "t", "k")), ["w", "t"])
-        .groupBy("row", "t", (F.col("p") - F.col("k")).alias("o")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    )
-    wanted = votes.join(F.broadcast(lookup), "t").select("row", "t", "o", "label", F.col("tw").alias("w"), (F.col("o") + F.col("k")).alias("p"), "must", "idf", "full", "musts")
-    verified = (
-        wanted.join(placed, ["row", "p", "w"]).groupBy("row", "t", "o", "label", "full", "musts")
-        .agg(F.sum("idf").alias("got"), F.sum(F.col("must").cast("int")).alias("keys")).where("keys = musts")
-    )
-    found = verified.groupBy("row").agg(F.max(F.round(F.col("got") / F.col("full"), 6)).alias("score"), F.collect_set("label").alias("found"))
-    out = read.select("row", "key", "n_words").join(based, "row", "left").join(found, "row", "left")
-    empty = F.array().cast("array<string>")
-    base = F.coalesce("base", empty)
-    return out.select(
-        F.col("key").alias(key), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.array_join(base, ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, F.coalesce("found", empty))), ",").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+    for i, phrase in enumerate(PHRASES):
+        read = read.withColumn(f"b{i}", phrase_places(phrase.split()))
+    every = F.concat(*[F.col(f"b{i}") for i in range(len(PHRASES))])
+    base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"b{i}") > 0, F.lit(v)) for i, v in enumerate(PHRASES.values())])))
+
+    # the templates of which all mandatory words occur; the places that the postings of their rarest ones agree on
+    alive = F.filter(templates, lambda t: F.forall(t["musts"], lambda m: F.array_contains("seen", m["w"])))
+    read = read.withColumn("alive", F.when(F.size("hits") > 0, alive).otherwise(F.array().cast(INDEX)))
+    posted = lambda m: F.flatten(F.transform(F.filter("hits", lambda h: h["w"] == m["w"]), lambda h: F.transform(m["ks"], lambda k: h["p"] - k)))
+    starts = F.transform("alive", lambda t: F.array_sort(F.flatten(F.transform(F.slice(t["musts"], 1, RARE), posted))))
+    read = read.withColumn("starts", starts)
+    agreed = lambda o: F.array_distinct(F.filter(o, lambda x, i: (i > 0) & (x == F.get(o, i - 1))))
+    stands = lambda x, o: F.coalesce(F.when(o + x["k"] >= 0, F.get("ws", o + x["k"])) == x["w"], F.lit(False))
+    verified = F.transform("alive", lambda t, i: F.filter(agreed(F.get("starts", i)), lambda o: F.forall(t["keys"], lambda x: stands(x, o))))
+    read = read.withColumn("verified", verified)
+    share = lambda t, o: F.round(F.aggregate(t["words"], F.lit(0.0), lambda a, x: a + F.when(stands(x, o), x["idf"]).otherwise(0.0)) / t["full"], 6)
+    shares = F.flatten(F.transform("alive", lambda t, i: F.transform(F.get("verified", i), lambda o: share(t, o))))
+    found = F.array_compact(F.transform("alive", lambda t, i: F.when(F.size(F.get("verified", i)) > 0, t["label"])))
+    out = read.select(
+        F.col("key").alias(key), "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
+        base.alias("base"), found.alias("found"), F.coalesce(F.array_max(shares), F.lit(0.0)).alias("score"),
     )
+    return out.select(key, "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("base", "found")), ",").alias("labels"), "score")
 
 
 def license_query(docs: DataFrame) -> DataFrame:

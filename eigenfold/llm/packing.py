@@ -9,12 +9,14 @@ open bins (fewer than k pieces a class) is placed again, longest first.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import slices
+from .common import Numbers, distinct_words, slices
 
 CAPACITY = 2048
 #: Share of a bin that pieces of one class may leave empty.
@@ -30,21 +32,6 @@ WASTE = 1 / 32
 END = 1
 
 
-class Numbered(dict):
-    """Numbers its keys from 0 as they are first looked up; ``fresh`` lists the new ones, ``characters`` is their length in all."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-        self.characters = 0
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.fresh.append(key)
-        self.characters += len(key)
-        return n
-
-
 class WordIds:
     """Token ids of texts, by way of the ids of their parts between white space.
 
@@ -62,7 +49,7 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.known = Numbered()
+        self.known = Numbers()
         self.starts, self.lengths, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(8192, np.uint32), 0
 
     def _store(self, numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
@@ -102,45 +89,57 @@ class WordIds:
         if odd:
             self._plain(odd)
 
-    def _learn(self) -> None:
-        fresh, self.known.fresh = self.known.fresh, []
-        letters, plain, both = [], [], []
-        for w in fresh:
-            if w.isalpha():
-                letters.append(w)
-            elif (stem := w.rstrip(TAIL)).isalpha() and stem.lower().isalpha():  # a few capitals become a letter and a mark
+    def _learn(self, fresh: list[str]) -> None:
+        alone = pc.utf8_is_alpha(pa.array(fresh, pa.string())).to_numpy(zero_copy_only=False)
+        letters, plain, both = [w for w, a in zip(fresh, alone.tolist()) if a], [], []
+        for w in [w for w, a in zip(fresh, alone.tolist()) if not a]:
+            stem = w.rstrip(TAIL)
+            if len(stem) < len(w) and stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):  # a few capitals become a letter and a mark
                 both.append((w, stem, w[len(stem) :]))
             else:
                 plain.append(w)
-        pieces = [x for _, stem, tail in both for x in (self.known[stem], self.known[tail])]
-        fresh, self.known.fresh = self.known.fresh, []
-        for w in fresh:
-            (letters if w.isalpha() else plain).append(w)
+        if both:
+            _, new = self.known.of(list({x: None for _, stem, tail in both for x in (stem, tail)}))
+            for w in new:
+                (letters if w.isalpha() else plain).append(w)
         for at in range(0, len(letters), 20_000):
             self._letters(letters[at : at + 20_000])
         for at in range(0, len(plain), 20_000):
             self._plain(plain[at : at + 20_000])
         if both:
-            ids, n = self._gather(np.array(pieces))
+            ids, n = self._gather(np.fromiter((self.known[x] for _, stem, tail in both for x in (stem, tail)), np.int64, 2 * len(both)))
             self._store(np.array([self.known[w] for w, _, _ in both]), n[::2] + n[1::2], ids)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; a null is empty."""
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and the texts' offsets into them; a null is empty."""
         if len(self.known) > self.most or self.known.characters > self.most_characters:
             self.clear()
-        parts = [(SPACE.split(t) if ODD.search(t) else t.split()) if t else [] for t in texts]
-        look = self.known.__getitem__
-        numbers = [np.fromiter(map(look, p), np.int64, len(p)) for p in parts]
-        if self.known.fresh:
-            self._learn()
-        return [self._gather(n)[0] for n in numbers]
+        texts = texts.fill_null("") if texts.null_count else texts
+        if pc.any(pc.match_substring_regex(texts, ODD)).as_py():
+            parts = [SPACE.split(t) for t in texts.to_pylist()]
+            offsets = np.cumsum([0] + list(map(len, parts)))
+            words = pa.array([w for p in parts for w in p], pa.string())
+        else:
+            parts = pc.utf8_split_whitespace(texts)
+            offsets, words = parts.offsets.to_numpy().astype(np.int64), parts.values
+        place, different = distinct_words(words)
+        numbers, fresh = self.known.of(different)
+        if fresh:
+            self._learn(fresh)
+        ids, n = self._gather(numbers[place])
+        return ids, np.append(0, np.cumsum(n))[offsets]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; a null is empty."""
+        ids, at = self.encoded(pa.array(texts, pa.string()))
+        return [ids[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
 #: Punctuation that stands as a token of its own behind letters.
 TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: White space as the vocabulary's normaliser knows it; Python's also has U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-ODD = re.compile("[\x1c-\x1f]")
+ODD = "[\x1c-\x1f]"
 
 
 def cuts(length: int, capacity: int = CAPACITY, waste: float = WASTE) -> list[int]:
@@ -208,23 +207,25 @@ def packed(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", t
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType)] + [T.StructField(n, T.LongType()) for n in longs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 40
-        words, bins, kind = held_tokenizer(path), Harmonic(capacity), None
+        number = TaskContext.get().partitionId() << 40
+        words, bins, kind, ending = held_tokenizer(path), Harmonic(capacity), None, np.uint32(end).astype("<u4").tobytes()
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows)) if rows else [[]] * 7
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:5]), pa.array([first + b for b in cols[5]], pa.int64()), pa.array(cols[6], pa.int64())], [key, *longs])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:5]), pa.array([number + b for b in cols[5]], pa.int64()), pa.array(cols[6], pa.int64())], [key, *longs])
 
         for whole in batches:
             kind = whole.column(0).type
-            for part in slices(whole, 256):
+            for part in slices(whole, 1024):
                 rows: list[tuple] = []
-                for k, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist())):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4")
-                    at = 0
-                    for n in cuts(len(ids), capacity):
-                        rows.extend(bins.add((k, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids))))
+                ids, offsets = words.encoded(part.column(1))
+                raw, offsets = ids.astype("<u4").tobytes(), offsets.tolist()
+                for k, first, last in zip(part.column(0).to_pylist(), offsets[:-1], offsets[1:]):
+                    at, total = 0, last - first + 1
+                    for n in cuts(total, capacity):
+                        here = zlib.crc32(raw[4 * (first + at) : 4 * min(first + at + n, last)])
                         at += n
+                        rows.extend(bins.add((k, at - n, n, zlib.crc32(ending, here) if at == total else here, total)))
                 if rows:
                     yield batch(rows)
         if rows := list(bins.rest()):
@@ -239,6 +240,7 @@ _held: dict[str, WordIds] = {}
 def held_tokenizer(path: str) -> WordIds:
     """One for each worker process: what it has learned serves the next task too."""
     if path not in _held:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores have tasks of their own
         _held[path] = WordIds(path)
     return _held[path]
 

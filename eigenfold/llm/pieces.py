@@ -18,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, slices
-from .packing import Numbered
+from .common import Grown, Numbers, distinct_words, map_arrow, slices
 
 SPACE = 0x2581  # how pieces write a space
 STRANGE = 0x110000  # beyond all characters: stands for a literal U+2581 of a text among its codes
@@ -33,6 +33,8 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SPACES = re.compile(" +[^ ]*")
 #: A share of 1, in whole numbers: draws do not depend on what else a worker has met.
 ONE = 1 << 32
+#: Characters of new words whose lattices are built together.
+AT_ONCE = 4_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -84,13 +86,14 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.known = Numbered()
-        self.first = np.zeros(0, np.int64)  # by word: its first node; the last is that plus its length
-        self.length = np.zeros(0, np.int64)
+        self.known = Numbers()
+        self.first = Grown()  # by word: its first node; the last is that plus its length
+        self.length = Grown()
         self.nodes = 0
-        self.reach = np.zeros(0, np.int64)  # by edge: its node, and below it the running share of the edges that end there
-        self.start = np.zeros(0, np.int64)  # node that the edge comes from
-        self.token = np.zeros(0, np.int64)  # piece, or -1 - character for bytes
+        self.edge = Grown()  # by node: the first edge that ends there
+        self.reach = Grown()  # by edge: the running share of the edges that end at the same node
+        self.start = Grown()  # node that the edge comes from
+        self.token = Grown()  # piece, or -1 - character for bytes
 
     def _lattices(self, words: list[str]) -> None:
         """Adds the lattices of new words; a word is its leading spaces and then its characters."""
@@ -134,7 +137,8 @@ class Pieces:
         since = np.arange(total) - np.maximum.accumulate(np.where(cut, np.arange(total), 0))
         # an edge's level: how far its end lies from the last such node at or before its start
         level = target - source + since[source]
-        order = np.lexsort((target, level))
+        size_of, small = target - source, total < 1 << 25  # as one number, in which no two edges are alike, while it fits
+        order = np.argsort(((level << 25) + target << 5) + size_of) if small else np.lexsort((size_of, target, level))
         source, target, token, cost, level = source[order], target[order], token[order], cost[order], level[order]
         alpha = np.zeros(total)
         value = np.empty(len(source))
@@ -147,19 +151,23 @@ class Pieces:
             sums = np.add.reduceat(v, starts)
             alpha[target[a:b][starts]] = top + np.log(sums)
             value[a:b] = v / np.repeat(sums, counts)
-        order = np.argsort(target, kind="stable")
-        source, target, token, value = source[order], target[order], token[order], value[order]
         parts = np.rint(value * ONE).astype(np.int64)  # whole numbers add up to the same in any company
+        # by node, the likeliest edge first: a draw rarely looks further
+        order = np.argsort((((target << 33) + ONE - parts) << 5) + target - source) if small else np.lexsort((target - source, -parts, target))
+        source, target, token, parts = source[order], target[order], token[order], parts[order]
         run = np.cumsum(parts)
         starts = np.flatnonzero(np.diff(target, prepend=-1))
         counts = np.diff(np.append(starts, len(target)))
         run -= np.repeat(run[starts] - parts[starts], counts)
         run[starts + counts - 1] = ONE
-        self.first = np.concatenate([self.first, self.nodes + ends - size + np.arange(len(words))])
-        self.length = np.concatenate([self.length, size])
-        self.reach = np.concatenate([self.reach, (self.nodes + target) * ONE + np.minimum(run, ONE)])
-        self.start = np.concatenate([self.start, self.nodes + source])
-        self.token = np.concatenate([self.token, token])
+        ending = np.zeros(total, np.int64)
+        ending[target[starts]] = self.reach.size + starts
+        self.edge.add(ending)
+        self.first.add(self.nodes + ends - size + np.arange(len(words)))
+        self.length.add(size)
+        self.reach.add(np.minimum(run, ONE))
+        self.start.add(self.nodes + source)
+        self.token.add(token)
         self.nodes += total
 
     @staticmethod
@@ -168,57 +176,83 @@ class Pieces:
         return at.tolist(), [*at[1:].tolist(), len(level)]
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        """The words of a text, each with the spaces before it; a text has one space put before it."""
-        if "  " in text or text[:1] == " " or text[-1:] == " ":
-            return SPACES.findall(" " + text)
-        return [" " + w for w in text.split(" ")]
-
-    def sample(self, texts: list[str | None], seeds: np.ndarray) -> list[np.ndarray]:
-        """Ids of each text, drawn by its seed (uint64); a null or empty text has none."""
-        if len(self.known) > self.most or len(self.reach) > self.most_edges:
+    def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The texts' words, each with the spaces before it (a text has one space put before it): offsets of the texts, every word's
+        place among the different ones, and those."""
+        runs = pc.any(pc.match_substring_regex(texts, "^ | $|  ")).as_py()
+        if not runs:
+            parts = pc.split_pattern(texts, " ")
+            place, different = distinct_words(parts.values)
+            return parts.offsets.to_numpy().astype(np.int64), place, [" " + w for w in different]
+        parts = [SPACES.findall(" " + t) for t in texts.to_pylist()]
+        place, different = distinct_words(pa.array([w for p in parts for w in p], pa.string()))
+        return np.cumsum([0, *map(len, parts)]), place, different
+
+    def sample(self, texts: pa.Array | list[str | None], seeds: np.ndarray, words: int = 200_000) -> list[np.ndarray]:
+        """Ids of each text, drawn by its seed (uint64); a null or empty text has none. ``words`` are drawn
+        at once."""
+        if len(self.known) > self.most or self.reach.size > self.most_edges:
             self.clear()
-        look = self.known.__getitem__
-        numbers = [np.fromiter(map(look, self.words(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
-        if self.known.fresh:
-            fresh, self.known.fresh = self.known.fresh, []
-            self._lattices(fresh)
-        out = []
-        for number, seed in zip(numbers, seeds):
-            parts = [self._draw(number[at : at + 200_000], seed, at) for at in range(0, len(number), 200_000)]
-            out.append(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        some = np.flatnonzero(pc.greater(pc.binary_length(texts).fill_null(0), 0).to_numpy(zero_copy_only=False))
+        out = [np.zeros(0, np.int64)] * len(texts)
+        offsets, place, different = self.words(texts.take(pa.array(some)))
+        number, fresh = self.known.of(different)
+        ends = np.cumsum([len(w) for w in fresh])
+        for at in range(0, int(ends[-1]) if fresh else 0, AT_ONCE):
+            if part := fresh[np.searchsorted(ends, at, "right") if at else 0 : np.searchsorted(ends, at + AT_ONCE, "right") if at + AT_ONCE < ends[-1] else None]:
+                self._lattices(part)
+        size = np.diff(offsets)
+        owner, base = np.repeat(some, size), np.repeat(offsets[:-1], size)
+        stream = mixed(seeds[owner] + (np.arange(len(place)) - base).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        ids, count = [], []
+        for at in range(0, len(place), words):
+            drawn, n = self._draw(number[place[at : at + words]], stream[at : at + words])
+            ids.append(drawn)
+            count.append(n)
+        if len(some):
+            every, ends = np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(count)))[offsets]
+            for i, first, last in zip(some.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+                out[i] = every[first:last]
         return out
 
-    def _draw(self, number: np.ndarray, seed: np.uint64, base: int) -> np.ndarray:
-        """Ids of words in a row; ``base``: how many words of the text came before."""
-        begin = self.first[number]
-        place = begin + self.length[number]
-        stream = mixed(seed + np.arange(base, base + len(number), dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    def _draw(self, number: np.ndarray, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, each drawn from its stream, and each word's count."""
+        begin = self.first.data[number]
+        place = begin + self.length.data[number]
         alive, steps, step = np.arange(len(number)), [], 0
         count = np.zeros(len(number), np.int64)
         while len(alive):
             u = (mixed(stream[alive] + np.uint64(step)) >> np.uint64(32)).astype(np.int64)
-            edge = np.searchsorted(self.reach, place[alive] * ONE + u, "right")
-            steps.append((alive, self.token[edge]))
+            edge = self.edge.data[place[alive]]
+            behind = np.flatnonzero(self.reach.data[edge] <= u)
+            while len(behind):
+                edge[behind] += 1
+                behind = behind[self.reach.data[edge[behind]] <= u[behind]]
+            steps.append((alive, self.token.data[edge]))
             count[alive] += 1
-            place[alive] = self.start[edge]
+            place[alive] = self.start.data[edge]
             alive = alive[place[alive] > begin[alive]]
             step += 1
         ids = np.empty(count.sum(), np.int64)
         last = np.cumsum(count) - 1
         for k, (who, token) in enumerate(steps):
             ids[last[who] - k] = token
-        if len(ids) and ids.min() < 0:  # characters spelt in bytes
+        strange = np.flatnonzero(ids < 0)
+        if len(strange):  # characters spelt in bytes
+            codes, which = np.unique(-1 - ids[strange], return_inverse=True)
+            spelt = [chr(c).encode("utf8", "surrogatepass") for c in codes.tolist()]
+            octets = np.frombuffer(b"".join(o.ljust(4, b"\0") for o in spelt), np.uint8).reshape(-1, 4)[which]
+            long = np.array(list(map(len, spelt)))[which]
             size = np.ones(len(ids), np.int64)
-            strange = {t: self.byte[np.frombuffer(chr(-1 - t).encode("utf8", "surrogatepass"), np.uint8)] for t in np.unique(ids[ids < 0]).tolist()}
-            where = {t: np.flatnonzero(ids == t) for t in strange}
-            for t, octets in strange.items():
-                size[where[t]] = len(octets)
-            ids, at = np.repeat(ids, size), np.cumsum(size) - size
-            for t, octets in strange.items():
-                for k, octet in enumerate(octets):
-                    ids[at[where[t]] + k] = octet
-        return ids
+            size[strange] = long
+            word = np.repeat(np.repeat(np.arange(len(number)), count), size)
+            ids, at = np.repeat(ids, size), (np.cumsum(size) - size)[strange]
+            for k in range(4):
+                more = long > k
+                ids[at[more] + k] = self.byte[octets[more, k]]
+            count = np.bincount(word, minlength=len(number))
+        return ids, count
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text in UTF-8: the pieces' bytes in a row without the space put before it."""
@@ -252,7 +286,7 @@ def encoded(docs: DataFrame, model: str | None = None, key: str = "doc_id", text
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         pieces = held_pieces(path, theta)
         for part in slices(batch, 256):
-            ids = pieces.sample(part.column(1).to_pylist(), row_seeds(part.column(0).to_pylist(), seed))
+            ids = pieces.sample(part.column(1), row_seeds(part.column(0).to_pylist(), seed))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))], [key, "ids"])
 
     return map_arrow(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, schema)
@@ -284,7 +318,7 @@ def pieces_query(docs: DataFrame, theta: float = 1.0, seed: int = 0) -> DataFram
         for part in slices(batch, 256):
             texts = part.column(1).to_pylist()
             rows = []
-            for t, ids in zip(texts, pieces.sample(texts, row_seeds(part.column(0).to_pylist(), seed))):
+            for t, ids in zip(texts, pieces.sample(part.column(1), row_seeds(part.column(0).to_pylist(), seed))):
                 back = pieces.decode(ids)
                 rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(back), back == (t or "").encode("utf8", "surrogatepass")))
             cols = list(zip(*rows)) if rows else [[]] * 4

@@ -20,11 +20,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fold, slices
+from .common import checkpointed, distinct_words, fold, slices
 
 BREAK = "#"
 THRESHOLD = 0.3
@@ -42,6 +43,8 @@ TAIL = re.compile(r"(?:!+|\${3,}|\++|\(+)$")
 RUN = re.compile(r"(.)\1\1")
 #: What the channel can change among letters.
 OPEN = re.compile(rf"(.)\1|[{''.join(c for c in IMITATES if c.isalpha())}]")
+ALIKE = re.compile(f"[{''.join(c for c in IMITATES if c.isalpha())}]")
+REPETITION = re.compile(r"(.)\1+")
 
 
 def grams(words: dict[str, int]) -> tuple[list[str], np.ndarray]:
@@ -178,9 +181,18 @@ def restore(raw: str, model: CharacterModel) -> list[str]:
     return "".join(reversed(letters)).split()
 
 
+def bare(token: str) -> str:
+    """A token between white space without the punctuation around it."""
+    core = token.strip(EDGE)
+    return TAIL.sub("", core).strip(EDGE) if core[-1:] in ("!", "$", "+", "(") else core
+
+
 def words_of(token: str, model: CharacterModel | None) -> list[str]:
     """The words that a token between white space stands for."""
-    core = TAIL.sub("", token.strip(EDGE)).strip(EDGE)
+    return words_in(bare(token), model)
+
+
+def words_in(core: str, model: CharacterModel | None) -> list[str]:
     if core.isalpha() and (model is None or not OPEN.search(core)):
         return [core]
     if not any(map(str.isalpha, core)):
@@ -190,6 +202,11 @@ def words_of(token: str, model: CharacterModel | None) -> list[str]:
     return restore(core, model)
 
 
+def squeezed(word: str) -> str:
+    """With every run of one letter as one letter: what dropping repetitions leaves alike."""
+    return REPETITION.sub(r"\1", word)
+
+
 def features(word: str) -> list[str]:
     """The word and its beginnings of four to six letters."""
     return [word] + [f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n]
@@ -201,9 +218,13 @@ class ToxicityModel:
     weights: dict[str, float]
     base: float
     held: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    heads: frozenset[str] = frozenset()
+
+    def __post_init__(self):
+        self.heads = frozenset(squeezed(f.rstrip("-"))[:3] for f in self.weights)
 
     def __getstate__(self):
-        return {"letters": self.letters, "weights": self.weights, "base": self.base, "held": {}}
+        return self.__dict__ | {"held": {}}
 
     @contextmanager
     def remembering(self) -> Iterator[ToxicityModel]:
@@ -216,35 +237,46 @@ class ToxicityModel:
 
     def known(self, token: str) -> tuple[str, ...]:
         """The learned features in a token."""
-        found = tuple(f for w in words_of(token, self.letters) for f in features(w) if f in self.weights)
-        if len(self.held) > 200_000:
-            self.held.clear()
-        self.held[token] = found
+        core = bare(token)
+        if core.isalpha() and not ALIKE.search(core):
+            # the channel can only drop repetitions here: the word begins like a feature, both squeezed, or has none
+            plain = not OPEN.search(core)
+            least = core if plain else squeezed(core)
+            if least[:3] not in self.heads and least[:2] not in self.heads and least[:1] not in self.heads:
+                return ()
+            if plain:
+                return tuple(f for f in features(core) if f in self.weights)
+        found = self.held.get(core)
+        if found is None:
+            found = tuple(f for w in words_in(core, self.letters) for f in features(w) if f in self.weights)
+            if len(self.held) > 200_000:
+                self.held.clear()
+            if len(core) <= 64:
+                self.held[core] = found
         return found
 
-    def found(self, text: str | None) -> set[str]:
-        out: set[str] = set()
-        if not text:
-            return out
-        low = text.lower()
-        held = self.held
-        for token in set(low.split()):
-            got = held.get(token)
-            if got is None:
-                got = self.known(token)
-            if got:
-                out.update(got)
-        for m in SPACED.finditer(low):
-            for w in restore(m[0], self.letters):
-                out.update(f for f in features(w) if f in self.weights)
+    def found(self, texts: list[str | None]) -> list[set[str]]:
+        """The learned features in each text; each different token of the texts is looked at once."""
+        low = [t.lower() if t else "" for t in texts]
+        parts = pc.utf8_split_whitespace(pa.array(low, pa.string()))
+        place, different = distinct_words(parts.values)
+        known = [self.known(w) for w in different]
+        at = np.flatnonzero(np.fromiter(map(bool, known), bool, len(known))[place]) if known else np.zeros(0, np.int64)
+        out: list[set[str]] = [set() for _ in texts]
+        for i, k in zip((np.searchsorted(parts.offsets.to_numpy(), at, "right") - 1).tolist(), place[at].tolist()):
+            out[i].update(known[k])
+        for t, own in zip(low, out):
+            for m in SPACED.finditer(t):
+                for w in restore(m[0], self.letters):
+                    own.update(f for f in features(w) if f in self.weights)
         return out
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list[str | None]) -> list[float]:
         """Probability that at least one of the features found is toxic, or the rest's rate."""
-        clean = 1 - self.base
-        for f in self.found(text):
-            clean *= 1 - self.weights[f]
-        return min(1.0, max(0.0, 1 - clean))
+        return [min(1.0, max(0.0, 1 - (1 - self.base) * math.prod(1 - self.weights[f] for f in sorted(own)))) for own in self.found(texts)]
+
+    def score(self, text: str | None) -> float:
+        return self.scores([text])[0]
 
 
 def sketch(text: str) -> int:
@@ -263,7 +295,7 @@ def plain_words(counts: dict[str, int]) -> Counter:
     return out
 
 
-def letters_of(docs: DataFrame, text: str = "text", most: int | None = None, distinct: int = 50_000) -> CharacterModel:
+def letters_of(docs: DataFrame, text: str = "text", most: int | None = None, distinct: int = 100_000) -> CharacterModel:
     """The character model of all texts of ``docs``, with every string counted.
 
     A task counts tokens, turns every ``distinct`` different ones into strings of four characters, and sends only their
@@ -347,7 +379,7 @@ def learn(texts: list[tuple[str, int]], letters: CharacterModel, rate: float | N
         if p >= 0.95 and gain >= needed:
             weights[f] = (n + 0.5) / (n + m + 1)
     model = ToxicityModel(letters, weights, 0.0)
-    missed = sum(not model.found(t) for t in toxic.values()) + 0.5
+    missed = sum(not own for own in model.found(list(toxic.values()))) + 0.5
     model.held.clear()
     rate = share if rate is None else rate
     model.base = min(0.25, rate * missed / (len(toxic) + 1))
@@ -383,8 +415,8 @@ def scored(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with held.value.remembering() as own:
-            for part in (p for b in batches for p in slices(b)):
-                score = [own.score(t) for t in part.column(1).to_pylist()]
+            for part in (p for b in batches for p in slices(b, 1024)):
+                score = own.scores(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], [key, "score"])
 
     return frame.mapInArrow(run, schema)
@@ -397,8 +429,8 @@ def accepted(docs: DataFrame, model: ToxicityModel, text: str = "text", threshol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with held.value.remembering() as own:
-            for part in (p for b in batches for p in slices(b)):
-                yield part.filter(pa.array([own.score(t) < threshold for t in part.column(at).to_pylist()], pa.bool_()))
+            for part in (p for b in batches for p in slices(b, 1024)):
+                yield part.filter(pa.array([x < threshold for x in own.scores(part.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import Numbers, distinct_words, slices
+from .common import Numbers, distinct_words, release, slices
 
 CAPACITY = 2048
 #: Share of a bin that pieces of one class may leave empty.
@@ -230,6 +230,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", t
                     yield batch(rows)
         if rows := list(bins.rest()):
             yield batch(rows)
+        release()
 
     return frame.mapInArrow(run, schema)
 

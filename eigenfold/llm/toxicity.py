@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, distinct_words, fold, slices
+from .common import checkpointed, distinct_words, fold, release, slices
 
 BREAK = "#"
 THRESHOLD = 0.3
@@ -234,6 +234,7 @@ class ToxicityModel:
         finally:
             self.held.clear()
             self.letters.forget()
+            release()
 
     def known(self, token: str) -> tuple[str, ...]:
         """The learned features in a token."""
@@ -318,6 +319,7 @@ def letters_of(docs: DataFrame, text: str = "text", most: int | None = None, dis
                 if len(tokens) > distinct:
                     yield counted()
         yield counted()
+        release()
 
     four = docs.select(F.col(text).alias("text")).mapInArrow(run, "context long, c int, n long").groupBy("context", "c").agg(F.sum("n").alias("n"))
     masks = F.array(*[F.lit((1 << WIDE * k) - 1).cast("long") for k in range(4)])

@@ -1,13 +1,14 @@
 """Matrices as DataFrames of coordinates, and what Spark does with them.
 
 A matrix is (i, j, v) or, if complex, (i, j, v, vi); entries at one place add up. A product with a block of vectors takes one of
-two plans. While the vectors fit the driver's bound (``VECTOR_BYTES``), they are broadcast and every task multiplies its rows in
-Arrow batches, without a shuffle. Beyond that the vectors are a DataFrame (i, x array) too, and the product is an equi-join on j
-with a partial and a final sum by i.
+two plans. While the vectors fit the driver's bound (``VECTOR_BYTES``), they are broadcast and every task multiplies its compressed
+rows, all in one job without a shuffle; tasks own disjoint rows of the answer. Beyond that the vectors are a DataFrame (i, x array) too, and
+the product is an equi-join on j with a partial and a final sum by i.
 """
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -22,12 +23,20 @@ from pyspark.sql import functions as F
 VECTOR_BYTES = 256 << 20
 #: Matrices up to this many rows may be gathered and treated as dense.
 DENSE_ROWS = 2000
+#: A task's share of a matrix: about this many entries (24 bytes each, 32 if complex), written in rows of ``CHUNK`` entries.
+ENTRIES, CHUNK = 4_000_000, 500_000
+#: Sparse matrices of up to this many entries (24 MB) are gathered too, for solvers that take thousands of products.
+GATHERED = 1_000_000
+#: Fewer entries than these are not worth a task of their own.
+FEW = 200_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the session's ``spark.checkpoint.dir`` and read back; a temporary folder only where that is unset."""
+    """Written to the session's ``spark.checkpoint.dir`` and read back; a temporary folder only where that is unset on one machine."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("a cluster needs a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
@@ -108,6 +117,7 @@ class Operator:
     complex: bool = False
     diagonal: np.ndarray | None = None
     norm: float | None = None
+    symmetric: Callable[[], bool] | None = None
 
     @property
     def rows(self) -> int:
@@ -124,6 +134,30 @@ def of_array(a: np.ndarray) -> Operator:
     return Operator(a.shape[1], lambda x: a @ x, lambda x: a.conj().T @ x, a.shape[0], np.iscomplexobj(a), np.diagonal(a).copy(), float(np.abs(a).sum(1).max(initial=0)))
 
 
+def of_entries(i: np.ndarray, j: np.ndarray, v: np.ndarray, rows: int, cols: int, symmetric: Callable[[], bool] | None = None) -> Operator:
+    """The operator of coordinates in memory."""
+
+    def product(to: np.ndarray, at: np.ndarray, v: np.ndarray, size: int) -> Callable[[np.ndarray], np.ndarray]:
+        order = np.argsort(to, kind="stable")
+        to, at, v = to[order], at[order], v[order]
+        first = np.flatnonzero(np.diff(to, prepend=-1))
+        lines = to[first]
+
+        def apply(x: np.ndarray) -> np.ndarray:
+            y = np.zeros((size, *x.shape[1:]), np.result_type(v, x))
+            if len(first):
+                y[lines] = np.add.reduceat(v * x[at], first) if x.ndim == 1 else np.add.reduceat(v[:, None] * x[at], first, axis=0)
+            return y
+
+        return apply
+
+    d = np.zeros(min(rows, cols), v.dtype)
+    np.add.at(d, i[i == j], v[i == j])
+    apply = product(i, j, v, rows)
+    norm = float(np.bincount(i, np.abs(v), rows).max(initial=0))
+    return Operator(cols, apply, product(j, i, v.conj(), cols), rows, np.iscomplexobj(v), d if rows == cols else None, norm, symmetric)
+
+
 @dataclass
 class Matrix:
     """``df`` with its numbers of rows and columns."""
@@ -132,7 +166,9 @@ class Matrix:
     rows: int
     cols: int
     partitions: int | None = None
+    gathered: int = GATHERED
     _packed: DataFrame | None = field(default=None, repr=False)
+    _flipped: Matrix | None = field(default=None, repr=False)
 
     @property
     def complex(self) -> bool:
@@ -144,57 +180,78 @@ class Matrix:
 
     @property
     def T(self) -> Matrix:
-        return Matrix(transposed(self.df), self.cols, self.rows, self.partitions)
+        return Matrix(transposed(self.df), self.cols, self.rows, self.partitions, self.gathered)
 
     def packed(self) -> DataFrame:
-        """The coordinates by row block, sorted and kept by the executors; lost parts are made again."""
+        """Compressed rows, kept by the executors (lost parts are made again): each row of the frame has some rows of the matrix, whose
+        numbers, first entries, columns and values are arrays as bytes. A row of the matrix lies in one task."""
         if self._packed is None:
-            n = self.partitions or self.spark.sparkContext.defaultParallelism
+            entries = self.df.count()
+            n = self.partitions or max(math.ceil(entries / ENTRIES), min(self.spark.sparkContext.defaultParallelism, math.ceil(entries / FEW)), 1)
             width = max(1, -(-self.rows // (4 * n)))
             salted = F.pmod(F.xxhash64(F.floor(F.col("i") / width)), F.lit(n))
-            self._packed = self.df.repartition(n, salted).sortWithinPartitions("i").persist(StorageLevel.MEMORY_AND_DISK)
+            dealt = self.df.select("i", "j", F.col("v").cast("double"), *(["vi"] if self.complex else [])).repartition(n, salted).sortWithinPartitions("i")
+            cplx = self.complex
+
+            def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    for at in range(0, b.num_rows, CHUNK):
+                        part = b.slice(at, CHUNK)
+                        i, j, v = (part.column(c).to_numpy() for c in ("i", "j", "v"))
+                        if cplx:
+                            v = v + 1j * part.column("vi").to_numpy()
+                        first = np.flatnonzero(np.diff(i, prepend=i[0] - 1))
+                        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (i[first].astype("<i8"), first.astype("<i8"), j.astype("<i8"), v)], ["i", "first", "j", "v"])
+
+            self._packed = dealt.mapInArrow(compress, "i binary, first binary, j binary, v binary").persist(StorageLevel.MEMORY_AND_DISK)
         return self._packed
 
     def unpersist(self) -> None:
         if self._packed is not None:
             self._packed.unpersist()
             self._packed = None
+        if self._flipped is not None:
+            self._flipped.unpersist()
+            self._flipped = None
 
-    def _times(self, x: np.ndarray, adjoint: bool) -> np.ndarray:
-        size = self.cols if adjoint else self.rows
+    def apply(self, x: np.ndarray) -> np.ndarray:
+        """A x for one or more columns: one job, in which each task gives its rows of the answer once."""
+        if x.ndim == 1:
+            return self.apply(x[:, None])[:, 0]
         x = np.ascontiguousarray(x, complex if np.iscomplexobj(x) else float)
-        if max(x.nbytes, size * x.shape[1] * 16) > VECTOR_BYTES:
+        if max(x.nbytes, self.rows * x.shape[1] * 16) > VECTOR_BYTES:
             raise MemoryError("the vectors exceed VECTOR_BYTES; use frames (joined_block, basis.Frames)")
-        held = self.spark.sparkContext.broadcast(x)
-        cplx, out, inn = self.complex, "j" if adjoint else "i", "i" if adjoint else "j"
+        # a short block travels with the job itself
+        held, kind = self.spark.sparkContext.broadcast(x) if x.nbytes > 1 << 19 else None, "<c16" if self.complex else "<f8"
+        small = x if held is None else None
+        answer = np.dtype(complex if self.complex or np.iscomplexobj(x) else float)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x = held.value
+            x, rows, parts = small if held is None else held.value, [], []
             for b in batches:
-                if not b.num_rows:
-                    continue
-                at, to = b.column(inn).to_numpy(), b.column(out).to_numpy()
-                v = b.column("v").to_numpy()
-                if cplx:
-                    v = v + (-1j if adjoint else 1j) * b.column("vi").to_numpy()
-                order = np.argsort(to, kind="stable")
-                to = to[order]
-                first = np.flatnonzero(np.diff(to, prepend=to[0] - 1))
-                y = np.add.reduceat(v[order][:, None] * x[at[order]], first, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array([to[first].astype("<i8").tobytes()], pa.binary()), pa.array([np.ascontiguousarray(y).tobytes()], pa.binary())], ["to", "y"])
-
-        result = np.zeros((size, x.shape[1]), complex if cplx or np.iscomplexobj(x) else float)
-        for row in self.packed().mapInArrow(run, "to binary, y binary").toLocalIterator():
+                for i, first, j, v in zip(*(b.column(c).to_pylist() for c in ("i", "first", "j", "v"))):
+                    first, j, v = np.frombuffer(first, "<i8"), np.frombuffer(j, "<i8"), np.frombuffer(v, kind)
+                    rows.append(np.frombuffer(i, "<i8"))
+                    parts.append(np.stack([np.add.reduceat(v * c[j], first) for c in x.T], 1))
+            if rows:
+                i, y = np.concatenate(rows), np.concatenate(parts).astype(answer, copy=False)
+                first = np.flatnonzero(np.diff(i, prepend=i[0] - 1))  # a row may go on in the next chunk
+                y = np.add.reduceat(y, first, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array([i[first].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(y).tobytes()], pa.binary())], ["to", "y"])
+
+        result = np.zeros((self.rows, x.shape[1]), answer)
+        for row in self.packed().mapInArrow(run, "to binary, y binary").collect():
             to = np.frombuffer(row["to"], "<i8")
-            np.add.at(result, to, np.frombuffer(row["y"], result.dtype).reshape(len(to), -1))
-        held.unpersist()
+            result[to] = np.frombuffer(row["y"], answer).reshape(len(to), -1)
+        if held is not None:
+            held.unpersist()
         return result
 
-    def apply(self, x: np.ndarray) -> np.ndarray:
-        return self._times(x[:, None], False)[:, 0] if x.ndim == 1 else self._times(x, False)
-
     def adjoint(self, x: np.ndarray) -> np.ndarray:
-        return self._times(x[:, None], True)[:, 0] if x.ndim == 1 else self._times(x, True)
+        """A^H x: the transpose has its own compressed rows, so that this is one job without a shuffle too."""
+        if self._flipped is None:
+            self._flipped = self.T
+        return self._flipped.apply(x.conj()).conj() if self.complex else self._flipped.apply(x)
 
     def dense(self) -> np.ndarray:
         if max(self.rows, self.cols) > DENSE_ROWS:
@@ -222,11 +279,16 @@ class Matrix:
         return self.df.groupBy("i", "j").agg(F.sum("v").alias("v"), *vi)
 
     def norm(self, kind: str = "inf") -> float:
-        places = self._places()
-        if kind == "frobenius":
-            return float(places.agg(F.sqrt(F.sum(self._size() * self._size()))).first()[0] or 0.0)
-        by = "i" if kind == "inf" else "j"
-        return float(places.groupBy(by).agg(F.sum(self._size()).alias("s")).agg(F.max("s")).first()[0] or 0.0)
+        return self.norms(kind)[kind]
+
+    def norms(self, *kinds: str) -> dict[str, float]:
+        """Several norms ("frobenius", "inf", "one") from one reading of the coordinates."""
+        places = self._places().select("i", "j", self._size().alias("a"))
+        lines = places.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("at")), F.struct(F.lit(1).alias("side"), F.col("j").alias("at")))).alias("k"), "a")
+        found = lines.groupBy("k").agg(F.sum("a").alias("s"), F.sum(F.col("a") * F.col("a")).alias("q")).groupBy("k.side").agg(F.max("s").alias("s"), F.sum("q").alias("q")).collect()
+        by = {r["side"]: r for r in found}
+        every = {"frobenius": math.sqrt(by[0]["q"]) if by else 0.0, "inf": by[0]["s"] if by else 0.0, "one": by[1]["s"] if by else 0.0}
+        return {k: float(every[k]) for k in kinds}
 
     def norm_estimate(self, steps: int = 8, seed: int = 0) -> float:
         """A lower estimate of the 2-norm by the power iteration on A^H A."""
@@ -248,10 +310,15 @@ class Matrix:
         return worst <= 1e-12 * max(self.norm("inf"), 1e-300)
 
     def operator(self) -> Operator:
-        """Rows up to DENSE_ROWS are gathered once and multiplied on the driver; larger ones stay with the executors."""
+        """Up to DENSE_ROWS rows, or ``gathered`` entries, a matrix is gathered once and multiplied on the driver; a larger one stays with
+        the executors."""
         if max(self.rows, self.cols) <= DENSE_ROWS:
             return of_array(self.dense())
-        return Operator(self.cols, self.apply, self.adjoint, self.rows, self.complex, self.diagonal() if self.rows == self.cols else None, self.norm("inf"))
+        if self.gathered and self.df.limit(self.gathered + 1).count() <= self.gathered:
+            t = self.df.toArrow()
+            i, j, v = (t.column(c).to_numpy() for c in ("i", "j", "v"))
+            return of_entries(i, j, v + 1j * t.column("vi").to_numpy() if self.complex else v.astype(float), self.rows, self.cols, self.hermitian)
+        return Operator(self.cols, self.apply, self.adjoint, self.rows, self.complex, self.diagonal() if self.rows == self.cols else None, self.norm("inf"), self.hermitian)
 
 
 def dense_rows(df: DataFrame, key: str, vector: str) -> DataFrame:

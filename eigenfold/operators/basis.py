@@ -7,15 +7,20 @@ The numpy forms at the end serve bases that fit the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import checkpointed, joined_block
 
+#: Partial results of more tasks than these do not go to the driver one by one.
+TASKS_AT_ONCE = 64
+
 
 def rows_of(batch: pa.RecordBatch, name: str = "x") -> np.ndarray:
     column = batch.column(name)
@@ -38,13 +43,15 @@ def mapped(basis: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray])
     return basis.select("i", "x").mapInArrow(run, "i long, x array<double>")
 
 
-def reduced(frame: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], how: str = "sum") -> np.ndarray | None:
+def reduced(frame: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], how: str | Callable = "sum") -> np.ndarray | None:
     """One small matrix from each task's batches, added up ("sum") or stacked and factored ("qr"); tasks send one
-    matrix each."""
+    matrix each, and beyond ``TASKS_AT_ONCE`` tasks those are merged in groups on the executors."""
 
     def fold(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
         if a is None:
             return b
+        if callable(how):
+            return how(a, b)
         return a + b if how == "sum" else np.maximum(a, b) if how == "max" else np.linalg.qr(np.vstack([a, b]), mode="r")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,8 +62,19 @@ def reduced(frame: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], how: s
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64())), pa.array([total.shape[0]])], ["m", "r"])
 
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for m, r in zip(group["m"], group["r"]):
+            total = fold(total, np.asarray(m).reshape(r, -1))
+        return pd.DataFrame({"m": [total.ravel()], "r": [total.shape[0]]})
+
+    parts = frame.mapInArrow(run, "m array<double>, r long")
+    tasks = frame.rdd.getNumPartitions()
+    if tasks > TASKS_AT_ONCE:  # in a tree: groups of tasks first, so that the driver gets a few matrices
+        groups = F.pmod(F.spark_partition_id(), F.lit(math.ceil(math.sqrt(tasks))))
+        parts = parts.withColumn("g", groups).groupBy("g").applyInPandas(lambda g: merge(g), "m array<double>, r long")
     out = None
-    for row in frame.mapInArrow(run, "m array<double>, r long").collect():
+    for row in parts.collect():
         out = fold(out, np.array(row["m"]).reshape(row["r"], -1))
     return out
 
@@ -91,17 +109,30 @@ def dot(y: DataFrame, x: DataFrame) -> np.ndarray:
     return reduced(both, lambda b: rows_of(b, "y").T @ rows_of(b))
 
 
+def norms(basis: DataFrame) -> dict[str, float]:
+    """frobenius, max, one and inf from one pass. Squares are scaled by the task's largest entry, so that they neither overflow nor vanish."""
+
+    def part(b: pa.RecordBatch) -> np.ndarray:
+        x = np.abs(rows_of(b))
+        top = float(x.max(initial=0))
+        return np.concatenate([[top, ((x / top) ** 2).sum() if top else 0.0, x.sum(1).max(initial=0)], x.sum(0)])[None, :]
+
+    def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        top = max(a[0, 0], b[0, 0])
+        square = sum(z[0, 1] * (z[0, 0] / top) ** 2 for z in (a, b)) if top else 0.0
+        return np.concatenate([[top, square, max(a[0, 2], b[0, 2])], a[0, 3:] + b[0, 3:]])[None, :]
+
+    out = reduced(basis.select("x"), part, fold)
+    if out is None:
+        return dict.fromkeys(("frobenius", "max", "one", "inf"), 0.0)
+    return {"frobenius": out[0, 0] * math.sqrt(out[0, 1]), "max": out[0, 0], "one": out[0, 3:].max(), "inf": out[0, 2]}
+
+
 def norm(basis: DataFrame, kind: str = "frobenius") -> float:
-    if kind == "frobenius":  # scaled by the largest entry, so that squares neither overflow nor vanish
-        top = norm(basis, "max")
-        return 0.0 if top == 0 else top * float(np.sqrt(reduced(basis.select("x"), lambda b: np.array([[((rows_of(b) / top) ** 2).sum()]]))[0, 0]))
-    if kind == "max":
-        return float(reduced(basis.select("x"), lambda b: np.array([[np.abs(rows_of(b)).max()]]), "max")[0, 0])
-    if kind == "one":
-        return float(reduced(basis.select("x"), lambda b: np.abs(rows_of(b)).sum(0)[None, :]).max())
-    if kind == "inf":
-        return float(reduced(basis.select("x"), lambda b: np.array([[np.abs(rows_of(b)).sum(1).max()]]), "max")[0, 0])
-    raise ValueError(f"no such norm: {kind}")
+    found = norms(basis)
+    if kind not in found:
+        raise ValueError(f"no such norm: {kind}")
+    return float(found[kind])
 
 
 def column_norms(basis: DataFrame) -> np.ndarray:

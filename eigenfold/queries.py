@@ -168,7 +168,7 @@ def _(spark, sf):
 @query("kernel_norms", f"WITH {FLOW} SELECT round(sqrt(sum(v * v)), 4) AS frobenius, round((SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM flow GROUP BY i)), 4) AS inf, round((SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM flow GROUP BY j)), 4) AS one FROM flow")
 def _(spark, sf):
     m = Matrix(src.flow(spark, sf), 25, 25)
-    return spark.createDataFrame([(round(m.norm("frobenius"), 4), round(m.norm("inf"), 4), round(m.norm("one"), 4))], "frobenius double, inf double, one double")
+    return spark.createDataFrame([tuple(round(x, 4) for x in m.norms("frobenius", "inf", "one").values())], "frobenius double, inf double, one double")
 
 
 EMBEDDED = "e AS (SELECT vec_id AS i, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS c FROM embeddings)"
@@ -195,7 +195,8 @@ def _(spark, sf):
 @query("kernel_basis_norms", f"WITH {EMBEDDED} SELECT round(sqrt(sum(v * v)), 6) AS frobenius, round(max(abs(v)), 6) AS top, round((SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM e GROUP BY i)), 6) AS inf FROM e")
 def _(spark, sf):
     x = src.embedding_rows(spark, sf)
-    return spark.createDataFrame([tuple(round(basis.norm(x, k), 6) for k in ("frobenius", "max", "inf"))], "frobenius double, top double, inf double")
+    found = basis.norms(x)
+    return spark.createDataFrame([tuple(round(float(found[k]), 6) for k in ("frobenius", "max", "inf"))], "frobenius double, top double, inf double")
 
 
 for method in ("tsqr", "chol", "svqb", "gs", "tsqrchol"):
@@ -342,23 +343,46 @@ for extraction in ("ritz", "hankel"):
     )
 
 
+# beyond DENSE_ROWS: a grid of 72 x 72, whose products are Spark jobs in the first four and whose entries are gathered in the rest
+BROAD = "p AS (SELECT unnest(range(1, 73)) AS m), l AS (SELECT 4 - 2*cos(pi()*x.m/73) - 2*cos(pi()*y.m/73) AS a FROM p x, p y)"
+
+
+def broad(spark, gathered: int = 0) -> Matrix:
+    return Matrix(src.stencil(spark, (72, 72)), 5184, 5184, gathered=gathered)
+
+
+query("large_krylovschur", answer(BROAD, "a", "b DESC", 1))(lambda spark, sf: value_frame(spark, eigs(broad(spark), nev=1, which="largest_real", ncv=48, tol=1e-7).values))
+query("large_lobpcg", answer(BROAD, "a", "b DESC", 1, digits=4))(lambda spark, sf: value_frame(spark, eigs(broad(spark), nev=1, which="largest_real", solver="lobpcg", block=4, tol=1e-4).values, 4))
+query("large_svd", answer(BROAD, "a", "b DESC", 1, digits=5))(lambda spark, sf: value_frame(spark, svds(broad(spark), nsv=1, solver="trlanczos", ncv=40, tol=1e-5).values, 5))
+query("large_mfn", "WITH p AS (SELECT unnest(range(1, 73)) AS m), s AS (SELECT sum(2.0/73*sin(pi()*m/73)*sin(pi()*m/73)*exp(-(2-2*cos(pi()*m/73)))) AS a FROM p) SELECT CAST(0 AS INTEGER) AS k, round(a * a, 6) AS value FROM s")(
+    lambda spark, sf: value_frame(spark, funm_multiply(broad(spark), scalar.Exp(alpha=-1.0), np.eye(1, 5184)[0], tol=1e-10).y[:1])
+)
+for label, options in {"filter": {"transform": "filter", "degree": 160}, "slicing": {"solver": "slice"}}.items():
+    query(f"large_{label}", answer(BROAD, "a", "b", 1000, "b BETWEEN 0.05 AND 0.15"))(
+        lambda spark, sf, options=options: value_frame(spark, np.sort(eigs(broad(spark, 10**6), interval=(0.05, 0.15), which="all", **options).values))
+    )
+query("large_multiple", answer(BROAD, "a", "b", 4))(lambda spark, sf: value_frame(spark, eigs(broad(spark, 10**6), nev=4, target=0.0, transform="sinvert", sigma=0.0, tol=1e-9).values))
+
+
 @query("eps_random_walk")
 def _(spark, sf):
     m = Matrix(transposed(src.random_walk(spark, 15)), 120, 120)
     return value_frame(spark, eigs(m, nev=4, which="largest_real").values[:4])
 
 
-@query("eps_two_sided")
+@query("eps_two_sided", "SELECT CAST(k AS INTEGER) AS k, 1.0::DOUBLE AS value FROM (SELECT unnest(range(2)) AS k)")
 def _(spark, sf):
     r = eigs(Matrix(transposed(src.random_walk(spark, 15)), 120, 120), nev=2, which="largest_real", two_sided=True)
     return value_frame(spark, np.abs(np.einsum("ij,ij->j", r.left.conj(), r.vectors)))
 
 
-@query("eps_bse")
+@query("eps_bse", "WITH w AS (SELECT unnest(range(1, 25)) AS m), l AS (SELECT sqrt(2.5 * (6.5 + 4*cos(pi()*m/25))) AS a FROM w), v AS (SELECT a * s AS b FROM l, (SELECT unnest([1, -1]) AS s)) SELECT CAST(row_number() OVER (ORDER BY round(abs(b), 9), b DESC) - 1 AS INTEGER) AS k, round(b, 6) AS value FROM v ORDER BY round(abs(b), 9), b DESC LIMIT 4")
 def _(spark, sf):
+    """Both blocks have the same vectors, with values 4.5 + 2c and 2 + 2c: pairs +-sqrt of the difference of squares."""
     n = 24
-    r, c = src.banded(spark, n, {-2: -0.1, -1: 1.0, 0: 4.5, 1: 1.0, 2: -0.1}), src.banded(spark, n, {-1: 1.0, 0: 2.0, 1: 1.0})
-    return value_frame(spark, eigs(Matrix(bse(r, c, n), 2 * n, 2 * n), nev=4, which="smallest_magnitude", problem="bse").values[:4])
+    r, c = src.banded(spark, n, {-1: 1.0, 0: 4.5, 1: 1.0}), src.banded(spark, n, {-1: 1.0, 0: 2.0, 1: 1.0})
+    found = eigs(Matrix(bse(r, c, n), 2 * n, 2 * n), nev=4, which="smallest_magnitude", problem="bse").values[:4]
+    return value_frame(spark, sorted(found, key=lambda v: (round(abs(v), 9), -v)))
 
 
 @query("eps_deflation", answer(LINE, "a", "b", 3, "b > (SELECT min(a) FROM l) + 1e-9"))
@@ -367,9 +391,9 @@ def _(spark, sf):
     return value_frame(spark, eigs(line(spark), nev=3, which="smallest_real", deflation=low[:, None], tol=1e-10).values)
 
 
-@query("eps_graph_fiedler")
+@query("eps_graph_fiedler", "WITH r AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1), v AS (SELECT 0.0 AS b FROM r UNION ALL SELECT 1.0 FROM r, (SELECT unnest(range(1, 100)) AS i) WHERE i < n UNION ALL SELECT n + 1.0 FROM r) SELECT CAST(row_number() OVER (ORDER BY b) - 1 AS INTEGER) AS k, CAST(b AS DOUBLE) AS value FROM v ORDER BY b LIMIT 8")
 def _(spark, sf):
-    """Smallest nonzero values of the nation and region graph's Laplacian; each region is a component of its own."""
+    """Smallest values of the nation and region graph's Laplacian; each region is a star of its own, with 0, 1 and its size."""
     n = 30
     return value_frame(spark, eigs(Matrix(src.graph_laplacian(bipartite(spark, sf)), n, n), nev=8, which="smallest_real", solver="lapack").values)
 
@@ -421,6 +445,13 @@ def _(spark, sf):
     return value_frame(spark, singular.frame_randomized(src.embedding_rows(spark, sf), 64, 5, extra=40, power=8)[0], 3)
 
 
+@query("svd_frame_moments", f"WITH {EMBEDDED}, g AS (SELECT a.c AS i, b.c AS j, sum(a.v * b.v) AS v FROM e a JOIN e b ON a.i = b.i GROUP BY 1, 2) SELECT CAST(0 AS INTEGER) AS k, round(sum(v) FILTER (i = j), 5) AS value FROM g UNION ALL SELECT 1, round(sqrt(sum(v * v)), 4) FROM g")
+def _(spark, sf):
+    """Sums of the second and, under a root, the fourth powers of all singular values: the Gram matrix's trace and norm."""
+    s = singular.frame_svd(src.embedding_rows(spark, sf))[0]
+    return spark.createDataFrame([(0, round(float((s**2).sum()), 5)), (1, round(float(np.sqrt((s**4).sum())), 4))], "k int, value double")
+
+
 def halves(spark, sf) -> tuple[np.ndarray, np.ndarray]:
     """Gram factors of the rows with even and odd labels: 64 x 64 each, standing for the tall halves."""
     rows = src.embedding_rows(spark, sf)
@@ -497,9 +528,19 @@ def _(spark, sf):
     return value_frame(spark, np.sort(polyeigs([5 * t, 10 * t, np.eye(24)], solver="ciss", region=Ellipse(centre=-0.506, radius=0.001)).values.real))
 
 
+#: 5 a p0 + 10 a p1 + p2 in powers of x: the factors of x^2, x and 1.
+IN_POWERS = {"monomial": ("1", "10*a", "5*a"), "chebyshev1": ("2", "10*a", "5*a - 1"), "chebyshev2": ("4", "20*a", "5*a - 1"), "legendre": ("1.5", "10*a", "5*a - 0.5"), "laguerre": ("0.5", "-10*a - 2", "15*a + 1"), "hermite": ("4", "20*a", "5*a - 2")}
+
+
+def nearest_roots(two: str, one: str, none: str) -> str:
+    return f"""WITH w AS (SELECT unnest(range(1, 13)) AS m), l AS (SELECT 3 - 2*cos(pi()*m/13) AS a FROM w), c AS (SELECT CAST({two} AS DOUBLE) AS x, CAST({one} AS DOUBLE) AS y, CAST({none} AS DOUBLE) AS z FROM l),
+d AS (SELECT x, y, y*y - 4*x*z AS q, s FROM c, (SELECT unnest([1, -1]) AS s)), r AS (SELECT CASE WHEN q >= 0 THEN (-y + s*sqrt(q))/(2*x) ELSE -y/(2*x) END AS re, CASE WHEN q >= 0 THEN 0 ELSE s*sqrt(-q)/(2*x) END AS im FROM d)
+SELECT CAST(row_number() OVER (ORDER BY k, b) - 1 AS INTEGER) AS k, round(b, 6) AS value FROM (SELECT round((re+0.5)*(re+0.5) + im*im, 12) AS k, sqrt(re*re + im*im) AS b FROM r) ORDER BY k, b LIMIT 2"""
+
+
 for name in dense.BASES:
 
-    @query(f"pep_basis_{name}")
+    @query(f"pep_basis_{name}", nearest_roots(*IN_POWERS[name]))
     def _(spark, sf, name=name):
         t = 3 * np.eye(12) - np.eye(12, k=1) - np.eye(12, k=-1)
         return value_frame(spark, [np.abs(v) for v in polyeigs([5 * t, 10 * t, np.eye(12)], basis=name, nev=2, target=-0.5).values])

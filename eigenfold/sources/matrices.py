@@ -16,10 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- files ----------------------------------------------------------------------------------
 
 
+COORDINATES = {"term": "int", "i": "long", "j": "long", "v": "double", "vi": "double"}
+
+
 def read_coordinates(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """(i, j, v[, vi]) or (term, i, j, v) from Parquet, ORC, CSV or JSON."""
-    schema = "i long, j long, v double"
-    return spark.read.format(fmt).load(path) if fmt in ("parquet", "orc") else spark.read.format(fmt).schema(schema).option("header", True).load(path)
+    """(i, j, v[, vi]) or (term, i, j, v[, vi]) from Parquet, ORC, CSV with a header or JSON. Columns go by name; one that a
+    matrix has no use for, or the lack of i, j or v, is an error, and so is a value that is no number."""
+    raw = spark.read.format(fmt).option("header", True).option("primitivesAsString", True).load(path)
+    unknown, missing = set(raw.columns) - set(COORDINATES), {"i", "j", "v"} - set(raw.columns)
+    if unknown or missing:
+        raise ValueError(f"coordinates of {path}: unknown columns {sorted(unknown)}, missing columns {sorted(missing)}")
+    return raw.select(*[F.col(c).cast(t).alias(c) for c, t in COORDINATES.items() if c in raw.columns])
+
+
+def read_terms(spark: SparkSession, path: str, fmt: str = "parquet") -> list[DataFrame]:
+    """The coefficient matrices of a polynomial, one for each term from 0, of one frame of coordinates with a term."""
+    every = read_coordinates(spark, path, fmt)
+    top = every.agg(F.max("term")).first()[0]
+    return [every.where(F.col("term") == k).drop("term") for k in range(0 if top is None else top + 1)]
 
 
 def write_frame(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -28,10 +28,13 @@ def _pade(a: np.ndarray, m: int) -> np.ndarray:
 
 
 def expm(a: np.ndarray, method: str = "higham") -> np.ndarray:
-    """exp(A) by scaling and squaring: the cheapest adequate degree, or degree 6 always ("pade", "subdiagonal")."""
+    """exp(A) by scaling and squaring: the cheapest adequate degree, degree 6 always ("pade"), or degrees 6 over 7 in partial
+    fractions ("subdiagonal")."""
     a = np.asarray(a)
     a = a.astype(complex if np.iscomplexobj(a) else float)
     norm = np.abs(a).sum(0).max() if a.size else 0.0
+    if method == "subdiagonal":
+        return _subdiagonal(a, norm)
     if method == "higham":
         for m, limit in PADE_LIMITS.items():
             if norm <= limit:
@@ -45,6 +48,22 @@ def expm(a: np.ndarray, method: str = "higham") -> np.ndarray:
     return x
 
 
+def _subdiagonal(a: np.ndarray, norm: float, k: int = 6, m: int = 7) -> np.ndarray:
+    """The approximant of degrees k over m as a sum of resolvents at its poles."""
+    f = math.factorial
+    top = [f(k + m - j) * f(k) / (f(k + m) * f(j) * f(k - j)) for j in range(k, -1, -1)]
+    below = [(-1) ** j * f(k + m - j) * f(m) / (f(k + m) * f(j) * f(m - j)) for j in range(m, -1, -1)]
+    poles = np.roots(below)
+    weights = np.polyval(top, poles) / np.polyval(np.polyder(below), poles)
+    squarings = max(0, math.ceil(math.log2(max(norm, 1e-300))))
+    eye, x = np.eye(len(a)), a / 2**squarings
+    x = sum(w * np.linalg.solve(x - p * eye, eye) for w, p in zip(weights, poles))
+    x = x if np.iscomplexobj(a) else x.real
+    for _ in range(squarings):
+        x = x @ x
+    return x
+
+
 def phim(a: np.ndarray, k: int) -> np.ndarray:
     """phi_k(A), read from the exponential of a block matrix."""
     n = len(a)

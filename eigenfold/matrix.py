@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,7 +167,7 @@ class Matrix:
     cols: int
     partitions: int | None = None
     gathered: int = GATHERED
-    _packed: DataFrame | None = field(default=None, repr=False)
+    _packed: RDD | None = field(default=None, repr=False)
     _flipped: Matrix | None = field(default=None, repr=False)
 
     @property
@@ -182,9 +182,10 @@ class Matrix:
     def T(self) -> Matrix:
         return Matrix(transposed(self.df), self.cols, self.rows, self.partitions, self.gathered)
 
-    def packed(self) -> DataFrame:
-        """Compressed rows, kept by the executors (lost parts are made again): each row of the frame has some rows of the matrix, whose
-        numbers, first entries, columns and values are arrays as bytes. A row of the matrix lies in one task."""
+    def packed(self) -> RDD:
+        """Compressed rows, kept by the executors (lost parts are made again): each element has some rows of the matrix, whose
+        numbers, first entries, columns and values are arrays as bytes. A row of the matrix lies in one task. They are an RDD, since a product
+        is nothing but work on partitions, and a frame would be planned, and its cache looked at by a job of its own, each time."""
         if self._packed is None:
             entries = self.df.count()
             n = self.partitions or max(math.ceil(entries / ENTRIES), min(self.spark.sparkContext.defaultParallelism, math.ceil(entries / FEW)), 1)
@@ -203,7 +204,7 @@ class Matrix:
                         first = np.flatnonzero(np.diff(i, prepend=i[0] - 1))
                         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (i[first].astype("<i8"), first.astype("<i8"), j.astype("<i8"), v)], ["i", "first", "j", "v"])
 
-            self._packed = dealt.mapInArrow(compress, "i binary, first binary, j binary, v binary").persist(StorageLevel.MEMORY_AND_DISK)
+            self._packed = dealt.mapInArrow(compress, "i binary, first binary, j binary, v binary").rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
         return self._packed
 
     def unpersist(self) -> None:
@@ -226,23 +227,21 @@ class Matrix:
         small = x if held is None else None
         answer = np.dtype(complex if self.complex or np.iscomplexobj(x) else float)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(pieces: Iterator[tuple]) -> Iterator[tuple[bytes, bytes]]:
             x, rows, parts = small if held is None else held.value, [], []
-            for b in batches:
-                for i, first, j, v in zip(*(b.column(c).to_pylist() for c in ("i", "first", "j", "v"))):
-                    first, j, v = np.frombuffer(first, "<i8"), np.frombuffer(j, "<i8"), np.frombuffer(v, kind)
-                    rows.append(np.frombuffer(i, "<i8"))
-                    parts.append(np.stack([np.add.reduceat(v * c[j], first) for c in x.T], 1))
+            for i, first, j, v in pieces:
+                first, j, v = np.frombuffer(first, "<i8"), np.frombuffer(j, "<i8"), np.frombuffer(v, kind)
+                rows.append(np.frombuffer(i, "<i8"))
+                parts.append(np.stack([np.add.reduceat(v * c[j], first) for c in x.T], 1))
             if rows:
                 i, y = np.concatenate(rows), np.concatenate(parts).astype(answer, copy=False)
                 first = np.flatnonzero(np.diff(i, prepend=i[0] - 1))  # a row may go on in the next chunk
-                y = np.add.reduceat(y, first, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array([i[first].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(y).tobytes()], pa.binary())], ["to", "y"])
+                yield i[first].tobytes(), np.ascontiguousarray(np.add.reduceat(y, first, axis=0)).tobytes()
 
         result = np.zeros((self.rows, x.shape[1]), answer)
-        for row in self.packed().mapInArrow(run, "to binary, y binary").collect():
-            to = np.frombuffer(row["to"], "<i8")
-            result[to] = np.frombuffer(row["y"], answer).reshape(len(to), -1)
+        for to, y in self.packed().mapPartitions(run).collect():
+            to = np.frombuffer(to, "<i8")
+            result[to] = np.frombuffer(y, answer).reshape(len(to), -1)
         if held is not None:
             held.unpersist()
         return result

@@ -79,6 +79,43 @@ def reduced(frame: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], how: s
     return out
 
 
+class Phase:
+    """Reductions asked for one by one and made in one pass: ``begin`` gives a number, ``end`` all results in that order."""
+
+    def __init__(self, frame: DataFrame):
+        self.frame, self.asked = frame, []
+
+    def begin(self, fn: Callable[[pa.RecordBatch], np.ndarray]) -> int:
+        self.asked.append(fn)
+        return len(self.asked) - 1
+
+    def dot(self, at: list[int] | slice = slice(None), other: list[int] | slice = slice(None)) -> int:
+        """Products of some columns with others."""
+        return self.begin(lambda b: (x := rows_of(b))[:, at].T @ x[:, other])
+
+    def norm(self, at: list[int] | slice = slice(None)) -> int:
+        """Squares of the columns' norms."""
+        return self.begin(lambda b: (rows_of(b)[:, at] ** 2).sum(0)[None, :])
+
+    def end(self) -> list[np.ndarray]:
+        asked, self.asked = self.asked, []
+
+        def every(b: pa.RecordBatch) -> np.ndarray:
+            parts = [np.atleast_2d(fn(b)) for fn in asked]
+            shapes = np.array([p.shape for p in parts], float).ravel()
+            return np.concatenate([shapes, *[p.ravel() for p in parts]])[None, :]
+
+        k = 2 * len(asked)
+        total = reduced(self.frame, every, lambda a, b: np.hstack([a[:, :k], a[:, k:] + b[:, k:]]))
+        if total is None:
+            return [np.zeros((0, 0)) for _ in asked]
+        shapes, at, out = total[0, :k].astype(int).reshape(-1, 2), k, []
+        for r, c in shapes:
+            out.append(total[0, at : at + r * c].reshape(r, c))
+            at += r * c
+        return out
+
+
 def multiply(basis: DataFrame, q: np.ndarray) -> DataFrame:
     """X Q: narrow."""
     held = basis.sparkSession.sparkContext.broadcast(np.asarray(q))

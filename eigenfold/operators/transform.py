@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column
@@ -125,6 +125,39 @@ class Transform:
             return self.apply
         raise ValueError(f"no such transformation: {self.kind}")
 
+    def adjoint(self, a: Operator, b: Operator | None) -> Callable[[np.ndarray], np.ndarray]:
+        """The adjoint of ``operator``, for shift, shift-and-invert and Cayley."""
+        flip = lambda o: Operator(o.n, o.adjoint, o.apply, o.rows, o.complex, None if o.diagonal is None else np.conj(o.diagonal), o.norm)
+        unit, s = flip(b if b is not None else identity(a.n)), np.conj(self._number(self.sigma))
+        if self.kind == "shift":
+            solve = solver_for(unit) if b is not None else (lambda x: x)
+            return lambda x: flip(a).apply(solve(x)) - (s * x if s != 0 else 0)
+        if self.kind in ("sinvert", "cayley"):
+            solve = solver_for(combination([(1.0, flip(a)), (-s, unit)]))
+            if self.kind == "sinvert":
+                return lambda x: unit.apply(solve(x))
+            nu = s if self.nu is None else np.conj(self._number(self.nu))
+            return lambda x: flip(a).apply(y := solve(x)) + nu * unit.apply(y)
+        raise ValueError(f"no adjoint of {self.kind}")
+
+    def transpose(self, a: Operator, b: Operator | None) -> Callable[[np.ndarray], np.ndarray]:
+        """The transpose, which is the conjugate of the adjoint at the conjugate."""
+        flip = self.adjoint(a, b)
+        return lambda x: np.conj(flip(np.conj(x)))
+
+    def shell(self, a: Operator, b: Operator | None) -> Operator:
+        """The transformed operator as a matrix of its own."""
+        return Operator(a.n, self.operator(a, b), self.adjoint(a, b) if self.kind in ("shift", "sinvert", "cayley") else None, None, a.complex)
+
+    def bilinear(self, b: Operator | None, hermitian: bool) -> Callable[[np.ndarray, np.ndarray], complex]:
+        """The inner product that the transformed operator is symmetric in: B's for a definite pair, else the plain one."""
+        return (lambda x, y: np.vdot(x, b.apply(y))) if b is not None and hermitian else (lambda x, y: np.vdot(x, y))
+
+    def scaled(self, factor: float) -> Transform:
+        """For the pair (factor A, B): shift and antishift scale too."""
+        times = lambda z: None if z is None else z * factor
+        return replace(self, sigma=self.sigma * factor, nu=times(self.nu), interval=None if self.interval is None else (self.interval[0] * factor, self.interval[1] * factor), span=None if self.span is None else (self.span[0] * factor, self.span[1] * factor))
+
     @staticmethod
     def _number(z):
         z = complex(z)

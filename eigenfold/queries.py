@@ -13,7 +13,7 @@ from . import dense
 from .functions import order, scalar
 from .functions.region import Ellipse, Interval, Polygon, Region, Ring
 from .matrix import Matrix, bse, combined, joined_block, joined_sum, matmul, tiled, transposed
-from .operators import basis, singular
+from .operators import basis, processes, singular
 from .operators.action import funm_multiply, solve_equation
 from .operators.eigen import eigs
 from .operators.nonlinear import chebyshev_nodes, nleigs
@@ -312,6 +312,10 @@ def answer(known: str, value: str, by: str, limit: int, where: str = "TRUE", dig
     return f"WITH {known}, v AS (SELECT {value} AS b FROM l) SELECT CAST(row_number() OVER (ORDER BY {by}) - 1 AS INTEGER) AS k, round(b, {digits}) + 0.0 AS value FROM v WHERE {where} ORDER BY {by} LIMIT {limit}"
 
 
+def sine_sum(f: str) -> str:
+    return f"WITH w AS (SELECT unnest(range(1, 31)) AS m), p AS (SELECT unnest(range(30)) AS i) SELECT CAST(i AS INTEGER) AS k, round(sum(2.0/31*sin(pi()*m*(i+1)/31)*sin(pi()*m/31)*{f}), 6) + 0.0 AS value FROM w, p GROUP BY i"
+
+
 def line(spark) -> Matrix:
     return Matrix(src.stencil(spark, (30,)), 30, 30)
 
@@ -325,6 +329,28 @@ for solver in ("krylovschur", "arnoldi", "lanczos", "subspace", "power", "lapack
     query(f"eps_{solver}", answer(LINE, "a", "b DESC", nev))(
         lambda spark, sf, solver=solver, nev=nev: value_frame(spark, eigs(line(spark), nev=nev, which="largest_real" if solver in ("gd", "jd", "lobpcg", "rqcg", "primme", "blopex") else "largest_magnitude", solver=solver, tol=1e-10, max_it=20000 if solver == "power" else None).values)
     )
+for how in processes.REORTHOGONALISATIONS:
+    query(f"eps_lanczos_{how}", answer(LINE, "a", "b DESC", 3))(
+        lambda spark, sf, how=how: value_frame(spark, eigs(line(spark), nev=3, solver="lanczos", reorthogonalise=how, tol=1e-10, max_it=1000).values)
+    )
+query("eps_arnoldi_delayed", answer(LINE, "a", "b DESC", 3))(lambda spark, sf: value_frame(spark, eigs(line(spark), nev=3, solver="arnoldi", delayed=True, problem="nhep", tol=1e-10, max_it=1000).values.real))
+query("eps_transform_adjoint", answer(LINE, "1/(a - 0.3)", "abs(b) DESC", 3))(
+    lambda spark, sf: value_frame(spark, sorted(eigs(Transform("sinvert", 0.3).shell(line(spark).operator(), None), nev=3, problem="nhep", tol=1e-10).values.real, key=lambda v: -abs(v)))
+)
+
+
+@query("kernel_split_phase", f"WITH {EMBEDDED}, f AS (SELECT i, max(v) FILTER (c = 0) AS p, max(v) FILTER (c = 1) AS q FROM e GROUP BY i) SELECT round(sum(p * q), 6) + 0.0 AS dot, round(sum(p * p), 6) + 0.0 AS pp, round(sum(q * q), 6) + 0.0 AS qq FROM f")
+def _(spark, sf):
+    """A product and two norms, asked for one after another, from one pass."""
+    phase = basis.Phase(src.embedding_rows(spark, sf).select("x"))
+    phase.dot([0], [1])
+    phase.norm([0, 1])
+    dot, squares = phase.end()
+    return spark.createDataFrame([tuple(round(float(x), 6) + 0.0 for x in (dot[0, 0], *squares[0]))], "dot double, pp double, qq double")
+
+
+for method in ("higham", "pade", "subdiagonal"):
+    query(f"function_expm_{method}", sine_sum("exp(-(2-2*cos(pi()*m/31)))"))(lambda spark, sf, method=method: value_frame(spark, dense.expm(-1.0 * line(spark).dense(), method)[:, 0]))
 for solver in ("krylovschur", "gd", "jd", "lobpcg"):
     query(f"eps_ghep_{solver}", answer(GRID, "a/4", "b", 4))(
         lambda spark, sf, solver=solver: value_frame(spark, eigs(grid(spark), 4 * np.eye(100), nev=4, which="smallest_magnitude", solver=solver, tol=1e-10).values[:4])
@@ -385,6 +411,15 @@ def _(spark, sf):
     return value_frame(spark, sorted(found, key=lambda v: (round(abs(v), 9), -v)))
 
 
+@query("eps_bse_gruning", _sql["eps_bse"])
+def _(spark, sf):
+    """The same by the product of R - C and R + C, without entries."""
+    n = 24
+    r, c = src.banded(spark, n, {-1: 1.0, 0: 4.5, 1: 1.0}), src.banded(spark, n, {-1: 1.0, 0: 2.0, 1: 1.0})
+    found = eigs(Matrix(bse(r, c, n), 2 * n, 2 * n), nev=4, which="smallest_magnitude", problem="bse", bse="gruning", tol=1e-10).values[:4]
+    return value_frame(spark, sorted(found, key=lambda v: (round(abs(v), 9), -v)))
+
+
 @query("eps_deflation", answer(LINE, "a", "b", 3, "b > (SELECT min(a) FROM l) + 1e-9"))
 def _(spark, sf):
     low = np.sin(np.pi * np.arange(1, 31) / 31)
@@ -564,10 +599,6 @@ for solver in ("nleigs", "interpol", "ciss"):
         return value_frame(spark, r.values)
 
 
-def sine_sum(f: str) -> str:
-    return f"WITH w AS (SELECT unnest(range(1, 31)) AS m), p AS (SELECT unnest(range(30)) AS i) SELECT CAST(i AS INTEGER) AS k, round(sum(2.0/31*sin(pi()*m*(i+1)/31)*sin(pi()*m/31)*{f}), 6) + 0.0 AS value FROM w, p GROUP BY i"
-
-
 FIRST = np.eye(30)[:, 0]
 for label, fn, f in (("exp", scalar.Exp(alpha=-1.0), "exp(-(2-2*cos(pi()*m/31)))"), ("sqrt", scalar.Sqrt(), "sqrt(2-2*cos(pi()*m/31))"), ("invsqrt", scalar.InvSqrt(), "1/sqrt(2-2*cos(pi()*m/31))"), ("phi1", scalar.Phi(k=1), "(exp(2-2*cos(pi()*m/31))-1)/(2-2*cos(pi()*m/31))"), ("log", scalar.Log(), "ln(2-2*cos(pi()*m/31))")):
     query(f"mfn_krylov_{label}", sine_sum(f))(lambda spark, sf, fn=fn: value_frame(spark, funm_multiply(line(spark), fn, FIRST, tol=1e-12).y))

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -202,3 +203,74 @@ def test_running_gram(spark, tmp_path):
     q = stream.writeStream.foreachBatch(running.write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert running.rows == 40 and np.allclose(running.singular_values(), np.linalg.svd(x)[1])
+
+
+NUMBERS = itertools.count()
+
+
+def jobs(spark, run):
+    """What ``run`` gives, and how many Spark jobs it took."""
+    tag = f"counted-{next(NUMBERS)}"
+    sc = spark.sparkContext
+    sc.setJobGroup(tag, tag)
+    out = run()
+    found = len(sc.statusTracker().getJobIdsForGroup(tag))
+    sc.setJobGroup("", "")
+    return out, found
+
+
+def test_a_product_is_one_job(spark):
+    g = np.random.default_rng(0)
+    n = 300
+    i, j = g.integers(0, n, 5000), g.integers(0, n, 5000)
+    v, vi = g.standard_normal(5000), g.standard_normal(5000)
+    dense = np.zeros((n, n), complex)
+    np.add.at(dense, (i, j), v + 1j * vi)
+    real = spark.createDataFrame([*zip(i.tolist(), j.tolist(), v.tolist())], "i long, j long, v double")
+    cplx = spark.createDataFrame([*zip(i.tolist(), j.tolist(), v.tolist(), vi.tolist())], "i long, j long, v double, vi double")
+    x = g.standard_normal((n, 3))
+    for frame, a in ((real, dense.real), (cplx, dense)):
+        m = Matrix(frame, n, n, partitions=5)
+        assert np.allclose(m.apply(x), a @ x) and np.allclose(m.adjoint(x), a.conj().T @ x)
+        for product, want in ((m.apply, a @ x), (m.adjoint, a.conj().T @ x)):
+            got, count = jobs(spark, lambda product=product: product(x))
+            assert np.allclose(got, want) and count == 1
+        z = x + 1j * x[::-1]
+        assert np.allclose(m.apply(z), a @ z) and np.allclose(m.adjoint(z), a.conj().T @ z)
+        m.unpersist()
+    assert np.allclose(list(Matrix(real, n, n).norms("one", "inf", "frobenius").values()), [np.abs(dense.real).sum(0).max(), np.abs(dense.real).sum(1).max(), np.linalg.norm(dense.real)])
+
+
+def test_gathered_entries_multiply_alike(spark):
+    m = Matrix(src.stencil(spark, (50, 45)), 2250, 2250)
+    a, b = m.operator(), Matrix(m.df, 2250, 2250, gathered=0).operator()
+    x = np.random.default_rng(1).standard_normal((2250, 2))
+    assert np.allclose(a.apply(x), b.apply(x)) and np.allclose(a.adjoint(x[:, 0]), b.adjoint(x[:, 0])) and np.allclose(a.diagonal, b.diagonal) and a.norm == b.norm == 8.0
+    assert a.symmetric() and b.symmetric()
+
+
+def test_partial_results_are_merged_in_a_tree(spark, monkeypatch):
+    frame = spark.createDataFrame([(k, [float(k), 1.0, float(k * k % 7)]) for k in range(200)], "i long, x array<double>").repartition(30)
+    x = np.array([[k, 1.0, k * k % 7] for k in range(200)], float)
+    monkeypatch.setattr(basis, "TASKS_AT_ONCE", 8)
+    assert np.allclose(basis.gram(frame), x.T @ x)
+    r = basis.reduced(frame.select("x"), lambda b: np.linalg.qr(basis.rows_of(b), mode="r"), "qr")
+    assert np.allclose(r.T @ r, x.T @ x)
+    found = basis.norms(frame)
+    assert np.allclose([found[k] for k in ("frobenius", "max", "one", "inf")], [np.linalg.norm(x), x.max(), x.sum(0).max(), x.sum(1).max()])
+    phase = basis.Phase(frame.select("x"))
+    assert (phase.dot([0], [1, 2]), phase.norm([2])) == (0, 1)
+    dot, squares = phase.end()
+    assert np.allclose(dot, x[:, [0]].T @ x[:, [1, 2]]) and np.allclose(squares, (x[:, 2] ** 2).sum())
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json", "parquet", "orc"])
+def test_coordinates_are_read_by_name(spark, tmp_path, fmt):
+    rows = spark.createDataFrame([(0, 5, 6, 1.5, -2.0), (1, 0, 1, 3.0, 0.5)], "term int, i long, j long, v double, vi double")
+    src.write_frame(rows.select("vi", "term", "j", "v", "i"), f"{tmp_path}/a", fmt)
+    assert sorted(map(tuple, src.read_coordinates(spark, f"{tmp_path}/a", fmt).select("term", "i", "j", "v", "vi").collect())) == [(0, 5, 6, 1.5, -2.0), (1, 0, 1, 3.0, 0.5)]
+    first, second = src.read_terms(spark, f"{tmp_path}/a", fmt)
+    assert first.columns == ["i", "j", "v", "vi"] and first.first()["j"] == 6 and second.count() == 1
+    src.write_frame(rows.withColumnRenamed("vi", "w"), f"{tmp_path}/b", fmt)
+    with pytest.raises(ValueError):
+        src.read_coordinates(spark, f"{tmp_path}/b", fmt)

@@ -2,16 +2,18 @@ import numpy as np
 import pytest
 
 from eigenfold import dense
+from eigenfold.functions import scalar
 from eigenfold.functions.region import Ellipse, Interval
 from eigenfold.functions.scalar import Exp, InvSqrt, Log, Phi, Rational, Sqrt
-from eigenfold.operators.action import funm_multiply, solve_equation
-from eigenfold.operators.eigen import eigs, two_sided_lanczos
+from eigenfold.operators import processes
+from eigenfold.operators.action import Action, funm_multiply, register, register_equation, solve_equation
+from eigenfold.operators.eigen import eigs, infer, two_sided_lanczos
 from eigenfold.operators.nonlinear import Nonlinear, nleigs, resolvent
 from eigenfold.operators.polynomial import definite_quadratic, diagonal_scaling, polyeigs
 from eigenfold.operators.singular import SOLVERS as SVD_SOLVERS
 from eigenfold.operators.singular import gsvds, hsvds, svds
 from eigenfold.operators.transform import Transform, conjugate_gradient, gmres, spectral_range
-from eigenfold.matrix import of_array
+from eigenfold.matrix import Operator, of_array
 
 
 def line(n):
@@ -234,3 +236,95 @@ def test_linear_solvers():
     b = np.random.default_rng(0).standard_normal(100)
     for solve in (gmres, conjugate_gradient):
         assert np.abs(GRID @ solve(lambda x: GRID @ x, b) - b).max() < 1e-8
+
+
+def random_operator(n, seed=0, hermitian=False):
+    a = np.random.default_rng(seed).standard_normal((n, n))
+    return (a + a.T) / 2 if hermitian else a
+
+
+@pytest.mark.parametrize("how", processes.REORTHOGONALISATIONS)
+def test_lanczos_reorthogonalisations(how):
+    a = random_operator(60, 1, True)
+    w = np.linalg.eigvalsh(a)
+    r = eigs(a, nev=3, which="largest_real", solver="lanczos", reorthogonalise=how, tol=1e-10, max_it=2000)
+    assert np.allclose(r.values, w[::-1][:3]) and np.allclose(a @ r.vectors, r.vectors * r.values, atol=1e-7)
+    v, t, beta, _ = processes.lanczos_process(lambda x: a @ x, np.ones(60), 40, how)
+    loss = np.abs(v.T @ v - np.eye(v.shape[1])).max()
+    assert loss < (1e-12 if how in ("full", "delayed") else 1e-6 if how in ("periodic", "partial", "selective") else 2)
+    if how != "delayed":  # whose vectors move after their products are taken
+        assert np.abs(a @ v - v @ t)[:, :-1].max() < 1e-6 * np.abs(w).max()
+
+
+@pytest.mark.parametrize("delayed", [False, True])
+def test_arnoldi_with_explicit_restarts(delayed):
+    a = random_operator(50, 2)
+    w = np.linalg.eigvals(a)
+    r = eigs(a, nev=2, which="largest_magnitude", solver="arnoldi", delayed=delayed, tol=1e-9, max_it=3000, ncv=25)
+    assert abs(abs(r.values[0]) - np.abs(w).max()) < 1e-6 and r.errors.max() < 1e-6
+
+
+def test_rayleigh_quotient_conjugate_gradients():
+    a = random_operator(80, 3, True) + np.diag(np.arange(80.0))
+    r = eigs(a, nev=3, which="smallest_real", solver="rqcg", tol=1e-8, max_it=500)
+    assert np.allclose(r.values, np.linalg.eigvalsh(a)[:3])
+
+
+def test_bethe_salpeter_by_products():
+    r, c = random_operator(15, 5, True) + 12 * np.eye(15), random_operator(15, 6, True) / 4
+    h = np.block([[r, c], [-c, -r]])
+    x = eigs(h, nev=4, problem="bse", bse="gruning", which="smallest_magnitude", tol=1e-10)
+    w = np.linalg.eigvals(h).real
+    assert np.allclose(np.sort(np.abs(x.values)), np.sort(np.abs(w))[:4]) and np.abs(h @ x.vectors - x.vectors * x.values).max() < 1e-6
+
+
+def test_filter_counts_and_settles():
+    a = random_operator(150, 7, True)
+    a[:4, 4:] = a[4:, :4] = 0
+    a[:4, :4] = 1.25 * np.eye(4)  # a value of multiplicity four
+    w = np.linalg.eigvalsh(a)
+    inside = w[(w >= 0.5) & (w <= 2.5)]
+    for options in ({"transform": "filter", "degree": 100}, {"solver": "slice"}):
+        r = eigs(a, interval=(0.5, 2.5), which="all", **options)
+        assert np.allclose(np.sort(r.values), inside)
+    assert len(eigs(a, interval=(100.0, 101.0), which="all", transform="filter").values) == 0
+
+
+def test_transformation_adjoints_and_scaling():
+    a, b = random_operator(12, 8), np.eye(12) + 0.1 * random_operator(12, 9, True)
+    g = np.random.default_rng(10)
+    x, y = g.standard_normal(12), g.standard_normal(12)
+    for t in (Transform("shift", 0.4), Transform("sinvert", 0.4), Transform("cayley", 0.4, nu=0.7)):
+        for pair in ((of_array(a), None), (of_array(a), of_array(b))):
+            assert np.isclose(np.vdot(y, t.operator(*pair)(x)), np.vdot(t.adjoint(*pair)(y), x)) and np.allclose(t.transpose(*pair)(y), t.adjoint(*pair)(y))
+            assert np.allclose(t.shell(*pair).apply(x), t.operator(*pair)(x))
+    assert Transform("cayley", 0.5, nu=2.0).scaled(3).nu == 6.0 and np.isclose(Transform().bilinear(of_array(b), True)(x, y), x @ b @ y)
+
+
+def test_results_tell_of_themselves(spark):
+    r = eigs(random_operator(20, 11, True), nev=2)
+    q = r.invariant_subspace()
+    assert q.shape == (20, 2) and np.allclose(q.T @ q, np.eye(2))
+    rows = {x["setting"]: x["value"] for x in r.view(spark).collect()}
+    assert rows["problem"] == "hep" and rows["converged"] == "2"
+
+
+def test_monitors_all_run():
+    seen = []
+    eigs(random_operator(20, 12, True), monitor=[lambda *x, k=k: seen.append(k) for k in range(7)])
+    assert set(seen) == set(range(7))
+
+
+def test_problem_type_beyond_the_dense_form():
+    d = np.arange(1.0, 2502.0)
+    a = Operator(2501, lambda x: d * x if x.ndim == 1 else d[:, None] * x, None, None, False, d, d.max())
+    shifted = Operator(2501, lambda x: np.roll(x, 1, 0), None, None, False, None, 1.0)
+    minus = Operator(2501, lambda x: -a.apply(x), None, None, False, -d, d.max())
+    assert infer(a, None, None) == "hep" and infer(shifted, None, None) == "nhep" and infer(a, a, None) == "ghep" and infer(a, minus, None) == "gnhep"
+
+
+def test_solvers_of_ones_own():
+    register("doubled", lambda a, f, b, ncv, tol, max_it: Action(2 * b, 1, "tolerance"))
+    assert (funm_multiply(np.eye(3), scalar.Exp(), np.ones(3), solver="doubled").y == 2).all()
+    register_equation("stein", lambda a, c, ncv, tol, max_it: "answer")
+    assert solve_equation(np.eye(3), np.ones(3), kind="stein") == "answer"

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..matrix import checkpointed
+
 CRITERIA = (
     "largest_magnitude", "smallest_magnitude", "largest_real", "smallest_real", "largest_imaginary", "smallest_imaginary",
     "target_magnitude", "target_real", "target_imaginary", "smallest_positive_real", "all",
@@ -56,10 +58,20 @@ def key_column(which: str, re: str = "re", im: str = "im", target: complex = 0.0
 
 
 def ranked(values: DataFrame, which: str, target: complex = 0.0, real: bool = False, region=None, nev: int | None = None) -> DataFrame:
-    """``values`` (re, im, ...) with a rank ``k`` from 0, the first ``nev`` only if given. With a limit
-    Spark keeps the best rows of each task, so no task sorts all."""
+    """``values`` (re, im, ...) with a rank ``k`` from 0, the first ``nev`` only if given. With a limit Spark keeps the best rows of
+    each task; without one the rows are sorted by ranges, and a row's rank is its place in its range after the rows of the
+    ranges before (a number a range reaches the driver). No task sorts all."""
     keys = [] if region is None else [(region.column("re", "im") < 0).cast("int")]
     keys += [key_column(which, target=target, real=real), F.col("re"), F.abs("im"), F.col("im").desc()]
     if nev is not None:
-        values = values.orderBy(*keys).limit(nev)
-    return values.withColumn("k", F.row_number().over(W.orderBy(*keys)) - 1)
+        return values.orderBy(*keys).limit(nev).withColumn("k", F.row_number().over(W.orderBy(*keys)) - 1)
+    placed = checkpointed(values.orderBy(*keys).withColumn("k", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("k", 33)
+    counts = sorted(map(tuple, placed.groupBy(part.alias("part")).count().collect()))
+    starts, total = [], 0
+    for at, n in counts:
+        starts.append((at, total))
+        total += n
+    first = values.sparkSession.createDataFrame(starts, "part long, first long")
+    place = F.col("k").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("part", part).join(F.broadcast(first), "part").withColumn("k", (place + F.col("first")).cast("long")).select(*values.columns, "k")

@@ -72,6 +72,18 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("source_flow", f"WITH {FLOW} SELECT i, j, v FROM flow")(src.flow)
 query("source_part_supplier", "SELECT CAST(l_partkey AS BIGINT) AS i, CAST(l_suppkey AS BIGINT) AS j, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2")(src.part_supplier)
 
+@query("source_terms", r"SELECT doc_id AS i, CAST(len(regexp_split_to_array(text, '\s+')) AS DOUBLE) AS total FROM documents WHERE text IS NOT NULL")
+def _(spark, sf):
+    """Words of each document by the hashed term matrix's row sums."""
+    return src.terms(spark, sf).groupBy("i").agg(F.sum("v").alias("total"))
+
+
+@query("order_every_value", f"WITH {POINTS} SELECT id, CAST(row_number() OVER (ORDER BY -sqrt(re*re+im*im), re, abs(im), im DESC) - 1 AS BIGINT) AS k FROM points")
+def _(spark, sf):
+    """Ranks of all rows, by ranges."""
+    return order.ranked(points(spark, sf), "largest_magnitude").select("id", "k")
+
+
 TRANSITIONS = """names AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS k FROM (SELECT DISTINCT event_type FROM events)),
 follows AS (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events),
 transitions AS (SELECT b.k AS i, a.k AS j, CAST(count(*) AS DOUBLE) AS v FROM follows JOIN names a ON a.event_type = follows.event_type JOIN names b ON b.event_type = next GROUP BY 1, 2)"""
@@ -514,7 +526,9 @@ def _(spark, sf):
     """Directions that part the labels: between-class against within-class scatter, from one pass of grouped sums."""
     rows = src.embedding_rows(spark, sf)
     total = basis.gram(rows)
-    groups = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("x")[c]).alias(f"s{c}") for c in range(64)]).collect()  # one row a label
+    groups = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("x")[c]).alias(f"s{c}") for c in range(64)]).limit(10_001).collect()  # one row a label
+    if len(groups) > 10_000:
+        raise ValueError("more than 10000 labels are no classes")
     n = np.array([r["n"] for r in groups], float)
     s = np.array([[r[f"s{c}"] for c in range(64)] for r in groups])
     between = (s / n[:, None]).T @ s - np.outer(s.sum(0), s.sum(0)) / n.sum()

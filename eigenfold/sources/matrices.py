@@ -73,10 +73,15 @@ def part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of one event type (j) followed by another (i) for the same user, types numbered by name."""
+    """Counts of one event type (j) followed by another (i) for the same user, types numbered by name. A user's events are put in order
+    day by day, and the last of a day is followed by the first of the user's next day, so that a busy user is many tasks' work."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    follows = F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    pairs = events.select("event_type", follows.alias("next")).where(F.col("next").isNotNull()).groupBy("event_type", "next").count()
+    events = events.withColumn("day", F.date_trunc("day", "ts"))
+    follows = F.lead("event_type").over(W.partitionBy("user_id", "day").orderBy("ts", "event_id"))
+    within = events.select("event_type", follows.alias("next"))
+    ends = events.groupBy("user_id", "day").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("head"), F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
+    across = ends.select("event_type", F.lead("head").over(W.partitionBy("user_id").orderBy("day")).alias("next"))
+    pairs = within.unionByName(across).where(F.col("next").isNotNull()).groupBy("event_type", "next").count()
     names = events.select("event_type").distinct()
     numbered = names.select("event_type", (F.row_number().over(W.orderBy("event_type")) - 1).cast("long").alias("k"))  # one row a type
     a = pairs.join(numbered.withColumnRenamed("k", "j"), "event_type")

@@ -15,6 +15,7 @@ from .. import dense
 from ..matrix import DENSE_ROWS, Matrix, Operator, as_operator
 from . import basis
 from .eigen import eigs
+from .transform import conjugate_gradient
 
 
 @dataclass
@@ -103,46 +104,66 @@ def _cyclic(a: Operator, nsv: int, which: str, tol: float, ncv, seed: int, **o):
     return r.values, x[:m], x[m:], r.iterations
 
 
-def _lanczos(a: Operator, nsv: int, which: str, tol: float, ncv, seed: int, one_side: bool = False, most: int = 300, **o):
-    """Golub-Kahan bidiagonalisation with a thick restart; ``one_side`` leaves the left vectors unorthogonalised."""
-    if a.rows < a.n:
+def _lanczos(a: Operator, nsv: int, which: str, tol: float, ncv, seed: int, one_side: bool = False, most: int = 300, omega: np.ndarray | None = None, inner: Callable | None = None, **o):
+    """Golub-Kahan bidiagonalisation with a thick restart; ``one_side`` leaves the left vectors unorthogonalised. With ``omega`` (+-1) the
+    left vectors are orthonormal in that form and the answer ends with their signs; with ``inner`` the right ones are in that inner
+    product, in which ``a.adjoint`` has to be the adjoint."""
+    if a.rows < a.n and omega is None and inner is None:
         flip = Operator(a.rows, a.adjoint, a.apply, a.n, a.complex)
         s, u, v, it = _lanczos(flip, nsv, which, tol, ncv, seed, one_side, most)
         return s, v, u, it
     n = a.n
-    k = min(ncv or max(2 * nsv, 10), n)
+    k = min(ncv or max(2 * nsv, 10), n, a.rows)
     kind = complex if a.complex else float
-    v, u, b = np.zeros((n, k + 1), kind), np.zeros((a.rows, k), kind), np.zeros((k, k), kind)
+    v, u, b, sign = np.zeros((n, k + 1), kind), np.zeros((a.rows, k), kind), np.zeros((k, k), kind), np.ones(k)
+    weight = (lambda x: x) if omega is None else (lambda x: omega * x)
+    size = (lambda x: np.linalg.norm(x)) if inner is None else (lambda x: np.sqrt(max(np.vdot(x, inner(x)).real, 0)))
     v[:, 0] = np.random.default_rng(seed).standard_normal(n)
-    v[:, 0] /= np.linalg.norm(v[:, 0])
+    v[:, 0] /= size(v[:, 0])
     have = 0
     for it in range(1, most + 1):
-        beta = 0.0
-        for j in range(have, k):
+        beta, j = 0.0, have
+        while j < k:
             w = a.apply(v[:, j])
-            c = u[:, :j].conj().T @ w
+            c = sign[:j] * (u[:, :j].conj().T @ weight(w))
             w = w - u[:, :j] @ c
             if not one_side:
-                again = u[:, :j].conj().T @ w
+                again = sign[:j] * (u[:, :j].conj().T @ weight(w))
                 w, c = w - u[:, :j] @ again, c + again
             b[:j, j] = c
-            b[j, j] = np.linalg.norm(w)
+            value = np.vdot(w, weight(w)).real
+            if omega is not None and np.vdot(w, w).real > 0 and abs(value) <= 1e-13 * np.vdot(w, w).real:
+                raise ArithmeticError("the signature's form vanishes on a new vector: another start is needed")
+            sign[j] = -1.0 if value < 0 else 1.0
+            b[j, j] = np.sqrt(abs(value))
             u[:, j] = w / b[j, j] if b[j, j] > 1e-14 else 0
-            z = a.adjoint(u[:, j])
-            z, _ = basis.orthogonalise(z, v[:, : j + 1])
-            beta = np.linalg.norm(z)
-            v[:, j + 1] = z / beta if beta > 1e-13 else 0
-        p, s, qh = np.linalg.svd(b)
-        at = np.arange(k) if which == "largest" else np.arange(k)[::-1]
-        p, s, q = p[:, at], s[at], qh.conj().T[:, at]
-        r = np.abs(beta * p[-1])
+            z = a.adjoint(weight(u[:, j]))
+            before = size(z)
+            z, _ = basis.orthogonalise(z, v[:, : j + 1], inner)
+            beta, j = size(z), j + 1
+            if beta <= 1e-13 * max(before, 1e-300) or b[j - 1, j - 1] <= 1e-14:  # the space is closed
+                beta = 0.0
+                break
+            v[:, j] = z / beta
+        small = b[:j, :j]
+        if omega is None:
+            p, s, qh = np.linalg.svd(small)
+            q, turned = qh.conj().T, np.ones(j)
+        else:
+            s, p, q, turned = dense.hsvd(small, sign[:j])
+        at = np.arange(j) if which == "largest" else np.arange(j)[::-1]
+        p, s, q, turned = p[:, at], s[at], q[:, at], turned[at]
+        r = beta * np.abs(p[-1])
+        if omega is not None:  # relative to lengths, which the form leaves open
+            r = r / np.maximum(np.linalg.norm(u[:, :j] @ p, axis=0), 1e-300)
         good = r <= tol * np.maximum(s, 1e-300)
         nconv = int(np.argmin(np.append(good, False)))
-        if nconv >= nsv or beta <= 1e-13 or it == most:
-            nconv = min(max(nconv, nsv if beta <= 1e-13 else nconv), k)
-            return s[:nsv], u[:, :k] @ p[:, :nsv], v[:, :k] @ q[:, :nsv], it
+        if nconv >= nsv or beta == 0 or it == most:
+            m = min(nsv, j)
+            out = s[:m], u[:, :j] @ p[:, :m], v[:, :j] @ q[:, :m], it
+            return out if omega is None else (*out, turned[:m])
         have = min(nsv + max(1, (k - nsv) // 2), k - 1)
-        v[:, :have], u[:, :have] = v[:, :k] @ q[:, :have], u @ p[:, :have]
+        v[:, :have], u[:, :have], sign[:have] = v[:, :k] @ q[:, :have], u @ p[:, :have], turned[:have]
         v[:, have] = v[:, k]
         b[:] = 0
         b[np.arange(have), np.arange(have)] = s[:have]
@@ -190,9 +211,9 @@ def svds(A, B=None, omega: np.ndarray | None = None, nsv: int = 1, which: str =
     if name not in SOLVERS:
         raise ValueError(f"no such solver: {solver}")
     if B is not None:
-        return gsvds(A, B, nsv, which, solver)
+        return gsvds(A, B, nsv, which, solver if solver in ("lapack", "trlanczos") else None, ncv, tol, seed, options.get("bidiagonalisation", "upper"))
     if omega is not None:
-        return hsvds(a, np.asarray(omega, float), nsv, which, solver)
+        return hsvds(a, omega, nsv, which, solver if solver in ("lapack", "trlanczos") else None, ncv, tol, seed)
     nsv = min(nsv, a.n, a.rows)
     s, u, v, it = SOLVERS[name](a, nsv, which, tol, ncv, seed, **options)
     e = np.hypot(np.linalg.norm(a.apply(v) - u * s, axis=0), np.linalg.norm(a.adjoint(u) - v * s, axis=0))
@@ -203,8 +224,15 @@ def svds(A, B=None, omega: np.ndarray | None = None, nsv: int = 1, which: str =
     return SingularResult(s, u, v, e, solver, it)
 
 
-def gsvds(A, B, nsv: int = 1, which: str = "largest", solver: str = "lapack") -> SingularResult:
-    """Generalised values c / s of a pair, and right vectors X; columns up to DENSE_ROWS."""
+def gsvds(A, B, nsv: int = 1, which: str = "largest", solver: str | None = None, ncv: int | None = None, tol: float = 1e-8, seed: int = 0, bidiagonalisation: str = "upper") -> SingularResult:
+    """Generalised values c / s of a pair, and right vectors X with (A x)^2 + (B x)^2 = 1.
+
+    "lapack": dense, or through Gram matrices where the parts are tall and have up to DENSE_ROWS columns; "trlanczos": a thick-restarted
+    Lanczos process in the inner product of A'A + B'B, at any size; without a name, the first up to DENSE_ROWS columns.
+    ``bidiagonalisation`` of the second: "upper" and "single" work on A, of which "single" gives no left vectors of B; "lower" on B."""
+    solver = solver or ("lapack" if min(_columns(A), _columns(B)) <= DENSE_ROWS else "trlanczos")
+    if solver == "trlanczos":
+        return _gsvd_lanczos(as_operator(A), as_operator(B), nsv, which, ncv, tol, seed, bidiagonalisation)
     if isinstance(A, Matrix) and isinstance(B, Matrix) and max(A.rows, B.rows) > DENSE_ROWS:
         # Gram matrices stand for tall parts, which stay where they are
         fa, fb = _gram(A), _gram(B)
@@ -224,6 +252,31 @@ def gsvds(A, B, nsv: int = 1, which: str = "largest", solver: str = "lapack") ->
     return SingularResult(values[at], None if u is None else u[:, at], x[:, at], e, solver)
 
 
+def _columns(a) -> int:
+    return a.cols if isinstance(a, Matrix) else a.n if isinstance(a, Operator) else np.asarray(a).shape[1]
+
+
+def _gsvd_lanczos(a: Operator, b: Operator, nsv: int, which: str, ncv, tol: float, seed: int, bidiagonalisation: str) -> SingularResult:
+    """With K = A'A + B'B, the map A from the inner product of K has the values c, and its adjoint is K^-1 A', by conjugate gradients."""
+    if bidiagonalisation not in ("single", "upper", "lower"):
+        raise ValueError(f"no such bidiagonalisation: {bidiagonalisation}")
+    inner = lambda x: a.adjoint(a.apply(x)) + b.adjoint(b.apply(x))
+    first = b if bidiagonalisation == "lower" else a
+    pull = lambda y: conjugate_gradient(inner, first.adjoint(y), tol=1e-13, most=10 * a.n)
+    flipped = {"largest": "smallest", "smallest": "largest"}[which] if first is b else which
+    op = Operator(a.n, first.apply, pull, first.rows, a.complex or b.complex)
+    nsv = min(nsv, a.n, first.rows)
+    _, _, x, it = _lanczos(op, nsv, flipped, tol, ncv or max(2 * nsv, nsv + 15), seed, inner=inner)
+    ax, bx = a.apply(x), b.apply(x)
+    c, s = np.linalg.norm(ax, axis=0), np.linalg.norm(bx, axis=0)
+    with np.errstate(divide="ignore"):
+        values = np.where(s > 1e-14, c / np.where(s > 1e-14, s, 1), np.inf)
+    # s^2 A'A x = c^2 B'B x
+    e = np.linalg.norm(s**2 * a.adjoint(ax) - c**2 * b.adjoint(bx), axis=0) / np.maximum(np.linalg.norm(inner(x), axis=0), 1e-300)
+    at = np.argsort(-values if which == "largest" else values, kind="stable")
+    return SingularResult(values[at], (ax / np.where(c > 0, c, 1))[:, at], x[:, at], e[at], "trlanczos", it)
+
+
 def _gram(a: Matrix) -> np.ndarray:
     """A^T A of a matrix with few columns, by one join."""
     from ..matrix import gram_frame
@@ -244,8 +297,27 @@ def _by_gram(A: Matrix, nsv: int, which: str, solver: str) -> SingularResult:
     return SingularResult(s, x if flip else y, y if flip else x, e, solver)
 
 
-def hsvds(a: Operator, omega: np.ndarray, nsv: int = 1, which: str = "largest", solver: str = "cross") -> SingularResult:
-    s, u, v, sign = dense.hsvd(a.dense(), omega)
-    at = np.arange(len(s))[:nsv] if which == "largest" else np.arange(len(s))[::-1][:nsv]
-    e = np.linalg.norm(a.apply(v[:, at]) - u[:, at] * s[at], axis=0)
-    return SingularResult(s[at], u[:, at], v[:, at], e, solver, signature=sign[at])
+def hsvds(a: Operator, omega: np.ndarray, nsv: int = 1, which: str = "largest", solver: str | None = None, ncv: int | None = None, tol: float = 1e-8, seed: int = 0) -> SingularResult:
+    """Values of A with left vectors orthonormal in the signature ``omega``, and their signs. "lapack": dense; "cross": eigenvalues of
+    A' Omega A, product by product; "trlanczos": a thick-restarted bidiagonalisation (largest values converge first); without a name, the
+    first up to DENSE_ROWS columns and the second beyond."""
+    a, omega = as_operator(a), np.asarray(omega, float)
+    solver = solver or ("lapack" if a.n <= DENSE_ROWS else "cross")
+    weight = lambda x: x * (omega if x.ndim == 1 else omega[:, None])
+    it, nsv = 1, min(nsv, a.n)
+    if solver == "trlanczos":
+        s, u, v, it, sign = _lanczos(a, nsv, which, tol, ncv, seed, omega=omega)
+    elif solver == "cross":
+        op = Operator(a.n, lambda x: a.adjoint(weight(a.apply(x))), None, None, a.complex)
+        op.adjoint = op.apply
+        r = eigs(op, nev=nsv, which="largest_magnitude" if which == "largest" else "smallest_magnitude", problem="hep", tol=tol, ncv=ncv, seed=seed)
+        s, v, sign, it = np.sqrt(np.abs(r.values)), r.vectors, np.where(r.values < 0, -1.0, 1.0), r.iterations
+        u = a.apply(v) / np.where(s > 0, s, 1)
+    elif solver == "lapack":
+        s, u, v, sign = dense.hsvd(a.dense(), omega)
+        at = np.arange(len(s))[:nsv] if which == "largest" else np.arange(len(s))[::-1][:nsv]
+        s, u, v, sign = s[at], u[:, at], v[:, at], sign[at]
+    else:
+        raise ValueError(f"no such solver: {solver}")
+    e = np.hypot(np.linalg.norm(a.apply(v) - u * s, axis=0), np.linalg.norm(a.adjoint(weight(u)) - v * (s * sign), axis=0))
+    return SingularResult(s, u, v, e / np.maximum(s, 1e-300), solver, it, signature=sign)

@@ -414,6 +414,33 @@ def _(spark, sf):
     return value_frame(spark, np.abs(np.einsum("ij,ij->j", r.left.conj(), r.vectors)))
 
 
+FLIP = "w AS (SELECT unnest(range(1, 61)) AS m), l AS (SELECT (CASE WHEN m % 2 = 1 THEN 1 ELSE -1 END) * (2 - 2*cos(pi()*m/61)) AS a FROM w)"
+for label, options in {"": {"which": "largest_magnitude"}, "_sinvert": {"target": 1.0, "transform": "sinvert"}}.items():
+
+    @query(f"eps_indefinite{label}", answer(FLIP, "a", "abs(b - 1)" if label else "abs(b) DESC", 4))
+    def _(spark, sf, options=options):
+        """A line's stiffness against the reversal of its points, which is symmetric and indefinite: values +-(2 - 2c)."""
+        n = 60
+        flip = spark.range(n).select(F.col("id").alias("i"), (n - 1 - F.col("id")).alias("j"), F.lit(1.0).alias("v"))
+        r = eigs(Matrix(src.stencil(spark, (n,)), n, n), Matrix(flip, n, n), nev=4, problem="ghiep", tol=1e-10, **options)
+        return value_frame(spark, r.values[:4])
+
+
+@query("eps_two_sided_drift", "WITH w AS (SELECT unnest(range(1, 61)) AS m), v AS (SELECT 2 + 2*sqrt(1.1*0.9)*cos(pi()*m/61) AS b FROM w) SELECT CAST(row_number() OVER (ORDER BY b DESC) - 1 AS INTEGER) AS k, round(b, 6) AS value, 0.0::DOUBLE AS error FROM v ORDER BY b DESC LIMIT 4")
+def _(spark, sf):
+    """A drift and diffusion on a line, and how far the left vectors are from y' A = k y'."""
+    n = 60
+    m = Matrix(src.banded(spark, n, {-1: 0.9, 0: 2.0, 1: 1.1}), n, n)
+    r = eigs(m, nev=4, which="largest_real", two_sided=True, tol=1e-10)
+    off = np.abs(m.adjoint(r.left) - r.left * np.conj(r.values)).max(0) / np.abs(r.left).max(0)
+    return spark.createDataFrame([(k, round(float(v.real), 6), round(float(e), 6)) for k, (v, e) in enumerate(zip(r.values[:4], off))], "k int, value double, error double")
+
+
+@query("eps_power_two_sided", "SELECT CAST(0 AS INTEGER) AS k, round(3 + 2*sqrt(4.0*1.0)*cos(pi()/9), 6) AS value")
+def _(spark, sf):
+    return value_frame(spark, eigs(Matrix(src.banded(spark, 8, {-1: 1.0, 0: 3.0, 1: 4.0}), 8, 8), nev=1, solver="power", two_sided=True, tol=1e-10, max_it=200).values)
+
+
 @query("eps_bse", "WITH w AS (SELECT unnest(range(1, 25)) AS m), l AS (SELECT sqrt(2.5 * (6.5 + 4*cos(pi()*m/25))) AS a FROM w), v AS (SELECT a * s AS b FROM l, (SELECT unnest([1, -1]) AS s)) SELECT CAST(row_number() OVER (ORDER BY round(abs(b), 9), b DESC) - 1 AS INTEGER) AS k, round(b, 6) AS value FROM v ORDER BY round(abs(b), 9), b DESC LIMIT 4")
 def _(spark, sf):
     """Both blocks have the same vectors, with values 4.5 + 2c and 2 + 2c: pairs +-sqrt of the difference of squares."""
@@ -521,6 +548,26 @@ def _(spark, sf):
     return value_frame(spark, hsvds(of_array(np.vstack([a, b])), np.r_[np.ones(64), -np.ones(64)], 5).values)
 
 
+LINES = "w AS (SELECT unnest(range(1, 61)) AS m), l AS (SELECT 2 - 2*cos(pi()*m/61) AS a FROM w)"
+for label in ("upper", "single", "lower"):
+
+    @query(f"svd_gsvd_{label}", answer(LINES, "a / (2 + a)", "b DESC", 3))
+    def _(spark, sf, label=label):
+        """A line's stiffness T against 2 + T, which have the same vectors."""
+        a, b = (Matrix(src.banded(spark, 60, {-1: -1.0, 0: d, 1: -1.0}), 60, 60) for d in (2.0, 4.0))
+        return value_frame(spark, gsvds(a, b, 3, solver="trlanczos", bidiagonalisation=label, tol=1e-9).values)
+
+
+for solver in ("trlanczos", "cross"):
+
+    @query(f"svd_hsvd_{solver}", answer(LINES, "sqrt(abs(a*a - 1))", "b DESC", 4))
+    def _(spark, sf, solver=solver):
+        """T above the identity, whose rows count negative: values sqrt |a^2 - 1|."""
+        n = 60
+        a = src.stencil(spark, (n,)).unionAll(src.identity(spark, n).withColumn("i", F.col("i") + n))
+        return value_frame(spark, hsvds(Matrix(a, 2 * n, n), np.r_[np.ones(n), -np.ones(n)], 4, solver=solver, tol=1e-10).values)
+
+
 @query("eps_lda")
 def _(spark, sf):
     """Directions that part the labels: between-class against within-class scatter, from one pass of grouped sums."""

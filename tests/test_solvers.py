@@ -328,3 +328,93 @@ def test_solvers_of_ones_own():
     assert (funm_multiply(np.eye(3), scalar.Exp(), np.ones(3), solver="doubled").y == 2).all()
     register_equation("stein", lambda a, c, ncv, tol, max_it: "answer")
     assert solve_equation(np.eye(3), np.ones(3), kind="stein") == "answer"
+
+
+def test_indefinite_pairs():
+    n = 80
+    flip, signs = np.eye(n)[::-1], (-1.0) ** np.arange(n)
+    known = signs * (2 - 2 * np.cos(np.pi * np.arange(1, n + 1) / (n + 1)))
+    r = eigs(line(n), flip, nev=4, problem="ghiep", tol=1e-9)
+    assert np.allclose(np.sort(r.values), np.sort(known[np.argsort(-np.abs(known))[:4]]), atol=1e-8) and r.errors.max() < 1e-7
+    r = eigs(line(n), flip, nev=6, problem="ghiep", target=0.5, transform="sinvert")
+    assert np.allclose(r.values, known[np.argsort(np.abs(known - 0.5))[:6]], atol=1e-8)
+    a = np.random.default_rng(2).standard_normal((40, 40))
+    a, b = a + a.T, np.diag(np.where(np.arange(40) % 3 == 0, -1.0, 2.0))
+    r, w = eigs(a, b, nev=4, problem="ghiep", target=0.0, transform="sinvert"), np.linalg.eigvals(np.linalg.solve(b, a))
+    assert np.allclose(np.sort(np.abs(r.values))[:4], np.sort(np.abs(w))[:4], atol=1e-7)  # some are complex pairs
+    with pytest.raises(ValueError):
+        eigs(a, b, problem="ghiep", target=1j, transform="sinvert")
+
+
+@pytest.mark.parametrize("pair,options", [(False, {}), (False, {"target": 0.3, "transform": "sinvert"}), (True, {}), (True, {"target": 1.0, "transform": "sinvert"})])
+def test_both_sides(pair, options):
+    rng = np.random.default_rng(0)
+    a, b = rng.standard_normal((120, 120)), 2 * np.eye(120) + 0.1 * rng.standard_normal((120, 120))
+    b = b if pair else np.eye(120)
+    r = eigs(a, b if pair else None, nev=4, two_sided=True, tol=1e-9, **options)
+    left = r.left.conj().T
+    assert r.nconv >= 4 and r.errors.max() < 1e-7
+    assert np.abs(left @ a - r.values[:, None] * (left @ b)).max() < 1e-7 * np.abs(left).max()
+    assert np.allclose(np.diag(left @ b @ r.vectors), 1)
+    # left and right vectors of different values are orthogonal through B
+    assert np.abs(left @ b @ r.vectors - np.eye(r.nconv)).max() < 1e-6
+
+
+def test_power_on_both_sides():
+    a = np.diag([1.0, 2, 3, 5, 9]) + np.triu(np.ones((5, 5)), 1)
+    r = eigs(a, nev=2, solver="power", two_sided=True, tol=1e-10)
+    assert np.allclose(r.values, [9, 5]) and np.allclose(r.left.conj().T @ a, r.values[:, None] * r.left.conj().T, atol=1e-6)
+
+
+@pytest.mark.parametrize("basis", dense.BASES)
+@pytest.mark.parametrize("target", [0.3, 0.3 + 0.1j, None])
+def test_shared_basis_is_the_companion_process(basis, target):
+    rng = np.random.default_rng(4)
+    mats = [rng.standard_normal((20, 20)), 3 * rng.standard_normal((20, 20)), rng.standard_normal((20, 20)) + 9 * np.eye(20), 5 * np.eye(20)]
+    a, b = (polyeigs(mats, basis=basis, nev=3, target=target, solver=s, tol=1e-9) for s in ("toar", "lapack"))
+    key = (lambda v: v) if target is None else (lambda v: v - target)
+    assert a.nconv >= 3 and np.allclose(np.abs(key(a.values[:3])), np.abs(key(b.values[:3])), atol=1e-7) and a.errors.max() < 1e-7
+
+
+def test_shared_basis_stays_small():
+    from eigenfold.operators import spaces
+
+    rng = np.random.default_rng(4)
+    space = spaces.Compact([of_array(rng.standard_normal((200, 200))) for _ in range(4)], "monomial", 0.1, rng.standard_normal(600), 12)
+    h = np.zeros((13, 12))
+    for j in range(12):
+        h[: j + 1, j], h[j + 1, j], _ = space.expand(j)
+    assert space.rank == 15  # d blocks and one more each step, not d times as many
+    whole = space.vectors(np.eye(12))
+    assert np.allclose(whole.T @ whole, np.eye(12), atol=1e-10)
+    w, y = np.linalg.eig(h[:12])
+    at = np.argsort(-np.abs(w))[: 4 if abs(np.sort(-np.abs(w))[3] - np.sort(-np.abs(w))[4]) > 1e-9 else 5]
+    u, s, _ = np.linalg.svd(np.hstack([y[:, at].real, y[:, at].imag]), full_matrices=False)
+    q = u[:, s > 1e-10]
+    before, last = space.vectors(np.hstack([q, np.zeros((12, 1))])), space.vectors(np.eye(13)[:, 12:])
+    space.restart(q, np.ones(q.shape[1]), 12)
+    assert space.rank == q.shape[1] + 1 + 3 - 1
+    assert np.allclose(space.vectors(np.eye(q.shape[1])), before[:, :-1], atol=1e-10)
+    assert np.allclose(space.vectors(np.eye(q.shape[1] + 1)[:, -1:]), last, atol=1e-10)
+    with pytest.raises(ValueError):
+        polyeigs([rng.standard_normal((9, 9)), np.eye(9), np.eye(9)], target=0.1, solver="stoar")
+
+
+@pytest.mark.parametrize("which", ["largest", "smallest"])
+@pytest.mark.parametrize("how", ["upper", "single", "lower"])
+def test_gsvd_by_lanczos(which, how):
+    rng = np.random.default_rng(0)
+    a, b = rng.standard_normal((60, 30)), rng.standard_normal((40, 30))
+    r, known = (gsvds(a, b, 4, which=which, solver=s) for s in ("trlanczos", "lapack"))
+    if how != "upper":
+        r = svds(a, b, nsv=4, which=which, solver="trlanczos", bidiagonalisation=how)
+    assert np.allclose(r.values, known.values, atol=1e-8) and r.errors.max() < 1e-6
+    assert np.allclose(np.linalg.norm(a @ r.v, axis=0) ** 2 + np.linalg.norm(b @ r.v, axis=0) ** 2, 1)
+
+
+@pytest.mark.parametrize("solver", ["trlanczos", "cross", "lapack"])
+def test_hsvd_solvers(solver):
+    a, omega = np.random.default_rng(3).standard_normal((80, 30)), np.where(np.arange(80) < 50, 1.0, -1.0)
+    r = hsvds(of_array(a), omega, 5, solver=solver, tol=1e-9)
+    assert np.allclose(r.values, hsvds(of_array(a), omega, 5).values) and r.errors.max() < 1e-6
+    assert np.allclose(r.u.T @ (omega[:, None] * r.u), np.diag(r.signature), atol=1e-6)

@@ -443,17 +443,17 @@ def aaa_poles(z: np.ndarray, w: np.ndarray) -> np.ndarray:
 def leja_bagby(targets: np.ndarray, poles: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Interpolation points from ``targets``, poles from ``poles`` and scalings, each pair the greedy maximum and minimum of the rational node function."""
     sigma, xi, beta = [targets[0]], [poles[0] if len(poles) else np.inf], [1.0]
-    node_t, node_p = np.ones(len(targets), complex), np.ones(max(len(poles), 1), complex)
+    node_t, node_p = np.ones(len(targets), complex), np.zeros(max(len(poles), 1))  # the poles' as logarithms
     for _ in range(1, n):
         bottom = lambda x: 1 - x / xi[-1] if np.isfinite(xi[-1]) and xi[-1] != 0 else np.ones_like(x)
         node_t = node_t * (targets - sigma[-1]) / (beta[-1] * bottom(targets))
         i = int(np.abs(node_t).argmax())
         sigma.append(targets[i])
         if len(poles) and np.isfinite(poles).any():
-            node_p = node_p * (poles - sigma[-2]) / (beta[-1] * np.where(bottom(poles) == 0, 1e-300, bottom(poles)))
-            xi.append(poles[int(np.abs(node_p).argmin())])
+            log = lambda x: np.log(np.maximum(np.abs(x), 1e-300))
+            node_p = node_p + log(poles - sigma[-2]) - log(beta[-1]) - log(bottom(poles))
+            xi.append(poles[int(node_p.argmin())])
         else:
             xi.append(np.inf)
         beta.append(float(max(np.abs(node_t).max(), 1e-300)))
-        node_t = node_t / 1.0
     return np.array(sigma), np.array(xi), np.array(beta)

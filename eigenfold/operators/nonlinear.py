@@ -12,7 +12,7 @@ from ..functions.order import order
 from ..functions.region import Interval, Region
 from ..functions.scalar import Function
 from ..matrix import DENSE_ROWS, Operator, as_operator, of_array
-from . import eigen, polynomial
+from . import eigen, polynomial, processes, spaces
 from .eigen import EigenResult
 from .transform import combination, solver_for
 
@@ -194,10 +194,10 @@ def _interpol(t: Nonlinear, region: Interval, degree: int):
     return (a + b) / 2 + (b - a) / 2 * w[ok], x[:, ok]
 
 
-def _nleigs(t: Nonlinear, region: Region, poles, degree: int):
-    """Rational interpolation: T at Leja points of the region's border in rational nodes with the given poles, then the linear pencil.
+def _interpolation(t: Nonlinear, region: Region, poles, degree: int):
+    """Leja points of the region's border, poles, scalings of the rational nodes, and the nodes at the points.
 
-    With poles at infinity this is Newton interpolation; ``poles`` may be "aaa", from approximations of the scalar functions."""
+    Without poles the nodes are those of Newton interpolation; ``poles`` may be "aaa", from approximations of the scalar functions."""
     border = region.contour(400) if not (isinstance(region, Interval) and not np.isfinite(region.c + region.d)) else None
     if border is None or isinstance(region, Interval) and region.c == region.d:
         border = np.linspace(region.a, region.b, 400).astype(complex)
@@ -207,7 +207,6 @@ def _nleigs(t: Nonlinear, region: Region, poles, degree: int):
         poles = poles[region.inside(poles) < 0] if len(poles) else poles
     poles = np.asarray(poles if poles is not None else [], complex)
     sigma, xi, beta = dense.leja_bagby(border, poles, degree + 1)
-    n = t.n
 
     def nodes(z: complex) -> np.ndarray:
         """b_0(z) ... b_degree(z)."""
@@ -217,7 +216,13 @@ def _nleigs(t: Nonlinear, region: Region, poles, degree: int):
             b.append(b[-1] * (z - sigma[j - 1]) / (beta[j] * den))
         return np.array(b)
 
-    table = np.array([nodes(s) for s in sigma])
+    return sigma, xi, beta, np.array([nodes(s) for s in sigma]), complex(border.mean())
+
+
+def _nleigs(t: Nonlinear, region: Region, poles, degree: int):
+    """Rational interpolation of T on the region, and all pairs of the linear pencil, dense."""
+    sigma, xi, beta, table, _ = _interpolation(t, region, poles, degree)
+    n = t.n
     at = [t.at(s).dense().astype(complex) for s in sigma]
     d: list[np.ndarray] = []
     for j in range(degree + 1):
@@ -245,6 +250,37 @@ def _nleigs(t: Nonlinear, region: Region, poles, degree: int):
     return w, x[pick, :, np.arange(x.shape[2])].T
 
 
+def _nleigs_krylov(t: Nonlinear, region: Region, poles, degree: int, nev: int, target: complex, tol: float, full: bool, seed: int, ncv: int | None = None, most: int = 200):
+    """The same pencil about the target, never formed: a Krylov solve with a shared basis for its blocks, or with whole vectors (``full``).
+    The values nearest the target come first; if the target lies outside, those about the region's middle, until one is outside."""
+    sigma, xi, beta, table, middle = _interpolation(t, region, poles, degree)
+    f = np.array([[complex(g(complex(z))) for _, g in t.terms] for z in sigma])
+    c: list[np.ndarray] = []
+    for j in range(degree + 1):
+        c.append((f[j] - sum(table[j, i] * c[i] for i in range(j))) / table[j, j])
+        if j > 2 and np.abs(c[j]).max() <= 1e-14 * np.abs(c[0]).max():
+            break
+    inside = region.inside(np.array([target]))[0] >= 0
+    at = complex(target) if inside else middle
+    pencil = spaces.Pencil([a for a, _ in t.terms], np.array(c), sigma, xi, beta, at)
+    m, n, want = pencil.blocks, t.n, nev
+    start = np.random.default_rng(seed).standard_normal(m * n) + 0j
+    while True:
+        size = min(ncv or max(2 * want, want + 20), m * n)
+        same = lambda x: x
+        space = spaces.Plain(lambda y: pencil.apply(y.reshape(m, n), same, same).ravel(), start, size) if full else spaces.Rational(pencil, start, size)
+        stop = lambda it, nconv: "tolerance" if nconv >= want else "iterations" if it >= most else None
+        theta, y, its, why = spaces.restarted(space, want, lambda th: np.argsort(-np.abs(th), kind="stable"), polynomial._Relative(tol), stop, lambda *a: None, False)
+        w = 1 / theta + at
+        held = region.inside(w) >= 0
+        if inside and held.sum() >= nev or not held.all() or why != "tolerance" or size >= m * n:
+            break
+        want *= 2
+    x = y.reshape(m, n, -1)
+    pick = np.linalg.norm(x, axis=1).argmax(0)
+    return w, x[pick, :, np.arange(x.shape[2])].T, its
+
+
 def resolvent(t: Nonlinear, values: np.ndarray, x: np.ndarray, y: np.ndarray, omega: complex, v: np.ndarray) -> np.ndarray:
     """The part of T(omega)^-1 v that eigentriplets (value, x, y) make up: sum x y^H v / (omega - value), with y scaled to y^H T'(value) x = 1."""
     out = np.zeros(len(v), complex)
@@ -268,6 +304,10 @@ def nleigs(
     """Eigenpairs of ``problem``: a ``Nonlinear`` or a list of terms (matrix, function)."""
     t = problem if isinstance(problem, Nonlinear) else Nonlinear.split(problem)
     n, its = t.n, 1
+    if solver == "slp" and two_sided and nev == 1:
+        value, x, y, its, ok = slp_two_sided(t, target, tol, max_it, seed)
+        w, x = np.array([value]), x[:, None]
+        return EigenResult(w, x, residuals(t, w, x), solver, its, "tolerance" if ok else "iterations", y[:, None])
     if solver in SOLVERS:
         found: list[tuple[complex, np.ndarray]] = []
         out: list[tuple[complex, np.ndarray]] = []
@@ -295,6 +335,8 @@ def nleigs(
             raise ValueError(f"{solver} needs a region")
         if solver == "interpol":
             w, x = _interpol(t, region, degree or 12)
+        elif solver == "nleigs" and t.terms and (options.get("krylov") or options.get("full_basis") or n * (degree or 20) > DENSE_ROWS):
+            w, x, its = _nleigs_krylov(t, region, poles, degree or 20, nev, target, tol, bool(options.get("full_basis")), seed, options.get("ncv"), max_it)
         elif solver == "nleigs":
             w, x = _nleigs(t, region, poles, degree or 20)
         elif solver == "ciss":
@@ -323,8 +365,34 @@ def nleigs(
 
 
 def _left(t: Nonlinear, value: complex) -> np.ndarray:
-    u, _, _ = np.linalg.svd(t.at(value).dense())
-    return u[:, -1]
+    """y with y^H T(value) = 0: the dense form's, or by inverse iteration with the adjoint."""
+    if t.n <= DENSE_ROWS:
+        u, _, _ = np.linalg.svd(t.at(value).dense())
+        return u[:, -1]
+    solve = solver_for(processes.adjoint(t.at(value * (1 + 1e-8) + 1e-12)))
+    y = np.random.default_rng(1).standard_normal(t.n) + 0j
+    for _ in range(3):
+        y = solve(y)
+        y /= np.linalg.norm(y)
+    return y
+
+
+def slp_two_sided(t: Nonlinear, k: complex, tol: float = 1e-10, most: int = 60, seed: int = 0) -> tuple[complex, np.ndarray, np.ndarray, int, bool]:
+    """Successive linear problems on both sides: from a pair of vectors, solves with T(k) and its adjoint give the next right and left
+    vectors, and their two-sided quotient y^H T x / y^H T' x the step of k, which so converges cubically."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.standard_normal(t.n) + 0j, rng.standard_normal(t.n) + 0j
+    for it in range(1, most + 1):
+        a, b = t.at(k), t.slope(k)
+        forth, back = solver_for(a), solver_for(processes.adjoint(a))
+        for _ in range(4 if it == 1 else 1):
+            x, y = forth(b.apply(x)), back(b.adjoint(y))
+            x, y = x / np.linalg.norm(x), y / np.linalg.norm(y)
+        k = k - np.vdot(y, a.apply(x)) / np.vdot(y, b.apply(x))
+        a = t.at(k)
+        if max(np.linalg.norm(a.apply(x)), np.linalg.norm(a.adjoint(y))) <= tol * max(abs(k), 1e-8):
+            return k, x, y, it, True
+    return k, x, y, most, False
 
 
 def _small(t: Nonlinear, region: Region) -> tuple[np.ndarray, np.ndarray]:

@@ -618,6 +618,16 @@ def _(spark, sf):
     return value_frame(spark, np.sort(polyeigs([5 * t, 10 * t, np.eye(24)], interval=(-0.508, -0.5055), solver="stoar", which="all").values))
 
 
+for solver in ("toar", "stoar"):
+
+    @query(f"pep_interval_{solver}", answer(SPRING, ROOT, "b", 100, "b BETWEEN -0.508 AND -0.5055"))
+    def _(spark, sf, solver=solver):
+        """The same by a sweep of shifted Krylov solves, without the dense form."""
+        k, c = src.banded(spark, 24, {-1: -5, 0: 15, 1: -5}), src.banded(spark, 24, {-1: -10, 0: 30, 1: -10})
+        r = polyeigs([Matrix(k, 24, 24), Matrix(c, 24, 24), Matrix(src.identity(spark, 24), 24, 24)], interval=(-0.508, -0.5055), solver=solver, which="all", krylov=True, tol=1e-10)
+        return value_frame(spark, np.sort(r.values))
+
+
 @query("pep_ciss", answer(SPRING, ROOT, "b", 100, "abs(b + 0.506) <= 0.001"))
 def _(spark, sf):
     t = 3 * np.eye(24) - np.eye(24, k=1) - np.eye(24, k=-1)
@@ -660,6 +670,23 @@ for solver in ("nleigs", "interpol", "ciss"):
         return value_frame(spark, r.values)
 
 
+for label, options in {"krylov": {"krylov": True}, "krylov_poles": {"krylov": True, "poles": "aaa"}, "full_basis": {"full_basis": True}}.items():
+
+    @query(f"nep_nleigs_{label}", answer(LINE, "ln(a)", "abs(b - 1.2)", 3))
+    def _(spark, sf, options=options):
+        r = nleigs([(line(spark), scalar.Rational(p=[1.0])), (np.eye(30), scalar.Exp(beta=-1.0))], nev=3, target=1.2, solver="nleigs", region=Interval(a=0.9, b=1.4, c=-0.2, d=0.2), **options)
+        return value_frame(spark, r.values)
+
+
+@query("nep_slp_two_sided", answer(LINE, "ln(a)", "abs(b - 1.36)", 1).replace("AS value FROM", "AS value, 0.0::DOUBLE AS error FROM"))
+def _(spark, sf):
+    """A x = exp(k) x from both sides, and how far the left vector is from y' A = exp(k) y'."""
+    a = line(spark)
+    r = nleigs([(a, scalar.Rational(p=[1.0])), (np.eye(30), scalar.Exp(beta=-1.0))], target=1.36, solver="slp", tol=1e-10, two_sided=True)
+    off = np.linalg.norm(a.adjoint(r.left) - r.left * np.conj(np.exp(r.values)))
+    return value_frame(spark, r.values).withColumn("error", F.round(F.lit(float(off)), 6))
+
+
 FIRST = np.eye(30)[:, 0]
 for label, fn, f in (("exp", scalar.Exp(alpha=-1.0), "exp(-(2-2*cos(pi()*m/31)))"), ("sqrt", scalar.Sqrt(), "sqrt(2-2*cos(pi()*m/31))"), ("invsqrt", scalar.InvSqrt(), "1/sqrt(2-2*cos(pi()*m/31))"), ("phi1", scalar.Phi(k=1), "(exp(2-2*cos(pi()*m/31))-1)/(2-2*cos(pi()*m/31))"), ("log", scalar.Log(), "ln(2-2*cos(pi()*m/31))")):
     query(f"mfn_krylov_{label}", sine_sum(f))(lambda spark, sf, fn=fn: value_frame(spark, funm_multiply(line(spark), fn, FIRST, tol=1e-12).y))

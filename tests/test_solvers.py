@@ -418,3 +418,53 @@ def test_hsvd_solvers(solver):
     r = hsvds(of_array(a), omega, 5, solver=solver, tol=1e-9)
     assert np.allclose(r.values, hsvds(of_array(a), omega, 5).values) and r.errors.max() < 1e-6
     assert np.allclose(r.u.T @ (omega[:, None] * r.u), np.diag(r.signature), atol=1e-6)
+
+
+@pytest.mark.parametrize("solver", ["toar", "stoar"])
+def test_interval_of_a_polynomial_without_the_dense_form(solver):
+    n = 150
+    t = 3 * np.eye(n) - np.eye(n, k=1) - np.eye(n, k=-1)
+    mats = [5 * t, 10 * t, np.eye(n)]
+    a, b = (polyeigs(mats, interval=(-0.52, -0.51), solver=solver, which="all", krylov=k, tol=1e-9) for k in (True, False))
+    assert len(b.values) > 10 and np.allclose(np.sort(a.values), np.sort(b.values), atol=1e-8) and a.errors.max() < 1e-7
+
+
+@pytest.mark.parametrize("options", [{"krylov": True}, {"full_basis": True}, {"krylov": True, "poles": "aaa"}])
+def test_rational_krylov(options):
+    region = Interval(a=0.5, b=10.0)
+    for n in (40, 150):
+        known = nleigs(delay(n), nev=4, target=5.0, solver="interpol", region=region)
+        for target in (5.0, 20.0):
+            r = nleigs(delay(n), nev=4, target=target, solver="nleigs", region=region, **options)
+            assert np.allclose(np.sort(r.values.real), np.sort(known.values.real), atol=1e-7) and len(r.values) == 2 and r.errors.max() < 1e-8
+
+
+def test_pencil_is_the_dense_one():
+    """The block-wise inverse against the pencil written out, with finite poles."""
+    from eigenfold.operators import spaces
+
+    rng = np.random.default_rng(5)
+    mats, m, n = [of_array(rng.standard_normal((6, 6))) for _ in range(2)], 3, 6
+    c, sigma, xi, beta, at = rng.standard_normal((m + 1, 2)), rng.standard_normal(m + 1), np.array([np.inf, 4.0, np.inf, -5.0]), 1 + rng.random(m + 1), 0.7
+    d = [sum(w * a.dense() for w, a in zip(row, mats)) for row in c]
+    l0, l1 = np.zeros((m * n, m * n)), np.zeros((m * n, m * n))
+    cell = lambda i: slice(i * n, (i + 1) * n)
+    inv = [0 if np.isinf(x) else 1 / x for x in xi]
+    for j in range(1, m):
+        l0[cell(j - 1), cell(j - 1)], l0[cell(j - 1), cell(j)] = sigma[j - 1] * np.eye(n), beta[j] * np.eye(n)
+        l1[cell(j - 1), cell(j - 1)], l1[cell(j - 1), cell(j)] = np.eye(n), beta[j] * inv[j] * np.eye(n)
+    for j in range(m):
+        l0[cell(m - 1), cell(j)] += d[j]
+        l1[cell(m - 1), cell(j)] += inv[m] * d[j]
+    l0[cell(m - 1), cell(m - 1)] -= sigma[m - 1] / beta[m] * d[m]
+    l1[cell(m - 1), cell(m - 1)] -= d[m] / beta[m]
+    y, same = rng.standard_normal(m * n), lambda x: x
+    pencil = spaces.Pencil(mats, c, sigma, xi, beta, at)
+    assert np.allclose(pencil.apply(y.reshape(m, n), same, same).ravel(), np.linalg.solve(l0 - at * l1, l1 @ y))
+
+
+def test_linear_problems_on_both_sides():
+    r = nleigs(delay(60), target=0.8, solver="slp", two_sided=True)
+    m = Nonlinear.split(delay(60)).at(r.values[0]).dense()
+    assert abs(r.values[0] - nleigs(delay(60), target=0.8, solver="slp").values[0]) < 1e-8
+    assert np.abs(r.left[:, 0].conj() @ m).max() < 1e-6 and r.errors.max() < 1e-8

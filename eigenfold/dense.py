@@ -268,6 +268,46 @@ def gnhep(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w, x
 
 
+def _reflection(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """v and tau with (I - tau v v^H) x along the first unit vector."""
+    v, size = x.astype(np.result_type(x, float)).copy(), np.linalg.norm(x)
+    if size == 0 or not np.abs(x[1:]).any():
+        return v, 0.0
+    v[0] += size * (x[0] / abs(x[0]) if x[0] != 0 else 1.0)
+    return v, 2.0 / np.vdot(v, v).real
+
+
+def tridiagonalised(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """T, Q with A = Q T Q^H and T tridiagonal, for a Hermitian A such as the arrow that a thick restart leaves. Rows are taken from
+    the last on, so that the last vector of Q is the unit vector and the residual's row stays alone."""
+    t, n = a.astype(np.result_type(a, float)).copy(), len(a)
+    q = np.eye(n, dtype=t.dtype)
+    for k in range(n - 1, 1, -1):
+        v, tau = _reflection(t[:k, k][::-1])
+        v = v[::-1]
+        if tau:
+            t[:k] -= tau * np.outer(v, v.conj() @ t[:k])
+            t[:, :k] -= tau * np.outer(t[:, :k] @ v, v.conj())
+            q[:, :k] -= tau * np.outer(q[:, :k] @ v, v.conj())
+    return np.triu(np.tril(t, 1), -1), q
+
+
+def bidiagonalised(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """B, P, Q with A = P B Q^H and B upper bidiagonal, for a square A."""
+    b, n = a.astype(np.result_type(a, float)).copy(), len(a)
+    p, q = np.eye(n, dtype=b.dtype), np.eye(n, dtype=b.dtype)
+    for k in range(n - 1):
+        v, tau = _reflection(b[k:, k])
+        if tau:
+            b[k:] -= tau * np.outer(v, v.conj() @ b[k:])
+            p[:, k:] -= tau * np.outer(p[:, k:] @ v, v.conj())
+        v, tau = _reflection(b[k, k + 1 :].conj())
+        if tau:
+            b[:, k + 1 :] -= tau * np.outer(b[:, k + 1 :] @ v, v.conj())
+            q[:, k + 1 :] -= tau * np.outer(q[:, k + 1 :] @ v, v.conj())
+    return np.triu(np.tril(b, 1)), p, q
+
+
 def ghiep(a: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A x = w Omega x with a signature Omega (its diagonal, or a matrix)."""
     b = np.diag(omega) if omega.ndim == 1 else omega

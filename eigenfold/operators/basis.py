@@ -184,8 +184,9 @@ def normalised(basis: DataFrame) -> DataFrame:
     return scaled(basis, 1 / np.maximum(column_norms(basis), 1e-300))
 
 
-def orthogonalised(basis: DataFrame, method: str = "tsqr") -> tuple[DataFrame, np.ndarray]:
-    """Q, R with X = Q R: "tsqr" (R from a tree of QRs; X R^-1 twice), "chol" and "tsqrchol", "svqb", "gs"."""
+def orthogonalised(basis: DataFrame, method: str = "tsqr", block: int = 16) -> tuple[DataFrame, np.ndarray]:
+    """Q, R with X = Q R: "tsqr" (R from a tree of QRs; X R^-1 twice), "chol" and "tsqrchol", "svqb", "gs" (Gram-Schmidt by ``block``
+    columns, of which 1 is the classical one; three passes over the rows a block)."""
     if method in ("tsqr", "tsqrchol"):
         r = _upright(reduced(basis.select("x"), lambda b: np.linalg.qr(rows_of(b), mode="r"), "qr"))
         q = multiply(basis, np.linalg.pinv(r))
@@ -193,12 +194,12 @@ def orthogonalised(basis: DataFrame, method: str = "tsqr") -> tuple[DataFrame, n
             again = _upright(reduced(q.select("x"), lambda b: np.linalg.qr(rows_of(b), mode="r"), "qr"))
             return multiply(basis, np.linalg.pinv(again @ r)), again @ r
         return q, r
-    if method in ("chol", "gs"):
+    if method == "chol":
         r = np.linalg.cholesky(gram(basis)).T
-        if method == "gs":  # a second pass, as repeated Gram-Schmidt
-            q = multiply(basis, np.linalg.inv(r))
-            r = np.linalg.cholesky(gram(q)).T @ r
         return multiply(basis, np.linalg.inv(r)), r
+    if method == "gs":
+        t = _gram_schmidt(basis, block)
+        return multiply(basis, t), np.linalg.inv(t)
     if method == "svqb":
         g = gram(basis)
         d = 1 / np.sqrt(np.maximum(np.diag(g), 1e-300))
@@ -208,6 +209,27 @@ def orthogonalised(basis: DataFrame, method: str = "tsqr") -> tuple[DataFrame, n
     raise ValueError(f"no such method: {method}")
 
 
+def _gram_schmidt(basis: DataFrame, block: int) -> np.ndarray:
+    """T upper triangular with X T orthonormal. A pass gives a block's products with all columns before it and its own Gram matrix, from
+    the rows as they then are; the passes after the first take off what rounding has left."""
+    k = len(basis.select("x").first()["x"])
+    t = np.zeros((k, 0))
+    for at in range(0, k, block):
+        s = np.eye(k)[:, at : at + block]
+        for _ in range(3):
+            j, both = t.shape[1], np.hstack([t, s])
+
+            def products(b: pa.RecordBatch, both=both, j=j) -> np.ndarray:
+                y = rows_of(b) @ both
+                return y.T @ y[:, j:]
+
+            g = reduced(basis.select("x"), products)
+            c, own = g[:j], g[j:]
+            s = (s - t @ c) @ np.linalg.inv(np.linalg.cholesky(own - c.T @ c).T)
+        t = np.hstack([t, s])
+    return t
+
+
 def _upright(r: np.ndarray) -> np.ndarray:
     """R with a nonnegative diagonal, square."""
     k = r.shape[1]

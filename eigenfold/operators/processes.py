@@ -234,3 +234,24 @@ def bse_product(p, ncv: int | None = None):
 
 def adjoint(a: Operator) -> Operator:
     return Operator(a.n, a.adjoint, a.apply, a.rows, a.complex, None if a.diagonal is None else np.conj(a.diagonal), a.norm)
+
+
+def nonlinear_power(at: Callable[[np.ndarray], Operator], start: np.ndarray, b_at: Callable[[np.ndarray], Operator] | None = None, shift: complex | None = None, tol: float = 1e-8, most: int = 1000) -> tuple[complex, np.ndarray, int, bool]:
+    """A(x) x = k B(x) x, where the matrices depend on the vector: power steps with A(x), or with ``shift`` inverse steps
+    with A(x) - shift B(x), each with the matrices at the last vector."""
+    from .transform import combination, identity, solver_for
+
+    x, k = start / np.linalg.norm(start), 0.0
+    for it in range(1, most + 1):
+        a, b = at(x), identity(len(x)) if b_at is None else b_at(x)
+        ax, bx = a.apply(x), b.apply(x)
+        k = np.vdot(bx, ax) / np.vdot(bx, bx)
+        if np.linalg.norm(ax - k * bx) <= tol * max(abs(k), 1e-300) * np.linalg.norm(bx):
+            return k, x, it, True
+        if shift is not None:
+            x = solver_for(combination([(1.0, a), (-shift, b)]))(bx)
+        else:
+            x = ax if b_at is None else solver_for(b)(ax)
+        x = x / np.linalg.norm(x)
+        x = x * np.conj(np.sign(x[np.abs(x).argmax()]))  # the sign is free, the matrices may see it
+    return k, x, most, False

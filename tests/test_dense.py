@@ -75,3 +75,18 @@ def test_rational_approximation():
     support, _, w = dense.aaa(1 / (z - 1.5), z)
     assert np.allclose(dense.aaa_poles(support, w), [1.5], atol=1e-8)
     assert dense.inertia(np.diag([-1.0, 0, 2, 3])) == (1, 1, 2)
+
+
+@pytest.mark.parametrize("kind", ["real", "complex"])
+def test_arrows(kind):
+    rng = np.random.default_rng(8)
+    n, k = 9, 6
+    a = np.diag(rng.standard_normal(n)).astype(complex if kind == "complex" else float)
+    a[:k, k] = rng.standard_normal(k) + (1j * rng.standard_normal(k) if kind == "complex" else 0)
+    a[k, k + 1], a[k + 1, k + 2] = 1.0, 2.0
+    a = np.triu(a) + np.triu(a, 1).conj().T
+    t, q = dense.tridiagonalised(a)
+    assert np.allclose(q @ t @ q.conj().T, a) and np.allclose(q.conj().T @ q, np.eye(n)) and np.allclose(q[-1], np.eye(n)[-1])
+    b = np.triu(a)
+    c, p, q = dense.bidiagonalised(b)
+    assert np.allclose(p @ c @ q.conj().T, b) and np.allclose(p.conj().T @ p, np.eye(n)) and np.allclose(q.conj().T @ q, np.eye(n))

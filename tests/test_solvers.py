@@ -468,3 +468,20 @@ def test_linear_problems_on_both_sides():
     m = Nonlinear.split(delay(60)).at(r.values[0]).dense()
     assert abs(r.values[0] - nleigs(delay(60), target=0.8, solver="slp").values[0]) < 1e-8
     assert np.abs(r.left[:, 0].conj() @ m).max() < 1e-6 and r.errors.max() < 1e-8
+
+
+def test_nonlinear_power_and_a_polynomial_solver_of_ones_own():
+    n = 20
+    at = lambda x: of_array(line(n) + np.diag(np.abs(x) ** 2) * 5)
+    for shift in (None, 0.0):
+        k, x, _, ok = processes.nonlinear_power(at, np.ones(n), shift=shift, tol=1e-8, most=5000)
+        assert ok and np.linalg.norm(at(x).apply(x) - k * x) < 1e-6
+    k, x, _, ok = processes.nonlinear_power(lambda x: of_array(line(n)), np.ones(n), lambda x: of_array(2 * np.eye(n)), shift=0.0)
+    assert ok and np.isclose(k, np.linalg.eigvalsh(line(n))[0] / 2)
+    from eigenfold.operators import polynomial
+
+    polynomial.register("mine", lambda mats, basis, nev, which, target, tol, options: (*dense.polyeig([m.dense() for m in mats], basis), 1))
+    try:
+        assert np.allclose(polyeigs(spring(), nev=2, target=-0.5, solver="mine").values[:2], polyeigs(spring(), nev=2, target=-0.5, solver="lapack").values)
+    finally:
+        del polynomial.SOLVERS["mine"]

@@ -71,6 +71,14 @@ def test_orthogonalise(spark, method):
     assert np.allclose(got @ r, x)
 
 
+@pytest.mark.parametrize("width", [1, 4, 16])
+def test_gram_schmidt_by_blocks(spark, width):
+    x = basis.random_conditioned(60, 6, 1e6, seed=3)
+    q, r = basis.orthogonalised(block(spark, x), "gs", width)
+    assert np.abs(basis.gram(q) - np.eye(6)).max() < 1e-10 and np.allclose(r, np.triu(r))
+    assert np.allclose(np.array([t["x"] for t in q.orderBy("i").collect()]) @ r, x)
+
+
 def test_basis(spark):
     x, y, q = rng.standard_normal((30, 3)), rng.standard_normal((30, 3)), rng.standard_normal((3, 3))
     fx, fy = block(spark, x), block(spark, y)

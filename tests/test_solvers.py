@@ -485,3 +485,11 @@ def test_nonlinear_power_and_a_polynomial_solver_of_ones_own():
         assert np.allclose(polyeigs(spring(), nev=2, target=-0.5, solver="mine").values[:2], polyeigs(spring(), nev=2, target=-0.5, solver="lapack").values)
     finally:
         del polynomial.SOLVERS["mine"]
+
+
+@pytest.mark.parametrize("b", [None, 4 * np.eye(100)])
+def test_double_expansion(b):
+    a = GRID + np.diag(np.linspace(0, 3, 100))
+    known = np.linalg.eigvalsh(a)[:4] / (1 if b is None else 4)
+    r = eigs(a, b, nev=4, which="smallest_real", solver="gd", double=True)
+    assert np.allclose(r.values, known, atol=1e-7) and r.errors.max() < 1e-6

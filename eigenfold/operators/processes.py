@@ -105,7 +105,7 @@ def arnoldi_process(op: Callable, start: np.ndarray, m: int, delayed: bool = Fal
 
 def explicit(p, process: Callable, symmetric: bool):
     """Explicit restarts: what has converged is locked, and the process starts anew with the first wanted vector that has not."""
-    op, b = p.transform.operator(p.a, p.b), p.inner()
+    op, b = p.transform.operator(p.a, p.b, p.kind == "ghep"), p.inner()
     kind = complex if p.complex else float
     given = np.zeros((p.n, 0), kind) if p.deflation is None else p.locked().astype(kind)
     kept = np.zeros((p.n, 0), kind)

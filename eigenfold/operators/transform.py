@@ -107,11 +107,12 @@ class Transform:
     back: Callable | None = None
     injective: bool = True
 
-    def operator(self, a: Operator, b: Operator | None) -> Callable[[np.ndarray], np.ndarray]:
+    def operator(self, a: Operator, b: Operator | None, positive: bool = False) -> Callable[[np.ndarray], np.ndarray]:
+        """``positive``: B is definite, so that conjugate gradients solve with it beyond the dense form."""
         unit = b if b is not None else identity(a.n)
         s = self._number(self.sigma)
         if self.kind == "shift":
-            solve = solver_for(b, positive=True) if b is not None else (lambda x: x)
+            solve = solver_for(b, positive=positive) if b is not None else (lambda x: x)
             return lambda x: solve(a.apply(x)) - (s * x if s != 0 else 0)
         if self.kind in ("sinvert", "cayley"):
             solve = solver_for(combination([(1.0, a), (-s, unit)]))

@@ -493,3 +493,24 @@ def test_double_expansion(b):
     known = np.linalg.eigvalsh(a)[:4] / (1 if b is None else 4)
     r = eigs(a, b, nev=4, which="smallest_real", solver="gd", double=True)
     assert np.allclose(r.values, known, atol=1e-7) and r.errors.max() < 1e-6
+
+
+def test_indefinite_and_nonsymmetric_pairs_beyond_the_dense_form():
+    """B is neither definite nor symmetric here, so that conjugate gradients would not solve with it."""
+    n = 2100
+    d, off = np.r_[50.0, 40, 30, np.linspace(0, 1, n - 3)], np.where(np.arange(n) % 2 == 0, 0.5, 0.0)[: n - 1]
+    def banded(up, low):
+        def product(x, u, l, main):
+            y = main * x if x.ndim == 1 else main[:, None] * x
+            uu, ll = (u, l) if x.ndim == 1 else (u[:, None], l[:, None])
+            y[:-1] += uu * x[1:]
+            y[1:] += ll * x[:-1]
+            return y
+        main = np.where(np.arange(n) % 2 == 0, 2.0, -1.0)
+        return Operator(n, lambda x: product(x, up, low, main), lambda x: product(x, low, up, main), None, False, main, 3.0)
+    a = Operator(n, lambda x: d * x if x.ndim == 1 else d[:, None] * x, lambda x: d * x if x.ndim == 1 else d[:, None] * x, None, False, d, 50.0)
+    for b, kind in ((banded(off, off), "ghiep"), (banded(off, 0 * off), "gnhep")):
+        r = eigs(a, b, nev=2, problem=kind, tol=1e-8)
+        assert r.nconv >= 2 and r.errors.max() < 1e-6
+        known = np.linalg.eigvals(np.linalg.solve(b.apply(np.eye(n)[:, :4])[:4], np.diag(d[:4])))
+        assert np.allclose(np.sort(np.abs(r.values[:2])), np.sort(np.abs(known))[-2:], atol=1e-6)

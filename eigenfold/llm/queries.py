@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_extract, language, licenses, packing, pieces, simhash, toxicity, vectors
+from . import centroids, chat, collocations, html_extract, language, licenses, mixing, packing, pieces, simhash, toxicity, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,14 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": over("documents", licenses.license_query),
         "op9_chat_format": over("conversations", chat.chat_query),
         "op10_packing": over("documents", packing.packing_query),
+        "op11_centroids": over("embeddings", centroids.clusters_query),
+        "op12_collocations": over("documents", collocations.collocations_query),
+        "op13_mixing": over("documents", mixing.mixing_query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": licenses.license_sql(), "op9_chat_format": chat.CHAT_SQL}
+    return {
+        "op8_license_scan": licenses.license_sql(), "op9_chat_format": chat.CHAT_SQL, "op11_centroids": centroids.CLUSTERS_SQL,
+        "op12_collocations": collocations.COLLOCATIONS_SQL, "op13_mixing": mixing.MIXING_SQL,
+    }

@@ -27,6 +27,8 @@ from .common import checkpointed, map_arrow, release, utf8
 BLOCK = 8 << 20
 #: Occurrences of a pivot that one group may have.
 SHARE = 50_000
+#: Fragments that a task mines at once, but for a pivot's own.
+AT_ONCE = 200_000
 #: Phrases have two to four words: two numbers of 64 bits hold four of 32.
 LONGEST = 4
 WORD = np.uint64(0xFFFFFFFF)
@@ -58,12 +60,12 @@ def tokens(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray, np
     return words, text, first
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _blocks(batch: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
     size = utf8(batch.column("text"))[1][1:]
     at = 0
     while at < batch.num_rows:
         base = size[at - 1] if at else 0
-        to = max(int(np.searchsorted(size, base + BLOCK, side="right")), at + 1)
+        to = max(int(np.searchsorted(size, base + block, side="right")), at + 1)
         part = batch.slice(at, to - at)
         at = to
         data, offsets = utf8(part.column("text"))
@@ -88,9 +90,9 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 BLOCKS = "block string, line binary, width long, words array<struct<lang: string, word: string, n: long>>"
 
 
-def blocks(docs: DataFrame, text: str, lang: str) -> DataFrame:
+def blocks(docs: DataFrame, text: str, lang: str, block: int = BLOCK) -> DataFrame:
     """(block, line, width, words): texts as codes of the block's words, which are listed with their languages and numbers of occurrences."""
-    return checkpointed(map_arrow(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang")), _blocks, BLOCKS))
+    return checkpointed(map_arrow(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang")), lambda batch: _blocks(batch, block), BLOCKS))
 
 
 def numbered(words: DataFrame) -> DataFrame:
@@ -150,8 +152,8 @@ def phrases(keys: list[np.ndarray], weight: np.ndarray) -> tuple[list[np.ndarray
     return grouped([np.concatenate(high), np.concatenate(low)], np.concatenate(n))
 
 
-def _rewritten(key, line: pa.Table, words: pa.Table) -> pa.Table:
-    """A block's fragments, given its line and the numbers of its words."""
+def _rewritten(line: pa.Table, words: pa.Table, share: int) -> pa.Table:
+    """A block's fragments, given its line and the numbers of its words; pivots with more than ``share`` occurrences in all are salted."""
     out = {"k0": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "k3": pa.int64(), "salt": pa.int32(), "n": pa.int64()}
     if not line.num_rows or not words.num_rows:
         return pa.table({k: pa.array([], t) for k, t in out.items()})
@@ -162,7 +164,7 @@ def _rewritten(key, line: pa.Table, words: pa.Table) -> pa.Table:
     table[code + 1] = number
     keys, n = fragments(table[codes])
     order = np.argsort(number)
-    groups = (-(-total[order] // SHARE))[np.searchsorted(number[order], (keys[0] >> HALF).astype(np.int64))]
+    groups = (-(-total[order] // share))[np.searchsorted(number[order], (keys[0] >> HALF).astype(np.int64))]
     mixed = keys[0]
     for k in keys[1:]:
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) ^ k
@@ -171,7 +173,7 @@ def _rewritten(key, line: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table([pa.array(k.view(np.int64)) for k in keys] + [pa.array(salt.astype(np.int32)), pa.array(n)], names=list(out))
 
 
-def _mined(least: int, at_once: int = 200_000):
+def _mined(least: int, at_once: int):
     """A task's groups (pivot, salt) come one after another, cut only between groups as far as they are whole."""
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,28 +223,29 @@ def packed(words: list[Column]) -> list[Column]:
     return [F.shiftleft(w[0], 32).bitwiseOR(w[1]), F.shiftleft(w[2], 32).bitwiseOR(w[3])]
 
 
-def frequent(docs: DataFrame, text: str, lang: str, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def frequent(docs: DataFrame, text: str, lang: str, least: int, share: int = SHARE, block: int = BLOCK, at_once: int = AT_ONCE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, n), (lang, word, n, id), and (high, low, a) of the phrases with at least ``least`` occurrences."""
-    lines = blocks(docs, text, lang)
+    lines = blocks(docs, text, lang, block)
     pairs = lines.select("block", F.posexplode("words").alias("code", "w")).select("block", F.col("code").cast("long").alias("code"), "w.lang", "w.word", "w.n")
     counts = checkpointed(pairs.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     vocabulary = checkpointed(numbered(counts.where(F.col("n") >= least)))
     known = pairs.drop("n").join(vocabulary, ["lang", "word"]).select(F.col("block").alias("of"), "code", "id", "n")
-    sent = lines.select("block", "line", "width").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_rewritten, "k0 long, k1 long, k2 long, k3 long, salt int, n long")
+    sent = lines.select("block", "line", "width").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(lambda line, words: _rewritten(line, words, share), "k0 long, k1 long, k2 long, k3 long, salt int, n long")
     sent = sent.repartition(F.shiftrightunsigned("k0", 32), "salt").sortWithinPartitions(F.shiftrightunsigned("k0", 32), "salt")
-    mined = sent.mapInArrow(_mined(least), "high long, low long, a long")
+    mined = sent.mapInArrow(_mined(least, at_once), "high long, low long, a long")
     return totals, vocabulary, checkpointed(mined.groupBy("high", "low").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, share: tuple[int, int] = (80, 100), scale: int = 2_000_000, most: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, held: tuple[int, int] = (80, 100), scale: int = 2_000_000, most: int = 2000, **bounds: int) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``most`` highest-scoring phrases.
 
     Words are runs of characters but space and tab within pieces; pieces end at ``.,;:!?`` and line ends; A to Z become small. All counts are over
     all texts, overlaps included, whatever their length. A null text is empty, a null language is "und" (beside rows that say so), repeated
     rows count as often as they occur. Ties are broken by count and by the phrase's bytes. An empty table gives an empty one.
+    ``bounds`` are those of ``frequent``: how work is cut, which the answer does not depend on.
     """
-    totals, vocabulary, counted = frequent(docs, text, lang, least)
+    totals, vocabulary, counted = frequent(docs, text, lang, least, **bounds)
     length = F.when(word_at(2) == 0, 2).when(word_at(3) == 0, 3).otherwise(4)
     w = [word_at(k) for k in range(LONGEST)]
     struct = lambda names, parts: F.struct(*[p.alias(n) for n, p in zip(names, parts)])
@@ -251,7 +254,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     inside = F.when(length == 3, F.array(*[struct(("high", "low"), packed(p)) for p in inner[3]])).when(length == 4, F.array(*[struct(("high", "low"), packed(p)) for p in inner[4]]))
     longer = counted.where(length > 2).select(F.explode(inside).alias("of"), "a").groupBy("of.high", "of.low").agg(F.max("a").alias("longer"))
     exact = lambda c, by: F.col(c).cast("decimal(20,0)") * F.lit(by).cast("decimal(10,0)")
-    kept = counted.join(longer, ["high", "low"], "left").where(F.col("longer").isNull() | (exact("longer", share[1]) < exact("a", share[0]))).select("high", "low", "a")
+    kept = counted.join(longer, ["high", "low"], "left").where(F.col("longer").isNull() | (exact("longer", held[1]) < exact("a", held[0]))).select("high", "low", "a")
     # every cut's two parts
     cuts = [F.when(length > k, struct(("k", "lh", "ll", "rh", "rl"), [F.lit(k), *packed(w[:k]), *packed(w[k:])])) for k in range(1, LONGEST)]
     cut = kept.select("high", "low", "a", F.explode(F.array_compact(F.array(*cuts))).alias("cut")).select("high", "low", "a", "cut.*")

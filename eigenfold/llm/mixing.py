@@ -20,8 +20,8 @@ from .common import checkpointed
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
-#: Ranges of the seeded order: two bytes of the digest.
-BUCKETS = 1 << 16
+#: Ranges of the seeded order: three hexadecimal digits of the digest.
+BUCKETS = 1 << 12
 EXACT = "decimal(38,0)"
 
 
@@ -68,7 +68,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     # rows alike are one row with their number, so that no key is one task's work
     rows = docs.select(F.col(key).alias("doc"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"))
     rows = rows.groupBy("doc", "source", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc").cast("string"), F.lit("null"))).cast("binary")))
-    rows = checkpointed(rows.withColumn("bucket", F.conv(F.substring("h", 1, 4), 16, 10).cast("int")))
+    rows = checkpointed(rows.withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int")))
     sums = checkpointed(rows.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("words")))
     goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, epochs)
     # whole repetitions, and the words left for one more

@@ -84,14 +84,14 @@ def _blocks(batch: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
         line = line.astype(np.uint16) if len(different) < 1 << 16 else line
         vocabulary = pa.StructArray.from_arrays([names.take(pa.array(different // len(spelled))), spelled.take(pa.array(different % len(spelled))), pa.array(count)], ["lang", "word", "n"])
         lists = pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), vocabulary)
-        yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([line.tobytes()], pa.binary()), pa.array([line.itemsize]), lists], ["block", "line", "width", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([pa.compress(line.tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([line.itemsize]), pa.array([line.nbytes]), lists], ["block", "line", "width", "size", "words"])
 
 
-BLOCKS = "block string, line binary, width long, words array<struct<lang: string, word: string, n: long>>"
+BLOCKS = "block string, line binary, width long, size long, words array<struct<lang: string, word: string, n: long>>"
 
 
 def blocks(docs: DataFrame, text: str, lang: str, block: int = BLOCK) -> DataFrame:
-    """(block, line, width, words): texts as codes of the block's words, which are listed with their languages and numbers of occurrences."""
+    """(block, line, width, size, words): texts as compressed codes of the block's words, which are listed with their languages and numbers of occurrences."""
     return checkpointed(map_arrow(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang")), lambda batch: _blocks(batch, block), BLOCKS))
 
 
@@ -157,7 +157,8 @@ def _rewritten(line: pa.Table, words: pa.Table, share: int) -> pa.Table:
     out = {"k0": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "k3": pa.int64(), "salt": pa.int32(), "n": pa.int64()}
     if not line.num_rows or not words.num_rows:
         return pa.table({k: pa.array([], t) for k, t in out.items()})
-    codes = np.frombuffer(line.column("line")[0].as_py(), np.uint16 if line.column("width")[0].as_py() == 2 else np.uint32)
+    width, size = line.column("width")[0].as_py(), line.column("size")[0].as_py()
+    codes = np.frombuffer(pa.decompress(line.column("line")[0].as_py(), size, "zstd", asbytes=True), np.uint16 if width == 2 else np.uint32)
     code, number, total = (words.column(c).to_numpy() for c in ("code", "id", "n"))
     top = max(int(codes.max()), int(code.max()) + 1) + 1
     table = np.zeros(top, np.uint64)
@@ -231,7 +232,7 @@ def frequent(docs: DataFrame, text: str, lang: str, least: int, share: int = SHA
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     vocabulary = checkpointed(numbered(counts.where(F.col("n") >= least)))
     known = pairs.drop("n").join(vocabulary, ["lang", "word"]).select(F.col("block").alias("of"), "code", "id", "n")
-    sent = lines.select("block", "line", "width").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(lambda line, words: _rewritten(line, words, share), "k0 long, k1 long, k2 long, k3 long, salt int, n long")
+    sent = lines.select("block", "line", "width", "size").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(lambda line, words: _rewritten(line, words, share), "k0 long, k1 long, k2 long, k3 long, salt int, n long")
     sent = sent.repartition(F.shiftrightunsigned("k0", 32), "salt").sortWithinPartitions(F.shiftrightunsigned("k0", 32), "salt")
     mined = sent.mapInArrow(_mined(least, at_once), "high long, low long, a long")
     return totals, vocabulary, checkpointed(mined.groupBy("high", "low").agg(F.sum("a").alias("a")).where(F.col("a") >= least))

@@ -26,7 +26,7 @@ from .common import checkpointed, map_arrow, release, utf8
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK = 8 << 20
 #: Occurrences of a pivot that one group may have.
-SHARE = 50_000
+SHARE = 400_000
 #: Fragments that a task mines at once, but for a pivot's own.
 AT_ONCE = 200_000
 #: Phrases have two to four words: two numbers of 64 bits hold four of 32.

@@ -23,9 +23,18 @@ TASKS_AT_ONCE = 64
 
 
 def rows_of(batch: pa.RecordBatch, name: str = "x") -> np.ndarray:
+    """The rows of an array column as one array. A null vector, a null component or rows of different lengths are an error: rows that take no
+    part have to be left out before."""
     column = batch.column(name)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
-    return flat.reshape(len(column), -1)
+    if column.null_count:
+        raise ValueError(f"{column.null_count} null vectors in column {name}")
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError(f"{flat.null_count} null components in column {name}")
+    lengths = np.diff(column.offsets.to_numpy()) if hasattr(column, "offsets") else np.full(len(column), column.type.list_size)
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError(f"vectors of {lengths.min()} to {lengths.max()} components in column {name}")
+    return flat.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1 if len(column) and lengths[0] else 0)
 
 
 def _arrays(x: np.ndarray) -> pa.Array:

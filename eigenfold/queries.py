@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dense
+from . import dense, frame_queries
 from .functions import order, scalar
 from .functions.region import Ellipse, Interval, Polygon, Region, Ring
 from .matrix import Matrix, bse, combined, joined_block, joined_sum, matmul, tiled, transposed
@@ -698,8 +698,8 @@ query(
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _queries | frame_queries.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return _sql | frame_queries.sql

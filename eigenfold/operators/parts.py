@@ -17,13 +17,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..matrix import checkpointed
 from . import basis
 
 #: Entries of a part, and of a row that one part holds; longer rows are summed where the vector's entries are.
 PART_ENTRIES, HEAVY = 2_000_000, 200_000
+#: Fewer entries than these are not worth a part of their own.
+FEW = 20_000
 #: Steps between two checkpoints of the state.
 STEPS_KEPT = 10
 #: More parts than these send their inner products through a tree.
@@ -119,9 +123,10 @@ class Parts:
         if "vi" in df.columns:
             raise ValueError("complex matrices have no parts; write them as real ones of twice the rows")
         self.spark: SparkSession = df.sparkSession
+        df = checkpointed(df.select("i", "j", F.col("v").cast("double").alias("v")))
         entries = df.count()
         self.n = n
-        self.count = max(1, min(n, parts or max(self.spark.sparkContext.defaultParallelism, math.ceil(entries / PART_ENTRIES))))
+        self.count = max(1, min(n, parts or max(min(self.spark.sparkContext.defaultParallelism, math.ceil(entries / FEW)), math.ceil(entries / PART_ENTRIES))))
         self._step, self._kept = 0, []
         self.parts = self._deal(df, heavy)
 
@@ -131,7 +136,7 @@ class Parts:
     def _deal(self, df: DataFrame, heavy: int) -> RDD:
         n, count = self.n, self.count
         long_rows = df.groupBy("i").count().where(F.col("count") > heavy).select("i", F.lit(True).alias("long"))
-        dealt = df.select("i", "j", F.col("v").cast("double").alias("v")).join(long_rows, "i", "left")
+        dealt = df.join(long_rows, "i", "left")
         home = F.expr(f"if(long, {self._owner('j')}, {self._owner('i')})")
         dealt = dealt.select("i", "j", "v", home.alias("home")).repartitionById(count, "home").select("i", "j", "v")
 
@@ -237,20 +242,37 @@ class Parts:
         return self.spark.createDataFrame(self.parts.zip(state).map(pack), "lo long, x binary, k int").mapInArrow(unpack, "i long, x array<double>")
 
     def step(self, state: RDD, before: Callable[[Part, State], State], block: Callable[[State], np.ndarray], after: Callable[[Part, State, np.ndarray], State], told: Callable[[Part, State], np.ndarray]) -> tuple[RDD, np.ndarray]:
-        """One job: ``before`` changes the state where it lies, ``block`` of it is multiplied with the matrix, ``after`` puts the product in, and the
-        sum of what each part has ``told`` is returned with the new state."""
-        changed = self.parts.zip(state).map(lambda both: before(*both)).persist(StorageLevel.MEMORY_AND_DISK)
-        send = lambda p, both: (m for part, s in both for m in part.messages(p, block(s)))
-        got = self._delivered(self.parts.zip(changed).mapPartitionsWithIndex(send))
-        new = self.parts.zip(changed).zip(got).map(lambda t: after(t[0][0], t[0][1], t[0][0].product(block(t[0][1]), t[1]))).persist(StorageLevel.MEMORY_AND_DISK)
+        """One job: ``before`` changes the state where it lies (on both sides of the shuffle, so that it is not kept twice), ``block`` of it is multiplied
+        with the matrix, ``after`` puts the product in, and the sum of what each part has ``told`` is returned with the new state."""
+        small = self.count <= PARTS_AT_ONCE
+        heard = self.spark.sparkContext.accumulator({}, _ByPart()) if small else None  # by part, so that a task run twice counts once
+        here = self.parts.zip(state)
+
+        def send(p: int, both: Iterator) -> Iterator:
+            for part, s in both:
+                yield from part.messages(p, block(before(part, s)))
+
+        def work(both) -> State:
+            (part, s), got = both
+            s = before(part, s)
+            s = after(part, s, part.product(block(s), got))
+            if heard is not None:
+                heard.add({part.lo: told(part, s)})
+            return s
+
+        new = here.zip(self._delivered(here.mapPartitionsWithIndex(send))).map(work).persist(StorageLevel.MEMORY_AND_DISK)
         self._step += 1
         if self._step % STEPS_KEPT == 0:
             checkpoint_folder(self.spark)
             new.checkpoint()
-        total = self._sum(self.parts.zip(new).map(lambda both: told(*both)))
+        if heard is None:
+            total = self.look(new, told)
+        else:
+            new._jrdd.count()  # fills the cache; the elements are not read by Python again
+            total = sum(x for _, x in sorted(heard.value.items()))
         for old in self._kept:
             old.unpersist()
-        self._kept = [changed, new]
+        self._kept = [new]
         return new, total
 
     def look(self, state: RDD, told: Callable[[Part, State], np.ndarray]) -> np.ndarray:
@@ -262,6 +284,15 @@ class Parts:
         return sum(told.collect())
 
 
+class _ByPart(AccumulatorParam):
+    def zero(self, value: dict) -> dict:
+        return {}
+
+    def addInPlace(self, a: dict, b: dict) -> dict:
+        a.update(b)
+        return a
+
+
 def checkpoint_folder(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -311,6 +342,15 @@ def _independent(g: np.ndarray, least: float = 1e-9) -> np.ndarray:
     return (d[:, None] * u[:, some]) / np.sqrt(w[some])
 
 
+def _new_columns(g: np.ndarray, old: int, least: float = 1e-9) -> np.ndarray:
+    """Coefficients of orthonormal columns that the last columns add to the first ``old``, which are orthonormal, by all columns' inner products."""
+    new = np.eye(len(g))[:, old:]
+    new = new - np.eye(len(g))[:, :old] @ g[:old, old:]
+    size = np.sqrt(np.maximum(np.diag(new.T @ g @ new), 0))
+    new = new[:, size > 1e-11 * np.sqrt(np.diag(g)[old:])]
+    return new @ _independent(new.T @ g @ new, least) if new.shape[1] else new
+
+
 def eigenpairs(parts: Parts, nev: int = 1, which: str = "largest_real", tol: float = 1e-7, block: int | None = None, ncv: int | None = None, most: int = 200, seed: int = 0) -> Found:
     """Extreme eigenpairs of a symmetric matrix from a thick-restarted block Krylov space that stays beside it.
 
@@ -322,49 +362,47 @@ def eigenpairs(parts: Parts, nev: int = 1, which: str = "largest_real", tol: flo
     nev = min(nev, n)
     m = min(n, max(ncv or max(2 * nev + 2 * b, nev + 8 * b), nev + 2 * b))
     state = parts.start(lambda part: {"v": _noise(np.arange(part.lo, part.hi), b, seed), "av": np.zeros((part.rows, 0))})
-    turn: np.ndarray | None = None
-    pick, theta, fresh = np.zeros(0, int), np.zeros(0), 0
-    values, keep, steps, top = np.zeros(0), np.zeros(0, int), 0, 0.0
+    old, change = 0, None  # orthonormal columns, and what is to become of the state
+    values, steps, top = np.zeros(0), 0, 0.0
     while True:
         steps += 1
 
-        def before(part: Part, s: State, turn=turn, pick=pick, theta=theta, fresh=fresh, at=steps) -> State:
-            v, av = s["v"], s["av"]
-            if turn is None:
+        def before(part: Part, s: State, change=change, at=steps) -> State:
+            if change is None:
                 return s
-            v, av = v @ turn, av @ turn
-            t = av[:, pick] - v[:, pick] * theta
+            whole, lead, turn, y, theta, fresh = change
+            v, av = s["v"] @ turn, s["av"] @ turn
+            if not whole:  # only the last block changes
+                v, av = np.hstack([s["v"][:, :lead], v]), np.hstack([s["av"][:, :lead], av])
+            t = av @ y - v @ (y * theta)
             if fresh:
                 t = np.hstack([t, _noise(np.arange(part.lo, part.hi), fresh, seed + at)])
             return {"v": np.hstack([v, t]), "av": av}
 
-        old = 0 if turn is None else turn.shape[1]
-        state, g = parts.step(state, before, lambda s, old=old: s["v"][:, old:], lambda part, s, y: {"v": s["v"], "av": np.hstack([s["av"], y])}, _gram)
+        state, g = parts.step(state, before, lambda s: s["v"][:, s["av"].shape[1] :], lambda part, s, y: {"v": s["v"], "av": np.hstack([s["av"], y])}, _gram)
         k = len(g) // 2
-        own = _independent(g[:k, :k])
-        h = own.T @ g[:k, k:] @ own
+        basis_ = np.hstack([np.eye(k)[:, :old], own := _new_columns(g[:k, :k], old)])
+        h = basis_.T @ g[:k, k:] @ basis_
         values, y = np.linalg.eigh((h + h.T) / 2)
         order = _wanted(values, which)
-        values, c = values[order], own @ y[:, order]
+        values, y = values[order], y[:, order]
+        c = basis_ @ y
         top = max(top, np.abs(values).max(initial=0))
-        square = np.einsum("ij,ij->j", c, g[k:, k:] @ c) - 2 * values * np.einsum("ij,ij->j", c, g[:k, k:] @ c) + values**2
+        square = np.einsum("ij,ij->j", c, g[k:, k:] @ c) - 2 * values * np.einsum("ij,ij->j", c, g[:k, k:] @ c) + values**2 * np.einsum("ij,ij->j", c, g[:k, :k] @ c)
         r = np.sqrt(np.maximum(square, 0))
         bar = max(tol, 4e-8) * max(top, 1e-300)  # what the inner products tell; the last look measures
-        open_ = np.flatnonzero(r[:nev] > bar)
-        if (len(values) >= nev and not len(open_)) or steps >= most:
+        if (len(values) >= nev and (r[:nev] <= bar).all()) or steps >= most:
             break
-        room = m - b
-        size = len(values) if len(values) <= room else min(room, nev + max(b, (room - nev) // 2))
-        turn = c[:, :size]
-        # pairs behind the wanted ones fill the block up
-        rest = np.flatnonzero(r[:size] > bar)
-        pick = rest[:b]
-        theta = values[pick]
-        fresh = 0 if len(pick) else b
-        if size + len(pick) + fresh > n:
-            fresh = max(n - size - len(pick), 0)
-            if not len(pick) and not fresh:
-                break
+        size, room = len(values), m - b
+        whole = size > room
+        if whole:  # pressed together to the wanted ones and half the rest
+            size = min(room, nev + max(b, (room - nev) // 2))
+        pick = np.flatnonzero(r[:size] > bar)[:b]  # pairs behind the wanted ones fill the block up
+        fresh = min(0 if len(pick) else b, max(n - size, 0))
+        if not len(pick) and not fresh:
+            break
+        change = (whole, old, c[:, :size] if whole else own, np.eye(size)[:, pick] if whole else y[:, pick], values[pick], fresh)
+        old = size
     nev = min(nev, len(values))
     q, lam = c[:, :nev], values[:nev]
     final = parts.parts.zip(state).map(lambda both: {"x": both[1]["v"] @ q, "r": both[1]["av"] @ q - both[1]["v"] @ (q * lam)}).persist(StorageLevel.MEMORY_AND_DISK)
@@ -577,11 +615,11 @@ def shared_space(parts: Parts, b: RDD, k: int, most: int, enough: Callable[[Spac
         def before(part: Part, s: State, turn=turn, first=first, h=h) -> State:
             if turn is None:
                 return s
-            v, av = s["v"] @ turn, s["av"] @ turn
+            v, av = np.hstack([s["v"][:, :first], s["v"] @ turn[:, first:]]), np.hstack([s["av"][:, :first], s["av"] @ turn[:, first:]])
             return s | {"v": np.hstack([v, av[:, first:] - v @ h[:, first:]]), "av": av}  # the last block's images, less what the basis has of them
 
         old = 0 if turn is None else turn.shape[1]
-        state, g = parts.step(state, before, lambda s, old=old: s["v"][:, old:], lambda part, s, y: s | {"av": np.hstack([s["av"], y])}, told)
+        state, g = parts.step(state, before, lambda s: s["v"][:, s["av"].shape[1] :], lambda part, s, y: s | {"av": np.hstack([s["av"], y])}, told)
         m = (len(g) - k) // 2
         # the columns before are orthonormal; of the new ones what they share with those goes
         lead, new = np.eye(m)[:, :old], np.eye(m)[:, old:]

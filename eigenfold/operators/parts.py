@@ -10,6 +10,7 @@ folder every ``STEPS_KEPT`` steps, so that a lost executor costs that many steps
 from __future__ import annotations
 
 import math
+import pickle
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -186,8 +187,9 @@ class Parts:
         return parts
 
     def _delivered(self, messages: RDD) -> RDD:
-        """One element a partition: the list of what was sent to it."""
-        return messages.partitionBy(self.count, lambda q: q).mapPartitions(lambda got: [[m for _, m in got]], preservesPartitioning=True)
+        """Messages (part, content) as one element a partition: the list of what that part was sent."""
+        rows = self.spark.createDataFrame(messages.map(lambda m: (m[0], pickle.dumps(m[1], 5))), "part int, content binary", verifySchema=False)
+        return rows.repartitionById(self.count, "part").rdd.mapPartitions(lambda got: [[pickle.loads(r[1]) for r in got]])
 
     def unpersist(self) -> None:
         for rdd in [*self._kept, self.parts]:

@@ -66,6 +66,20 @@ def before(sizes: Column, i: Column) -> Column:
     return F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def in_order(items: Column) -> Column:
+    """Turns by number (null first), role and raw content. Contents are read back from their escaped form only where the rest is equal, so that nothing
+    is carried twice."""
+    raw = lambda x: unescape(F.substring(x["s"], (x["head"] + 1).cast("int"), x["body"].cast("int")))
+    none = lambda x: x["turn"].isNull()
+
+    def compare(a: Column, b: Column) -> Column:
+        by = F.when(none(a) & ~none(b), -1).when(~none(a) & none(b), 1).when(a["turn"] < b["turn"], -1).when(a["turn"] > b["turn"], 1)
+        by = by.when(a["role"] < b["role"], -1).when(a["role"] > b["role"], 1).when(a["s"] == b["s"], 0)
+        return by.when(raw(a) < raw(b), -1).when(raw(a) > raw(b), 1).when(a["s"] < b["s"], -1).otherwise(1)
+
+    return F.array_sort(items, compare)
+
+
 def placed_spans(items: Column) -> Column:
     """(start, length) of the assistant's texts in the joined items."""
     sizes = F.transform(items, lambda x: F.char_length(x["s"]).cast("long"))
@@ -90,7 +104,7 @@ def formatted(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn"
         F.concat(head, F.col("c.flat"), F.lit(CLOSE)).alias("s"), F.char_length(head).alias("head"), F.char_length("c.flat").alias("body"),
     )
     item = F.struct("turn", "role", "s", "head", "body", F.col("c.refs").alias("refs"), F.col("c.tokens").alias("tokens"))
-    runs = framed.groupBy("conv_id", "run").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    runs = framed.groupBy("conv_id", "run").agg(in_order(F.collect_list(item)).alias("items"))
     joined = runs.select(
         "conv_id", "run", F.array_join(F.col("items.s"), "").alias("s"), F.flatten("items.refs").alias("refs"),
         F.aggregate("items.tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"),

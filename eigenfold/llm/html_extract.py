@@ -13,7 +13,8 @@ import html
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,37 +37,122 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 BORDER = {"ul", "ol", "dl", "table", "div", "section", "article", "body", "td"}
 
 
+class Open:
+    """An open element on its parents: what a block needs of all of them is carried along, so that no block looks at the whole stack."""
+
+    __slots__ = ("tag", "entries", "parent", "buckets", "count")
+
+    def __init__(self, tag: str, entries: tuple[str, ...], parent: Open | None):
+        self.tag, self.entries, self.parent = tag, entries, parent
+        self.buckets, self.count = (parent.buckets, parent.count) if parent is not None else (0, 0)  # a bit for each bucket
+        for e in entries:
+            self.buckets |= 1 << PATH_AT[e]
+        self.count += len(entries)
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    where: Open | None
     text: str
     linked: int
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """All entries of the open elements, outermost first."""
+        out, at = [], self.where
+        while at is not None:
+            out.append(at.entries)
+            at = at.parent
+        return tuple(e for es in reversed(out) for e in es)
+
+
+class Stack:
+    """The open elements, with the places of each name."""
+
+    def __init__(self):
+        self.open: list[Open] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, entries: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(Open(tag, entries, self.top))
+
+    @property
+    def top(self) -> Open | None:
+        return self.open[-1] if self.open else None
+
+    def cut(self, size: int) -> None:
+        while len(self.open) > size:
+            self.places[self.open.pop().tag].pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def closes(self, tag: str) -> None:
+        """An end tag ends the innermost element of its name, and those in it."""
+        if (k := self.last((tag,))) >= 0:
+            self.cut(k)
+
+    def makes_way(self, tag: str) -> None:
+        """A block's opening tag ends a paragraph, and what ``ENDS`` names, up to the nearest border: the innermost, of table cells all."""
+        ended = ENDS.get(tag, set()) | (set() if tag in VOID else {"p"})
+        border = -1 if tag == "tr" else self.last(BORDER - ended)
+        if tag in ("tr", "td", "th"):
+            at = [places[k] for n in ended if (places := self.places.get(n)) and (k := bisect_right(places, border)) < len(places)]
+            if at:
+                self.cut(min(at))
+        elif (k := self.last(ended)) > border:
+            self.cut(k)
+
+    @property
+    def links(self) -> bool:
+        return bool(self.places.get("a"))
+
+
+class Closers(dict):
+    """Where the end tags of a name start and end in a page, looked for once a name."""
+
+    def __init__(self, page: str):
+        super().__init__()
+        self.page = page
+
+    def __missing__(self, tag: str) -> tuple[list[int], list[int]]:
+        found = [m.span() for m in re.finditer(rf"</{re.escape(tag)}\s*>?", self.page, re.I)]
+        self[tag] = out = ([a for a, _ in found], [b for _, b in found])
+        return out
+
+    def after(self, tag: str, at: int) -> int | None:
+        starts, ends = self[tag]
+        k = bisect_left(starts, at)
+        return ends[k] if k < len(starts) else None
+
 
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order; white space in each is one space, character references are decoded."""
+    """Leaf blocks in page order; white space in each is one space, character references are decoded. Time and memory grow with the page's
+    length alone, however deep its elements are and whether they are closed or not."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Stack()
     pieces: list[str] = []
-    path: tuple[str, ...] = ()
-    linked = links = 0
+    where: Open | None = None
+    linked, blank = 0, True
     page = page or ""
+    closers = Closers(page)
     at, end = 0, len(page)
 
     def flush() -> None:
-        nonlocal pieces, linked, path
+        nonlocal pieces, linked, blank
         if pieces:
             if text := " ".join(html.unescape("".join(pieces)).split()):
-                out.append(Block(path, text, linked))
-            pieces, linked = [], 0
+                out.append(Block(where, text, linked))
+            pieces, linked, blank = [], 0, True
 
     def add(text: str) -> None:
-        nonlocal path, linked
+        nonlocal where, linked, blank
         if text:
-            if not pieces or not any(map(str.strip, pieces)):
-                path = tuple(e for _, es in stack for e in es)
+            if blank:
+                where, blank = stack.top, not text.strip()
             pieces.append(text)
-            if links:
+            if stack.links:
                 linked += len(text)
 
     while at < end:
@@ -83,39 +169,25 @@ def blocks(page: str | None) -> list[Block]:
         if found[1]:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
+            stack.closes(tag)
             continue
         if tag in HIDDEN:
             if not found[0].endswith("/>"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
-                at = close.end() if close else (end if tag in ("script", "style", "textarea", "title", "template") else at)
+                close = closers.after(tag, at)
+                at = close if close is not None else (end if tag in ("script", "style", "textarea", "title", "template") else at)
             if tag not in INLINE:
                 flush()
             continue
         if tag not in INLINE:
             flush()
-            drop = len(stack)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" and tag not in VOID or stack[k][0] in ENDS.get(tag, ()):
-                    drop = k
-                    if tag not in ("tr", "td", "th"):
-                        break
-                elif stack[k][0] in BORDER and tag not in ("tr",):
-                    break
-            links -= sum(t == "a" for t, _ in stack[drop:])
-            del stack[drop:]
+            stack.makes_way(tag)
         if tag in VOID or found[0].endswith("/>"):
             continue
         entries = (tag,)
         if found[3] and len(found[3]) > 4:
             for m in NAMES.finditer(found[3]):
                 entries += tuple("." + w for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w)
-        stack.append((tag, entries))
-        links += tag == "a"
+        stack.push(tag, entries)
     flush()
     return out
 
@@ -150,15 +222,15 @@ def vectors(sequence: list[Block]) -> np.ndarray:
     n = len(sequence)
     x = np.zeros((n, WIDTH), np.float32)
     for i, b in enumerate(sequence):
-        for e in b.path:
-            x[i, PATH_AT[e]] = 1
+        if b.where is not None:
+            x[i, :PATH] = np.unpackbits(np.frombuffer(b.where.buckets.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little")
         words = b.text.lower().split()
         at = np.fromiter(map(WORD_AT.__getitem__, words), np.int64, len(words))
         np.add.at(x[i], at, np.float32(1 / len(words) ** 0.5))
         size = len(b.text)
         x[i, -EXTRA:] = (
             min(np.log1p(size) / 6, 2), min(len(words) / 40, 2), min(b.linked / size, 1), sum(map(b.text.count, ".,;!?")) / len(words),
-            b.text[-1] in ".!?…:", min(len(b.path) / 12, 4), i / n, (n - 1 - i) / n, size < 25, 1,
+            b.text[-1] in ".!?…:", min((b.where.count if b.where is not None else 0) / 12, 4), i / n, (n - 1 - i) / n, size < 25, 1,
         )
     return x
 
@@ -466,7 +538,7 @@ def sample_pages(count: int, seed: int) -> Iterator[str]:
 
 def blocks_and_labels(page: str) -> tuple[list[Block], list[bool]]:
     found = blocks(page)
-    return [Block(b.path, b.text.replace(MARK, "") or ".", b.linked) for b in found], [MARK in b.text for b in found]
+    return [Block(b.where, b.text.replace(MARK, "") or ".", b.linked) for b in found], [MARK in b.text for b in found]
 
 
 # --- the operator -------------------------------------------------------------------------
@@ -485,7 +557,8 @@ def extract(pages: DataFrame, labeller: Labeller | None = None, key: str = "page
     """(key, text, n_chars) of every row: its content blocks joined by line ends.
 
     A null or empty page, and one without content, gives an empty text; repeated rows give
-    repeated results; a null key is carried; an empty table gives no rows; other columns are not read.
+    repeated results; a null key is carried; an empty table gives no rows; other columns are not read. A long page is read whole, in
+    time and memory in proportion to its length.
     """
     frame = pages.select(F.col(key).alias("key"), F.col(page).alias("page"))
     return _extracted(frame, labeller, [T.StructField(key, pages.schema[key].dataType)])

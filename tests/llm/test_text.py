@@ -616,8 +616,6 @@ def test_chat_loss_spans_of_long_conversations(spark):
     done = {r["conv_id"]: r for r in chat.formatted(frame_.withColumn("parts", chat.text_parts(F.col("text")))).collect()}
     for c in (1, 2, 3):
         own = sorted(((t, r or "", x or "") for k, t, r, x in rows if k == c))
-        if c == 2:  # turns of one number come by role, then content as written
-            own = sorted(own, key=lambda x: (x[0], x[1], f"{x[2]}".replace("\\", "\\e").replace("<", "\\l").replace("[", "\\b") + chat.CLOSE))
         said = [done[c]["formatted"][m["start"] : m["start"] + m["length"]] for m in done[c]["mask"]]
         assert [x.replace("\\b", "[").replace("\\l", "<").replace("\\e", "\\") for x in said] == [x for _, r, x in own if r == "assistant"]
 
@@ -716,3 +714,41 @@ def test_extraction(spark, labeller):
     assert texts[1] == "A title of it\nFirst & foremost, a sentence that goes on for a while.\nAnother one follows here, as it should."
     assert texts[2] == texts[3] == texts[None] == texts[4] == "" and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_extract.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<font color=red>x<br>", "<button>x", "<select>x<p>", "<svg>y", "<li>x<ul>", "<td>x", "<b> <i> "])
+def test_unclosed_pages_take_linear_time(unit):
+    """Ten times the page takes about ten times as long, and never a stack's copy for each block."""
+    import time
+    import tracemalloc
+
+    took = []
+    for size in (20_000, 200_000):
+        page = unit * (size // len(unit))
+        began = time.perf_counter()
+        html_extract.blocks(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * max(took[0], 0.01)
+    tracemalloc.start()
+    found = html_extract.blocks(page)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    if unit == "<div>x":
+        assert len(found) == 200_000 // 6 and found[99].path == ("div",) * 100
+
+
+def test_turns_of_one_number_go_by_their_raw_text(spark):
+    """Escapes and end marks do not change the order; the SQL says the same."""
+    import duckdb
+
+    from eigenfold.llm import chat
+
+    texts = ["ab", "ab!", "<a", "A", "", "<|end|>", "ab<", None, "\U0001f600", "\uffff"]
+    rows = [(1, k % 2 if k % 3 else None, "user", t) for k, t in enumerate(texts * 2)] + [(1, 0, "assistant", t) for t in texts]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    c = duckdb.connect()
+    c.register("conversations", conversations.toPandas().astype({"turn": "Int64"}))
+    want = c.sql(chat.CHAT_SQL).fetchdf()
+    got = chat.chat_query(conversations).toPandas()
+    both = got.merge(want, on="conv_id", suffixes=("", "_sql"))
+    assert len(both) == 2 and all((both[x] == both[x + "_sql"]).all() for x in ("n_turns", "turns_sha256", "loss_sha256", "loss_chars", "formatted_chars"))

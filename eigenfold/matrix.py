@@ -31,6 +31,20 @@ GATHERED = 1_000_000
 FEW = 200_000
 
 
+class NotConverged(ArithmeticError):
+    """An iteration ended before its tolerance, or met a matrix that it is not for."""
+
+
+def _real(*frames: DataFrame) -> None:
+    if any("vi" in df.columns for df in frames):
+        raise ValueError("a product of frames with real vectors has no place for an imaginary part")
+
+
+def _parts(df: DataFrame, v: str = "v", vi: str = "vi") -> tuple[Column, Column]:
+    """Real and imaginary part; 0 where there is none."""
+    return F.col(v).cast("double"), F.col(vi).cast("double") if vi in df.columns else F.lit(0.0)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the session's ``spark.checkpoint.dir`` and read back; a temporary folder only where that is unset on one machine."""
     sc = df.sparkSession.sparkContext
@@ -43,30 +57,44 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def joined_sum(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     """y = A x over frames (i, j, v) and (i, x double): join on the inner index, sum by the outer."""
+    _real(matrix, vector)
     x = vector.select(F.col("i").alias("j"), "x")
     return matrix.join(x, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("x"))
 
 
 def joined_block(matrix: DataFrame, block: DataFrame, k: int) -> DataFrame:
     """Y = A X for a block (i, x array<double>) of k columns."""
+    _real(matrix, block)
     x = block.select(F.col("i").alias("j"), "x")
     sums = [F.sum(F.col("v") * F.col("x")[c]).alias(f"s{c}") for c in range(k)]
     return matrix.join(x, "j").groupBy("i").agg(*sums).select("i", F.array(*[f"s{c}" for c in range(k)]).alias("x"))
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The coordinates of A B: an equi-join on the inner index."""
+    """The coordinates of A B: an equi-join on the inner index. Complex if one of them is."""
+    if "vi" in a.columns or "vi" in b.columns:
+        right = b.select(F.col("i").alias("m"), F.col("j").alias("q"), *[c.alias(n) for c, n in zip(_parts(b), ("w", "wi"))])
+        left = a.select("i", F.col("j").alias("m"), *[c.alias(n) for c, n in zip(_parts(a), ("v", "vi"))])
+        re, im = F.expr("v * w - vi * wi"), F.expr("v * wi + vi * w")
+        return left.join(right, "m").groupBy("i", F.col("q").alias("j")).agg(F.sum(re).alias("v"), F.sum(im).alias("vi"))
     right = b.select(F.col("i").alias("m"), F.col("j").alias("q"), F.col("v").alias("w"))
     return a.withColumnRenamed("j", "m").join(right, "m").groupBy("i", F.col("q").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
 def combined(terms: list[tuple[float, DataFrame]]) -> DataFrame:
-    """sum of c A: a union and one sum by place."""
-    frames = [df.select("i", "j", (F.lit(float(c)) * F.col("v")).alias("v")) for c, df in terms]
+    """sum of c A: a union and one sum by place. Complex if a factor or a matrix is."""
+    names = ["v", "vi"] if any(isinstance(c, complex) or "vi" in df.columns for c, df in terms) else ["v"]
+
+    def scaled(c: complex, df: DataFrame) -> DataFrame:
+        re, im = _parts(df)
+        parts = [F.lit(float(c.real)) * re - F.lit(float(c.imag)) * im, F.lit(float(c.real)) * im + F.lit(float(c.imag)) * re] if len(names) > 1 else [F.lit(float(c)) * F.col("v")]
+        return df.select("i", "j", *[x.alias(n) for x, n in zip(parts, names)])
+
+    frames = [scaled(c, df) for c, df in terms]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return out.groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def transposed(df: DataFrame) -> DataFrame:
@@ -75,13 +103,14 @@ def transposed(df: DataFrame) -> DataFrame:
 
 
 def tiled(spark: SparkSession, blocks: list[list[tuple[float, DataFrame] | None]], rows: int, cols: int) -> DataFrame:
-    """[a A, b B; c C, d D] and larger tilings of equal blocks of rows x cols."""
-    out = None
+    """[a A, b B; c C, d D] and larger tilings of equal blocks of rows x cols. Complex if a block is."""
+    out, cplx = None, any(cell is not None and "vi" in cell[1].columns for line in blocks for cell in line)
     for r, line in enumerate(blocks):
         for c, cell in enumerate(line):
             if cell is not None:
                 scale, df = cell
-                part = df.select((F.col("i") + r * rows).alias("i"), (F.col("j") + c * cols).alias("j"), (F.lit(float(scale)) * F.col("v")).alias("v"))
+                held = [(F.lit(float(scale)) * x).alias(n) for x, n in zip(_parts(df) if cplx else (F.col("v"),), ("v", "vi"))]
+                part = df.select((F.col("i") + r * rows).alias("i"), (F.col("j") + c * cols).alias("j"), *held)
                 out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "i long, j long, v double")
 
@@ -102,8 +131,37 @@ def bse(r: DataFrame, c: DataFrame, n: int) -> DataFrame:
 
 
 def gram_frame(df: DataFrame) -> DataFrame:
-    """(i, j, v) of A^H A for a real A: a self-join on the row."""
-    return matmul(transposed(df), df)
+    """(i, j, v) of A^H A: a self-join on the row."""
+    flip = transposed(df)
+    return matmul(flip.withColumn("vi", -F.col("vi")) if "vi" in df.columns else flip, df)
+
+
+def balanced_frame(df: DataFrame, tol: float = 1e-10, most: int = 100) -> tuple[DataFrame, DataFrame, int]:
+    """D^-1 A D with rows and columns of equal sums of sizes off the diagonal, D as (i, d), and the rounds it took.
+
+    A round is one aggregation: each entry gives its scaled size to its row and its column, and each place is moved by their ratio to the power of 3/8 (the square root would
+    swing, since both ends of an entry move at once). Places without a row or a column off the diagonal stay. Raises if the ratios do not settle."""
+    _real(df)
+    off = checkpointed(df.where("i <> j AND v <> 0").select("i", "j", F.abs("v").alias("a")))
+    d = None
+    for rounds in range(1, most + 1):
+        sized = off
+        if d is not None:
+            sized = off.join(d, "i", "left").join(d.select(F.col("i").alias("j"), F.col("d").alias("e")), "j", "left")
+            sized = sized.select("i", "j", (F.col("a") * F.coalesce("e", F.lit(1.0)) / F.coalesce("d", F.lit(1.0))).alias("a"))
+        ends = F.explode(F.array(F.struct(F.col("i").alias("i"), F.col("a").alias("r"), F.lit(0.0).alias("c")), F.struct(F.col("j").alias("i"), F.lit(0.0).alias("r"), F.col("a").alias("c")))).alias("e")
+        sums = sized.select(ends).groupBy("e.i").agg(F.sum("e.r").alias("r"), F.sum("e.c").alias("c")).where("r > 0 AND c > 0")
+        move = sums.select("i", F.pow(F.col("r") / F.col("c"), F.lit(0.375)).alias("f"))
+        d = checkpointed((move if d is None else d.join(move, "i", "full")).select("i", (F.col("f") if d is None else F.coalesce("d", F.lit(1.0)) * F.coalesce("f", F.lit(1.0))).alias("d"), F.coalesce("f", F.lit(1.0)).alias("f")))
+        if (d.agg(F.max(F.abs(F.log("f")))).first()[0] or 0.0) <= tol:
+            break
+        d = d.drop("f")
+    else:
+        raise NotConverged(f"balancing did not settle in {most} rounds")
+    d = d.select("i", "d")
+    right = d.select(F.col("i").alias("j"), F.col("d").alias("e"))
+    scaled = df.join(d, "i", "left").join(right, "j", "left").select("i", "j", (F.col("v") * F.coalesce("e", F.lit(1.0)) / F.coalesce("d", F.lit(1.0))).alias("v"))
+    return scaled, d, rounds
 
 
 @dataclass

@@ -22,7 +22,7 @@ from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..matrix import checkpointed
+from ..matrix import NotConverged, checkpointed
 from . import basis
 
 #: Entries of a part, and of a row that one part holds; longer rows are summed where the vector's entries are.
@@ -37,10 +37,6 @@ PARTS_AT_ONCE = 64
 State = dict[str, np.ndarray]
 
 
-class NotConverged(ArithmeticError):
-    """An iteration ended before its tolerance."""
-
-
 @dataclass
 class Part:
     """What a part holds of the matrix and of the exchange plan. Columns from ``rows`` on are those that others send."""
@@ -332,8 +328,8 @@ def _wanted(values: np.ndarray, which: str) -> np.ndarray:
 
 
 def _gram(part: Part, s: State) -> np.ndarray:
-    both = np.hstack([s["v"], s["av"]])
-    return both.T @ both
+    every = np.hstack([s["v"], s["av"], s["u"]])
+    return every.T @ every
 
 
 def _independent(g: np.ndarray, least: float = 1e-9) -> np.ndarray:
@@ -353,17 +349,23 @@ def _new_columns(g: np.ndarray, old: int, least: float = 1e-9) -> np.ndarray:
     return new @ _independent(new.T @ g @ new, least) if new.shape[1] else new
 
 
-def eigenpairs(parts: Parts, nev: int = 1, which: str = "largest_real", tol: float = 1e-7, block: int | None = None, ncv: int | None = None, most: int = 200, seed: int = 0) -> Found:
+def eigenpairs(parts: Parts, nev: int = 1, which: str = "largest_real", tol: float = 1e-7, block: int | None = None, ncv: int | None = None, most: int = 200, seed: int = 0, low: tuple[RDD, np.ndarray] | None = None) -> Found:
     """Extreme eigenpairs of a symmetric matrix from a thick-restarted block Krylov space that stays beside it.
 
     A step takes the residuals of ``block`` wanted pairs, which span the next Krylov block, into the space: one job, whose inner products of the basis
     and its products give the projected problem, the metric that rounding has left, and all residuals. Beyond ``ncv``
     vectors the space is pressed together to the wanted ones and half the rest. ``tol`` is relative to the largest value met. A
-    space that closes early goes on with random vectors, so that copies are found as far as the block reaches."""
+    space that closes early goes on with random vectors, so that copies are found as far as the block reaches.
+
+    ``low`` is a state with columns "u" and a small symmetric matrix S: the operator then is A + u S u', which is never written out. What a new block has
+    in common with u follows from the inner products of the step before, so that a step remains one job."""
     n, b = parts.n, min(parts.n, block or max(nev, 4))
     nev = min(nev, n)
     m = min(n, max(ncv or max(2 * nev + 2 * b, nev + 8 * b), nev + 2 * b))
-    state = parts.start(lambda part: {"v": _noise(np.arange(part.lo, part.hi), b, seed), "av": np.zeros((part.rows, 0))})
+    zero = low if low is not None else (parts.start(lambda part: {"u": np.zeros((part.rows, 0))}), np.zeros((0, 0)))
+    inner = np.asarray(zero[1], float)
+    state = parts.parts.zip(zero[0]).map(lambda t: {"v": _noise(np.arange(t[0].lo, t[0].hi), b, seed), "av": np.zeros((t[0].rows, 0)), "u": t[1]["u"]})
+    common = inner @ parts.look(state, lambda part, s: s["u"].T @ s["v"]) if len(inner) else np.zeros((0, b))  # S u' of the new block
     old, change = 0, None  # orthonormal columns, and what is to become of the state
     values, steps, top = np.zeros(0), 0, 0.0
     while True:
@@ -379,10 +381,12 @@ def eigenpairs(parts: Parts, nev: int = 1, which: str = "largest_real", tol: flo
             t = av @ y - v @ (y * theta)
             if fresh:
                 t = np.hstack([t, _noise(np.arange(part.lo, part.hi), fresh, seed + at)])
-            return {"v": np.hstack([v, t]), "av": av}
+            return {"v": np.hstack([v, t]), "av": av, "u": s["u"]}
 
-        state, g = parts.step(state, before, lambda s: s["v"][:, s["av"].shape[1] :], lambda part, s, y: {"v": s["v"], "av": np.hstack([s["av"], y])}, _gram)
-        k = len(g) // 2
+        after = lambda part, s, y, common=common: {"v": s["v"], "av": np.hstack([s["av"], y + s["u"] @ common]), "u": s["u"]}
+        state, g = parts.step(state, before, lambda s: s["v"][:, s["av"].shape[1] :], after, _gram)
+        k = (len(g) - len(inner)) // 2
+        shared, g = g[2 * k :, : 2 * k], g[: 2 * k, : 2 * k]
         basis_ = np.hstack([np.eye(k)[:, :old], own := _new_columns(g[:k, :k], old)])
         h = basis_.T @ g[:k, k:] @ basis_
         values, y = np.linalg.eigh((h + h.T) / 2)
@@ -404,6 +408,14 @@ def eigenpairs(parts: Parts, nev: int = 1, which: str = "largest_real", tol: flo
         if not len(pick) and not fresh:
             break
         change = (whole, old, c[:, :size] if whole else own, np.eye(size)[:, pick] if whole else y[:, pick], values[pick], fresh)
+        if len(inner):
+            turned = [h if whole else np.hstack([g_[:, :old], h]) for g_, h in ((shared[:, :k], shared[:, :k] @ change[2]), (shared[:, k:], shared[:, k:] @ change[2]))]
+            new = turned[1] @ change[3] - turned[0] @ (change[3] * change[4])
+            if fresh:
+                new = np.hstack([new, parts.look(state, lambda part, s, at=steps + 1, fresh=fresh: s["u"].T @ _noise(np.arange(part.lo, part.hi), fresh, seed + at))])
+            common = inner @ new
+        else:
+            common = np.zeros((0, len(pick) + fresh))
         old = size
     nev = min(nev, len(values))
     q, lam = c[:, :nev], values[:nev]

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import dense
 from ..matrix import DENSE_ROWS, Matrix, Operator, as_operator
@@ -30,10 +31,17 @@ class SingularResult:
     signature: np.ndarray | None = None
     history: list = field(default_factory=list)
 
+    asked: int | None = None
+
     @property
     def nconv(self) -> int:
+        """How many values have converged: those that are returned."""
         return len(self.values)
 
+    def __post_init__(self):
+        if self.asked is not None and self.nconv < self.asked:
+            self.reason = "iterations"
+
     def singular(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(k, float(s), float(e)) for k, (s, e) in enumerate(zip(self.values, self.errors))], "k int, sigma double, errest double")
 
@@ -72,6 +80,67 @@ def frame_randomized(rows: DataFrame, width: int, nsv: int, extra: int = 10, pow
     return s[:nsv], (g @ wh.conj().T)[:, :nsv]
 
 
+@dataclass
+class JointFactor:
+    """[A; B] = [U diag(c); V diag(s)] inverse(X) for two tall frames, c^2 + s^2 = 1, by decreasing c / s. ``back`` has the rows of inverse(X)."""
+
+    c: np.ndarray
+    s: np.ndarray
+    x: np.ndarray
+    back: np.ndarray
+
+    @property
+    def values(self) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.where(self.s > 1e-14, self.c / np.where(self.s > 1e-14, self.s, 1), np.inf)
+
+    def product(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of weights times products of rows of inverse(X): A'A for c^2, B'B for s^2, A'A - B'B for their difference."""
+        return (self.back.T * weights) @ self.back
+
+
+def joint_factor(a: DataFrame, b: DataFrame) -> JointFactor:
+    """Generalised singular values and right vectors of two tall frames (i, x array<double>) without a Gram matrix, so that conditions are not squared: R of the
+    stacked pair from a tree of QRs, then the two small factors of A K and B K, with K the inverse of R, and their common cosine-sine decomposition. Two passes over
+    the rows, which stay where they are. Directions in which the pair vanishes are left out."""
+    both = a.select("x", F.lit(True).alias("top")).unionByName(b.select("x", F.lit(False).alias("top")))
+    r = basis.reduced(both.select("x"), lambda t: np.linalg.qr(basis.rows_of(t), mode="r"), "qr")
+    if r is None:
+        return JointFactor(*[np.zeros(0)] * 2, np.zeros((0, 0)), np.zeros((0, 0)))
+    _, size, wh = np.linalg.svd(r)
+    rank = int((size > 1e-13 * size.max(initial=0)).sum())
+    k = wh[:rank].T / size[:rank]
+    held = both.sparkSession.sparkContext.broadcast(k)
+
+    def square(x: np.ndarray) -> np.ndarray:
+        f = np.linalg.qr(x, mode="r")
+        return np.vstack([f, np.zeros((rank - len(f), rank))])
+
+    def part(t) -> np.ndarray:
+        x, top = basis.rows_of(t) @ held.value, t.column("top").to_numpy(zero_copy_only=False)
+        return np.vstack([square(x[top]), square(x[~top])])
+
+    f = basis.reduced(both, part, lambda p, q: np.vstack([square(np.vstack([p[:rank], q[:rank]])), square(np.vstack([p[rank:], q[rank:]]))]))
+    _, c, w = np.linalg.svd(f[:rank])
+    s = np.linalg.norm(f[rank:] @ w.T, axis=0)
+    return JointFactor(c, s, k @ w.T, w @ (wh[:rank] * size[:rank, None]))
+
+
+def frame_gsvd(a: DataFrame, b: DataFrame, nsv: int | None = None, which: str = "largest") -> SingularResult:
+    """Generalised values c / s of two tall frames and right vectors X, by ``joint_factor``."""
+    f = joint_factor(a, b)
+    at = np.argsort(-f.values if which == "largest" else f.values, kind="stable")[:nsv]
+    return SingularResult(f.values[at], None, f.x[:, at], np.abs(f.c[at] ** 2 + f.s[at] ** 2 - 1), "joint")
+
+
+def frame_hsvd(a: DataFrame, b: DataFrame, nsv: int | None = None) -> SingularResult:
+    """Hyperbolic values of the rows of ``a``, which count positive, on those of ``b``, which count negative, with their signs."""
+    f = joint_factor(a, b)
+    w, v = np.linalg.eigh(f.product(f.c**2 - f.s**2))
+    at = np.argsort(-np.abs(w), kind="stable")[:nsv]
+    return SingularResult(np.sqrt(np.abs(w[at])), None, v[:, at], np.zeros(len(at)), "joint", signature=np.where(w[at] < 0, -1.0, 1.0))
+
+
 # --- solvers on operators: (values, u, v, iterations) ---------------------------------------------------
 
 
@@ -79,6 +148,7 @@ def _by_eigen(a: Operator, nsv: int, which: str, tol: float, ncv, seed: int, **o
     """Eigenvalues of A^H A on the shorter side."""
     flip = a.rows < a.n
     n = a.rows if flip else a.n
+    nsv = min(nsv, n)
     op = Operator(n, (lambda x: a.apply(a.adjoint(x))) if flip else (lambda x: a.adjoint(a.apply(x))), None, None, a.complex)
     r = eigs(op, nev=nsv, which="largest_real" if which == "largest" else "smallest_real", problem="hep", tol=tol, ncv=ncv, seed=seed, solver=o.get("eps", "krylovschur"))
     s = np.sqrt(np.maximum(r.values, 0))
@@ -112,6 +182,8 @@ def _lanczos(a: Operator, nsv: int, which: str, tol: float, ncv, seed: int, one_
         flip = Operator(a.rows, a.adjoint, a.apply, a.n, a.complex)
         s, u, v, it = _lanczos(flip, nsv, which, tol, ncv, seed, one_side, most)
         return s, v, u, it
+    if which == "smallest" and omega is None and inner is None and not one_side and max(a.n, a.rows) <= DENSE_ROWS:
+        return _inverse(a, nsv, tol, ncv, seed, most)
     n = a.n
     k = min(ncv or max(2 * nsv, 10), n, a.rows)
     kind = complex if a.complex else float
@@ -159,7 +231,7 @@ def _lanczos(a: Operator, nsv: int, which: str, tol: float, ncv, seed: int, one_
         good = r <= tol * np.maximum(s, 1e-300)
         nconv = int(np.argmin(np.append(good, False)))
         if nconv >= nsv or beta == 0 or it == most:
-            m = min(nsv, j)
+            m = min(nsv, j if beta == 0 else nconv)  # what has not converged is no answer
             out = s[:m], u[:, :j] @ p[:, :m], v[:, :j] @ q[:, :m], it
             return out if omega is None else (*out, turned[:m])
         have = min(nsv + max(1, (k - nsv) // 2), k - 1)
@@ -170,6 +242,19 @@ def _lanczos(a: Operator, nsv: int, which: str, tol: float, ncv, seed: int, one_
     raise AssertionError
 
 
+def _inverse(a: Operator, nsv: int, tol: float, ncv, seed: int, most: int):
+    """Smallest values as the largest of the inverse of R, which has A's values and right vectors; singular matrices by the dense decomposition."""
+    q, r = np.linalg.qr(a.dense())
+    size = np.abs(np.diag(r))
+    if size.min(initial=np.inf) <= 1e-14 * size.max(initial=0):
+        u, s, vh = np.linalg.svd(r)
+        at = np.arange(len(s))[::-1][:nsv]
+        return s[at], q @ u[:, at], vh.conj().T[:, at], 1
+    inverse = np.linalg.inv(r)
+    s, u, v, it = _lanczos(Operator(a.n, lambda x: inverse @ x, lambda x: inverse.conj().T @ x, a.n, a.complex), nsv, "largest", tol, ncv, seed, most=most)
+    return 1 / s, q @ v, u, it
+
+
 def _randomized(a: Operator, nsv: int, which: str, tol: float, ncv, seed: int, power: int = 2, **o):
     if which != "largest":
         raise ValueError("the randomised solver gives largest values only")
@@ -221,7 +306,7 @@ def svds(A, B=None, omega: np.ndarray | None = None, nsv: int = 1, which: str =
         e = e / np.maximum(s, 1e-300) / np.sqrt(2)
     elif error == "norm":
         e = e / (a.norm or max(s.max(initial=0), 1e-300))
-    return SingularResult(s, u, v, e, solver, it)
+    return SingularResult(s, u, v, e, solver, it, asked=nsv)
 
 
 def gsvds(A, B, nsv: int = 1, which: str = "largest", solver: str | None = None, ncv: int | None = None, tol: float = 1e-8, seed: int = 0, bidiagonalisation: str = "upper") -> SingularResult:
@@ -274,7 +359,7 @@ def _gsvd_lanczos(a: Operator, b: Operator, nsv: int, which: str, ncv, tol: floa
     # s^2 A'A x = c^2 B'B x
     e = np.linalg.norm(s**2 * a.adjoint(ax) - c**2 * b.adjoint(bx), axis=0) / np.maximum(np.linalg.norm(inner(x), axis=0), 1e-300)
     at = np.argsort(-values if which == "largest" else values, kind="stable")
-    return SingularResult(values[at], (ax / np.where(c > 0, c, 1))[:, at], x[:, at], e[at], "trlanczos", it)
+    return SingularResult(values[at], (ax / np.where(c > 0, c, 1))[:, at], x[:, at], e[at], "trlanczos", it, asked=nsv)
 
 
 def _gram(a: Matrix) -> np.ndarray:
@@ -320,4 +405,4 @@ def hsvds(a: Operator, omega: np.ndarray, nsv: int = 1, which: str = "largest",
     else:
         raise ValueError(f"no such solver: {solver}")
     e = np.hypot(np.linalg.norm(a.apply(v) - u * s, axis=0), np.linalg.norm(a.adjoint(weight(u)) - v * (s * sign), axis=0))
-    return SingularResult(s, u, v, e / np.maximum(s, 1e-300), solver, it, signature=sign)
+    return SingularResult(s, u, v, e / np.maximum(s, 1e-300), solver, it, signature=sign, asked=nsv)

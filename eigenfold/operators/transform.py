@@ -10,43 +10,69 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..matrix import DENSE_ROWS, Operator
+from ..matrix import DENSE_ROWS, NotConverged, Operator
 
 
-def gmres(op: Callable, b: np.ndarray, tol: float = 1e-12, restart: int = 60, most: int = 40, precondition: Callable | None = None) -> np.ndarray:
-    """Solves op(x) = b; ``precondition`` is applied on the right."""
+#: A solve that ends with a larger relative residual than this, and than a thousand tolerances, is no solution.
+UNSOLVED = 1e-7
+
+
+def _accept(residual: float, tol: float, name: str) -> None:
+    if not residual <= max(UNSOLVED, 1000 * tol):
+        raise NotConverged(f"{name} ended with a relative residual of {residual:.1e}")
+
+
+def gmres(op: Callable, b: np.ndarray, tol: float = 1e-12, restart: int = 60, most: int = 40, precondition: Callable | None = None, strict: bool = True) -> np.ndarray:
+    """Solves op(x) = b; ``precondition`` is applied on the right. A solve that ends above the tolerance raises, unless it is not ``strict``, for
+    corrections of which a few steps are enough."""
     m = precondition or (lambda y: y)
     x, size = np.zeros_like(b, dtype=np.result_type(b, float)), np.linalg.norm(b)
     if size == 0:
         return x
+    best = np.inf
     for _ in range(most):
         r = b - op(x)
         beta = np.linalg.norm(r)
-        if beta <= tol * size:
-            return x
-        v = [r / beta]
-        h = np.zeros((restart + 1, restart), np.result_type(b, float))
+        if beta <= tol * size or beta > 0.999 * best:  # solved, or as far as rounding goes
+            break
+        best = beta
+        v = np.zeros((len(b), restart + 1), np.result_type(r, op(r)) if restart else r.dtype)
+        v[:, 0] = r / beta
+        h = np.zeros((restart + 1, restart), v.dtype)
+        turns, g = [], np.zeros(restart + 1, v.dtype)
+        g[0] = beta
         for j in range(restart):
-            w = op(m(v[j]))
-            if np.iscomplexobj(w) and not np.iscomplexobj(h):
-                h = h.astype(complex)
+            w = op(m(v[:, j]))
             for _ in range(2):
-                for i, u in enumerate(v):
-                    c = np.vdot(u, w)
-                    h[i, j] += c
-                    w = w - c * u
-            h[j + 1, j] = np.linalg.norm(w)
-            e = np.zeros(j + 2, h.dtype)
-            e[0] = beta
-            y = np.linalg.lstsq(h[: j + 2, : j + 1], e, rcond=None)[0]
-            if abs(h[j + 1, j]) < 1e-14 * beta or np.linalg.norm(h[: j + 2, : j + 1] @ y - e) <= tol * size:
+                c = v[:, : j + 1].conj().T @ w
+                h[: j + 1, j] += c
+                w = w - v[:, : j + 1] @ c
+            h[j + 1, j] = size_w = np.linalg.norm(w)
+            if size_w > 0:
+                v[:, j + 1] = w / size_w
+            for i, (cos, sin) in enumerate(turns):  # rotations that keep h triangular
+                h[i, j], h[i + 1, j] = cos * h[i, j] + sin * h[i + 1, j], -np.conj(sin) * h[i, j] + cos * h[i + 1, j]
+            length = np.hypot(abs(h[j, j]), abs(h[j + 1, j]))
+            if length == 0:
+                break
+            phase = h[j, j] / abs(h[j, j]) if h[j, j] != 0 else 1.0
+            cos, sin = abs(h[j, j]) / length, phase * np.conj(h[j + 1, j]) / length
+            turns.append((cos, sin))
+            h[j, j], h[j + 1, j] = phase * length, 0
+            g[j], g[j + 1] = cos * g[j], -np.conj(sin) * g[j]
+            if abs(g[j + 1]) <= tol * size or size_w <= 1e-14 * beta:
                 break
-            v.append(w / h[j + 1, j])
-        x = x + m(np.stack(v[: len(y)], 1) @ y)
+        k = len(turns)
+        if k == 0:
+            break
+        x = x + m(v[:, :k] @ np.linalg.solve(h[:k, :k], g[:k]))
+    if strict:
+        _accept(float(np.linalg.norm(b - op(x)) / size), tol, "GMRES")
     return x
 
 
-def conjugate_gradient(op: Callable, b: np.ndarray, tol: float = 1e-12, most: int = 1000, precondition: Callable | None = None) -> np.ndarray:
+def conjugate_gradient(op: Callable, b: np.ndarray, tol: float = 1e-12, most: int = 1000, precondition: Callable | None = None, strict: bool = True) -> np.ndarray:
+    """Solves op(x) = b for a positive definite op; a direction that shows another raises, and so does, if ``strict``, an end above the tolerance."""
     m = precondition or (lambda y: y)
     x, r = np.zeros_like(b), b.copy()
     z = m(r)
@@ -55,11 +81,18 @@ def conjugate_gradient(op: Callable, b: np.ndarray, tol: float = 1e-12, most: in
         if np.linalg.norm(r) <= tol * size:
             break
         ap = op(p)
-        a = rz / np.vdot(p, ap)
+        curve = np.vdot(p, ap).real
+        if curve <= 0:
+            if np.linalg.norm(r) <= UNSOLVED * size:  # rounding at the end of a solve
+                break
+            raise NotConverged("conjugate gradients met a direction in which the matrix is not positive")
+        a = rz / curve
         x, r = x + a * p, r - a * ap
         z = m(r)
         rz, old = np.vdot(r, z), rz
         p = z + rz / old * p
+    if strict and size > 0:
+        _accept(float(np.linalg.norm(b - op(x)) / size), tol, "conjugate gradients")
     return x
 
 

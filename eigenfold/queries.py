@@ -526,26 +526,41 @@ def _(spark, sf):
     return spark.createDataFrame([(0, round(float((s**2).sum()), 5)), (1, round(float(np.sqrt((s**4).sum())), 4))], "k int, value double")
 
 
-def halves(spark, sf) -> tuple[np.ndarray, np.ndarray]:
-    """Gram factors of the rows with even and odd labels: 64 x 64 each, standing for the tall halves."""
+def halves(spark, sf) -> list[DataFrame]:
+    """The rows with even and with odd labels."""
     rows = src.embedding_rows(spark, sf)
-    part = lambda k: np.linalg.cholesky(basis.gram(rows.where(F.col("label") % 2 == k)) + 1e-12 * np.eye(64)).T
-    return part(0), part(1)
+    return [rows.where(F.col("label") % 2 == k).select("i", "x") for k in (0, 1)]
 
 
 @query("svd_gsvd")
 def _(spark, sf):
-    a, b = halves(spark, sf)
-    return value_frame(spark, gsvds(a, b, 5).values)
+    return value_frame(spark, singular.frame_gsvd(*halves(spark, sf), 5).values)
 
 
 @query("svd_hsvd")
 def _(spark, sf):
-    """Rows signed by their label's parity: the indefinite Gram matrix is a difference of two."""
-    a, b = halves(spark, sf)
-    from .matrix import of_array
+    """Rows signed by their label's parity."""
+    return value_frame(spark, singular.frame_hsvd(*halves(spark, sf), 5).values)
 
-    return value_frame(spark, hsvds(of_array(np.vstack([a, b])), np.r_[np.ones(64), -np.ones(64)], 5).values)
+
+#: Gram matrices of both halves, in SQL.
+PAIR = f"""{EMBEDDED}, f AS (SELECT e.*, label % 2 AS h FROM e JOIN embeddings ON vec_id = i), g AS MATERIALIZED (SELECT a.c AS p, b.c AS q, sum(a.v * b.v) FILTER (a.h = 0) AS a, sum(a.v * b.v) FILTER (a.h = 1) AS b FROM f a JOIN f b ON a.i = b.i GROUP BY 1, 2)"""
+
+
+@query("svd_gsvd_identities", f"WITH {PAIR} SELECT 64.0::DOUBLE AS ones, 0.0::DOUBLE AS off, round(sum(a) FILTER (p = q), 5) AS first, round(sum(b) FILTER (p = q), 5) AS second, round(sum(a * a), 3) AS square, round(sum(a * b), 3) AS crossed FROM g")
+def _(spark, sf):
+    """Of the joint factor: the sum of c^2 + s^2 and the largest deviation of one from 1, traces of both Gram matrices, and of their products."""
+    f = singular.joint_factor(*halves(spark, sf))
+    a, b, one = f.product(f.c**2), f.product(f.s**2), f.c**2 + f.s**2
+    found = (one.sum(), np.abs(one - 1).max(), np.trace(a), np.trace(b), (a * a).sum(), (a * b).sum())
+    return spark.createDataFrame([tuple(round(float(x), d) + 0.0 for x, d in zip(found, (6, 6, 5, 5, 3, 3)))], "ones double, off double, first double, second double, square double, crossed double")
+
+
+@query("svd_hsvd_moments", f"WITH {PAIR} SELECT round(sum(a - b) FILTER (p = q), 5) AS second, round(sum((a - b) * (a - b)), 3) AS fourth FROM g")
+def _(spark, sf):
+    """The signed second and the fourth moments of all hyperbolic values."""
+    r = singular.frame_hsvd(*halves(spark, sf))
+    return spark.createDataFrame([(round(float((r.signature * r.values**2).sum()), 5), round(float((r.values**4).sum()), 3))], "second double, fourth double")
 
 
 LINES = "w AS (SELECT unnest(range(1, 61)) AS m), l AS (SELECT 2 - 2*cos(pi()*m/61) AS a FROM w)"

@@ -96,8 +96,9 @@ def stochastic(df: DataFrame) -> DataFrame:
 
 
 def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(i, x array<double>, label)."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("i"), F.col("embedding").cast("array<double>").alias("x"), "label")
+    """(i, x array<double>, label) of the vectors without nulls; those of different lengths are refused where they are used."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL AND NOT exists(embedding, c -> c IS NULL)")
+    return rows.select(F.col("vec_id").cast("long").alias("i"), F.col("embedding").cast("array<double>").alias("x"), "label")
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:

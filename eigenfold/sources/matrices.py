@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..matrix import combined
+from ..matrix import checkpointed, combined
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,56 @@ def read_terms(spark: SparkSession, path: str, fmt: str = "parquet") -> list[Dat
     return [every.where(F.col("term") == k).drop("term") for k in range(0 if top is None else top + 1)]
 
 
+MARKET = ("%%matrixmarket", "matrix", "coordinate")
+FIELDS, SYMMETRIES = ("real", "integer", "pattern", "complex"), ("general", "symmetric", "skew-symmetric", "hermitian")
+
+
+def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
+    """(i, j, v[, vi]) from 0, with the numbers of rows and columns, of a text in coordinate form: a file, or a folder of which one file has the header. Spark splits it by
+    bytes. Symmetric, skew and Hermitian matrices get their other half. A missing or unknown header, an entry with too few or too many numbers or outside
+    of the matrix, or another number of entries than announced is an error."""
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"))
+    heads = lines.where(F.lower("value").startswith(MARKET[0])).limit(2).collect()
+    words = heads[0]["value"].lower().split() if len(heads) == 1 else []
+    if len(words) != 5 or tuple(words[:3]) != MARKET or words[3] not in FIELDS or words[4] not in SYMMETRIES:
+        raise ValueError(f"no coordinate header in {path}: {[r['value'] for r in heads]}")
+    said = lines.where(~F.col("value").startswith("%") & (F.col("value") != ""))
+    first = said.where(F.col("file") == heads[0]["file"]).agg(F.min(F.struct("at", "value")).alias("m")).first()["m"]
+    size = first["value"].split() if first is not None else []
+    if len(size) != 3 or not all(w.isdigit() for w in size):
+        raise ValueError(f"no line of sizes behind the header of {path}")
+    rows, cols, entries = map(int, size)
+    wide = 2 + {"pattern": 0, "complex": 2}.get(words[3], 1)
+    w = F.split("value", r"\s+")
+    i, j = F.try_element_at(w, F.lit(1)).try_cast("long") - 1, F.try_element_at(w, F.lit(2)).try_cast("long") - 1
+    values = [F.lit(1.0)] if wide == 2 else [F.try_element_at(w, F.lit(k)).try_cast("double") for k in range(3, wide + 1)]
+    fits = (F.size(w) == wide) & (i >= 0) & (i < rows) & (j >= 0) & (j < cols)
+    for v in values:
+        fits = fits & v.isNotNull()
+    entry = F.when(F.coalesce(fits, F.lit(False)), F.struct(i.alias("i"), j.alias("j"), *[v.alias(n) for v, n in zip(values, ("v", "vi"))]))
+    checked = F.coalesce(entry, F.raise_error(F.concat(F.lit("no entry: "), "value")).cast(_entry_type(len(values))))
+    found = said.where((F.col("file") != heads[0]["file"]) | (F.col("at") != F.struct(F.lit(first["at"]["block"]).alias("block"), F.lit(first["at"]["id"]).alias("id")))).select(checked.alias("e")).select("e.*")
+    if (n := found.count()) != entries:
+        raise ValueError(f"{n} entries in {path} instead of {entries}")
+    if words[4] != "general":
+        sign = {"v": -1.0 if words[4] == "skew-symmetric" else 1.0, "vi": 1.0 if words[4] == "symmetric" else -1.0}
+        found = found.unionByName(found.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), *[(sign[c] * F.col(c)).alias(c) for c in found.columns[2:]]))
+    return found, rows, cols
+
+
+def _entry_type(values: int) -> str:
+    return "struct<i: long, j: long, v: double" + (", vi: double>" if values > 1 else ">")
+
+
+def write_matrix_market(df: DataFrame, rows: int, cols: int, path: str) -> None:
+    """Coordinates as a folder of text files, of which the first has the header; entries at one place stay as they are."""
+    df = checkpointed(df.select("i", "j", *[c for c in ("v", "vi") if c in df.columns]))
+    head = [f"%%MatrixMarket matrix coordinate {'complex' if 'vi' in df.columns else 'real'} general", f"{rows} {cols} {df.count()}"]
+    first = df.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1)
+    entries = df.select(F.concat_ws(" ", (F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"), *[F.col(c).cast("string") for c in df.columns[2:]]).alias("value"))
+    first.unionByName(entries).write.mode("overwrite").text(path)
+
+
 def write_frame(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Values, vectors, errors or coordinates to a folder."""
     df.write.mode("overwrite").format(fmt).option("header", True).save(path)

@@ -712,3 +712,48 @@ def shifted_solutions(parts: Parts, b: DataFrame, k: int, shifts: list[float], t
     off, size = parts.look(space.state, told)
     residuals = np.sqrt(off / np.where(size > 0, size, 1))
     return Solved(parts.frame(space.state, lambda s: s["v"] @ y), residuals, space.steps, bool((residuals <= max(tol, 1e-7)).all()))
+
+
+# --- Lyapunov equations ------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Factor:
+    """Z, a frame of ``rank`` columns, with X = Z Z'; the trace of X and the relative residual of the equation in the Frobenius norm."""
+
+    z: DataFrame
+    rank: int
+    trace: float
+    residual: float
+    steps: int
+    converged: bool
+
+    def checked(self) -> Factor:
+        if not self.converged:
+            raise NotConverged(f"a relative residual of {self.residual:.2e} after {self.steps} steps")
+        return self
+
+
+def lyapunov(parts: Parts, b: DataFrame, k: int = 1, shift: float = 0.0, tol: float = 1e-7, most: int = 120) -> Factor:
+    """A low-rank factor of X in M X + X M = B B', M = A + shift I symmetric and positive definite, for the ``k`` columns of B at once.
+
+    The equation is solved in the block Krylov space of B, which stays beside the matrix; the residual has only the part of the last block's images outside of the
+    space. The factor is cut to what the tolerance needs."""
+
+    def small(space: Space) -> tuple[np.ndarray, float]:
+        w, q = np.linalg.eigh(space.h)
+        w = w + shift
+        if w.min() <= 0:
+            raise NotConverged("the matrix is not positive definite")
+        c = q.T @ space.lead
+        y = q @ ((c @ c.T) / (w[:, None] + w[None, :])) @ q.T
+        outside = space.images - space.h @ space.h  # of the images, what the space does not hold
+        off = np.sqrt(max(2 * np.trace(y @ outside @ y), 0.0))
+        return y, float(off / max(np.linalg.norm(space.lead.T @ space.lead), 1e-300))
+
+    space = shared_space(parts, parts.vectors(b, k), k, most, lambda s: small(s)[1] <= max(tol, 1e-8))
+    y, off = small(space)
+    size, u = np.linalg.eigh((y + y.T) / 2)
+    some = size > max(tol, 1e-14) * 1e-2 * size.max(initial=1e-300)
+    f = space.turn @ (u[:, some] * np.sqrt(size[some]))
+    return Factor(parts.frame(space.state, lambda s: s["v"] @ f), int(some.sum()), float(np.trace(y)), off, space.steps, off <= 10 * max(tol, 1e-8))

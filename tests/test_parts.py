@@ -142,6 +142,21 @@ def test_functions_and_density(spark, hub):
     assert np.isclose((found.at(points) * np.sin(angle)).sum() * np.pi / 4000 * (span[1] - span[0]) / 2, 1.0, atol=1e-6) and found.at(np.array([99.0]))[0] == 0
 
 
+def test_lyapunov_factor(spark, hub):
+    df, a, n = hub
+    parts = P.Parts(df, n, parts=3, heavy=40)
+    b = np.random.default_rng(3).standard_normal((n, 2))
+    w, u = np.linalg.eigh(a + 12 * np.eye(n))
+    c = u.T @ b
+    x = u @ ((c @ c.T) / (w[:, None] + w[None, :])) @ u.T
+    found = P.lyapunov(parts, vectors(spark, b), 2, shift=12.0, tol=1e-8).checked()
+    z = gathered(found.z, n, found.rank)
+    assert np.allclose(z @ z.T, x, atol=1e-5 * np.abs(x).max()) and np.isclose(found.trace, np.trace(x), rtol=1e-6) and found.rank < 30
+    assert not P.lyapunov(parts, vectors(spark, b), 2, shift=6.0, most=2).converged
+    with pytest.raises(P.NotConverged, match="definite"):
+        P.lyapunov(parts, vectors(spark, b), 2, shift=-4.0)
+
+
 def test_contour(spark, hub):
     df, a, n = hub
     w = np.linalg.eigvalsh(a)

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from ..matrix import DENSE_ROWS, checkpointed
 
-#: Rows without a block carry this number.
+#: The place of a row that tells a count.
 COUNT = -1
+#: Entries of the blocks that are decomposed in one call, about.
+TOGETHER = 100_000
 
 
 def _inertia(w: np.ndarray) -> int:
@@ -33,21 +35,54 @@ def _dense(i: np.ndarray, j: np.ndarray, v: np.ndarray, rows: np.ndarray, cols:
     return a
 
 
-def _eliminated(group: pa.Table, shifts: list[float] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(shift's number, i, j, v of the Schur complement, negative values) of one block. With ``shifts`` the entries are A's, else those of one shift."""
-    i, j, v, inside_i, inside_j = (group.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "v", "inside_i", "inside_j"))
-    own = np.unique(np.concatenate([i[inside_i], j[inside_j]]))
-    if len(own) > DENSE_ROWS:
-        raise ValueError(f"a block of {len(own)} rows is more than DENSE_ROWS = {DENSE_ROWS}: cut it into levels")
+def _starts(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(sorted_keys, prepend=sorted_keys[:1] - 1)) if len(sorted_keys) else np.zeros(0, int)
+
+
+def _eliminated(group: pa.Table, shifts: list[float]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(shift's number, i, j, v of Schur complements, negative values) of a group of blocks; those of like shape are decomposed together."""
+    block, i, j, v, inside_i, inside_j = (group.column(c).to_numpy(zero_copy_only=False) for c in ("block", "i", "j", "v", "inside_i", "inside_j"))
+    rows, at = np.unique(np.concatenate([i[inside_i], j[inside_j]]), return_index=True)
+    of = np.concatenate([block[inside_i], block[inside_j]])[at]  # a row is in one block of a level
+    order = np.lexsort((rows, of))
+    rank = np.empty(len(rows), int)
+    rank[order] = np.arange(len(rows))
+    names, first = of[order][starts := _starts(of[order])], starts
+    size = np.diff(np.append(first, len(rows)))
+    if len(size) and size.max() > DENSE_ROWS:
+        raise ValueError(f"a block of {size.max()} rows is more than DENSE_ROWS = {DENSE_ROWS}: cut it into levels")
+    place = lambda x, b: rank[np.searchsorted(rows, x)] - first[b]
     inner, out = inside_i & inside_j, inside_i & ~inside_j
-    w, q = np.linalg.eigh(_dense(i[inner], j[inner], v[inner], own, own))
-    touched = np.unique(j[out])
-    f = _dense(i[out], j[out], v[out], own, touched).T @ q
-    row, col = np.repeat(touched, len(touched)), np.tile(touched, len(touched))
-    for number, shift in enumerate(shifts if shifts is not None else [0.0]):
-        at = w - shift
-        count = _inertia(at)
-        yield (number if shifts is not None else int(group.column("s")[0].as_py())), row, col, -((f / at) @ f.T).ravel(), count
+    bi, bo = np.searchsorted(names, block[inner]), np.searchsorted(names, block[out])
+    ii, ij, oi = place(i[inner], bi), place(j[inner], bi), place(i[out], bo)
+    # the rows that a block touches, numbered within it
+    turn = np.lexsort((j[out], bo))
+    new = np.ones(len(turn), bool)
+    new[1:] = (np.diff(bo[turn]) != 0) | (np.diff(j[out][turn]) != 0)
+    touched, whose = j[out][turn][new], bo[turn][new]
+    reach = np.bincount(whose, minlength=len(names))
+    begin = np.cumsum(reach) - reach
+    oj = np.empty(len(turn), int)
+    oj[turn] = np.cumsum(new) - 1 - begin[bo[turn]]
+    shape = size * (len(rows) + 1) + reach
+    for kind in np.unique(shape):
+        n, t = int(size[shape == kind][0]), int(reach[shape == kind][0])
+        for some in np.array_split(np.flatnonzero(shape == kind), max(1, int((shape == kind).sum() * (n + t) ** 2 // 4_000_000))):
+            number = np.full(len(names), -1)
+            number[some] = np.arange(len(some))
+            a, c = np.zeros((len(some), n, n)), np.zeros((len(some), n, t))
+            mine, theirs = number[bi] >= 0, number[bo] >= 0
+            np.add.at(a, (number[bi[mine]], ii[mine], ij[mine]), v[inner][mine])
+            np.add.at(c, (number[bo[theirs]], oi[theirs], oj[theirs]), v[out][theirs])
+            w, q = np.linalg.eigh(a)
+            f = np.swapaxes(c, 1, 2) @ q
+            to = touched[begin[some][:, None] + np.arange(t)[None, :]] if t else np.zeros((len(some), 0), np.int64)
+            row, col = np.repeat(to, t, axis=1).ravel(), np.tile(to, (1, t)).ravel()
+            for k, shift in enumerate(shifts):
+                d = w - shift
+                if len(d) and (np.abs(d).min(1) <= 1e-12 * np.abs(d).max(1)).any():
+                    raise ArithmeticError("a shift is an eigenvalue of a block: move it a little")
+                yield k, row, col, -((f / d[:, None, :]) @ np.swapaxes(f, 1, 2)).ravel(), int((d < 0).sum())
 
 
 def _level(entries: DataFrame, blocks: DataFrame, shifts: list[float] | None) -> DataFrame:
@@ -65,14 +100,18 @@ def _level(entries: DataFrame, blocks: DataFrame, shifts: list[float] | None) ->
         rest = rest.select(at, "i", "j", "v").withColumn("v", F.col("v") - F.when(F.col("i") == F.col("j"), F.col("shift")).otherwise(0.0)).drop("shift")
 
     def run(group: pa.Table) -> pa.Table:
+        own = None if shifts is not None else int(group.column("s")[0].as_py())
         parts = [
-            (np.concatenate([np.full(len(i), s), [s]]), np.append(i, COUNT), np.append(j, COUNT), np.append(v, float(count)))
-            for s, i, j, v, count in _eliminated(group, shifts)
+            (np.full(len(i) + 1, s if own is None else own), np.append(i, COUNT), np.append(j, COUNT), np.append(v, float(count)))
+            for s, i, j, v, count in _eliminated(group, shifts if own is None else [0.0])
         ]
         s, i, j, v = (np.concatenate([p[c] for p in parts]) for c in range(4))
         return pa.table({"s": pa.array(s.astype(np.int32)), "i": pa.array(i.astype(np.int64)), "j": pa.array(j.astype(np.int64)), "v": pa.array(v.astype(float))})
 
-    by = ["block"] if shifts is not None else ["s", "block"]
+    # many blocks to a group, so that small ones do not cost a call each
+    groups = max(1, entries.count() // TOGETHER)
+    touched = touched.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    by = ["group"] if shifts is not None else ["s", "group"]
     made = touched.groupBy(*by).applyInArrow(run, "s int, i long, j long, v double")
     return rest.select("s", "i", "j", "v").unionByName(made).groupBy("s", "i", "j").agg(F.sum("v").alias("v"))
 
@@ -85,7 +124,7 @@ def counts_below(matrix: DataFrame, shifts: list[float], levels: list[DataFrame]
     an eigenvalue of a block raises, since its count then is open. Between two shifts lie as many values as the counts differ by."""
     diagonal = matrix.select("i").union(matrix.select(F.col("j").alias("i"))).distinct()  # rows with off-diagonal entries alone have a zero on the diagonal
     frame = matrix.select("i", "j", F.col("v").cast("double").alias("v")).unionByName(diagonal.select("i", F.col("i").alias("j"), F.lit(0.0).alias("v")))
-    frame = frame.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    frame = checkpointed(frame.groupBy("i", "j").agg(F.sum("v").alias("v")))
     spark = matrix.sparkSession
     none = spark.createDataFrame([], "i long, block long")
     done = None

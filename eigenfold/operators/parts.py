@@ -183,9 +183,18 @@ class Parts:
         return parts
 
     def _delivered(self, messages: RDD) -> RDD:
-        """Messages (part, content) as one element a partition: the list of what that part was sent."""
+        """Messages (part, content) as one element a partition: the list of what that part was sent. The plan is made without adaptive execution, which would
+        run the exchange as a job of its own and has nothing to adapt here."""
         rows = self.spark.createDataFrame(messages.map(lambda m: (m[0], pickle.dumps(m[1], 5))), "part int, content binary", verifySchema=False)
-        return rows.repartitionById(self.count, "part").rdd.mapPartitions(lambda got: [[pickle.loads(r[1]) for r in got]])
+        conf, name = self.spark.conf, "spark.sql.adaptive.enabled"
+        before = conf.get(name)
+        conf.set(name, "false")
+        try:
+            dealt = rows.repartitionById(self.count, "part").rdd
+            dealt.getNumPartitions()  # plans it
+        finally:
+            conf.set(name, before)
+        return dealt.mapPartitions(lambda got: [[pickle.loads(r[1]) for r in got]])
 
     def unpersist(self) -> None:
         for rdd in [*self._kept, self.parts]:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def test_language_learns_and_predicts(spark):
 def test_language_code_lengths_are_those_of_a_plain_model():
     """A dictionary of counts with escapes and exclusions gives the same bits."""
     texts = {"a": [b"abracadabra abra", b"cadabra"], "b": [b"banana band ban"]}
-    model = language.learn(texts, most_nodes=10_000, least=1)
+    model = language.learn(texts)
 
     def plain(lang, text):
         pad = b"\n\n\n"
@@ -102,11 +103,43 @@ def test_language_of_many_copies_is_learned(spark, monkeypatch):
     few = {l: [words(rng, alphabet, 20) for _ in range(12)] for l, alphabet in (("aa", "abcde"), ("bb", "fghij"))}
     rows = [(k, t, l) for l, texts in few.items() for k, t in enumerate(texts)]
     docs = frame(spark, rows).where("lang = 'bb'").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("copy").unionByName(frame(spark, rows).where("lang = 'aa'"))
-    monkeypatch.setattr(language, "learn", lambda texts: texts)
+    monkeypatch.setattr(language, "calibrated", lambda texts: texts)
     got = language.train(docs)
     assert {l: sorted(t) for l, t in got.items()} == {l: sorted(t.encode() for t in texts) for l, texts in few.items()}
 
 
+def test_language_of_two_hundred_languages(spark):
+    """Every language keeps its contexts, whatever the others have, and the model is no larger than its texts."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèçñ"
+    kinds = {f"l{k:03}": [words(rng, rng.sample(letters, 9), 1) for _ in range(40)] for k in range(200)}
+    rows = [(k, " ".join(rng.choices(kinds[l], k=60)), l) for k, l in enumerate(sorted(kinds) * 7)]
+    docs = frame(spark, rows)
+    model = language.train(docs, where=F.col("doc_id") < 1200)
+    asked = [r for r in rows if r[0] >= 1200]
+    lang, score, _ = language.predict_batch(model, pa.array([t for _, t, _ in asked]))
+    assert len(model.languages) == 200 and np.mean([a == l for a, (_, _, l) in zip(lang, asked)]) > 0.99
+    held = sum(x.nbytes for o in model.orders for x in vars(o).values())
+    assert held < 64 * sum(len(t.encode()) for k, t, _ in rows if k < 1200)
+    alone = language.learn({"l000": [t.encode() for k, t, l in rows if k < 1200 and l == "l000"]})
+    data = np.frombuffer(asked[0][1].encode(), np.uint8)
+    assert np.allclose(alone.code_lengths(data, np.array([0, len(data)]))[0, 0], model.code_lengths(data, np.array([0, len(data)]))[0, 0], rtol=1e-6)
+
+
+def test_language_rejects_what_it_has_not_learned(spark):
+    """Texts of another language go, those of a learned one stay, also with numbers and a key in them."""
+    rng = random.Random(5)
+    kinds = {"aa": [words(rng, "abcdeilnorst", 1) for _ in range(300)], "bb": [words(rng, "éèçaouixyzmn", 1) for _ in range(300)]}
+    own = [(k, " ".join(rng.choices(kinds[l], k=60)), l) for k, l in enumerate(["aa", "bb"] * 60)]
+    model = language.train(frame(spark, own[:100]))
+    other = [(200 + k, words(rng, "ghjkpqvwfß", 40), "aa") for k in range(20)]
+    keys = [(300 + k, f"{t} token {rng.getrandbits(128):032x} 4761598977407687 +1 (168) 555-5254", l) for k, t, l in own[100:]]
+    short = [(400, kinds["aa"][0], "aa"), (401, "A.", "aa")]
+    kept = {r["doc_id"] for r in language.accepted(frame(spark, own + other + keys + short), model).collect()}
+    assert kept >= {r[0] for r in own + keys} and kept.isdisjoint({r[0] for r in other})
+    assert len({400, 401} & kept) >= 1
+
+
 # --- SimHash ---------------------------------------------------------------------------------
 
 
@@ -204,8 +237,7 @@ def test_language_bounds(spark):
     rows = [(k, f"alpha beta gamma {k} " * 3, "aa") for k in range(30)] + [(100 + k, "rho sigma tau " * 40 + str(k), "bb") for k in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert language.train(docs, bytes_per_language=10).languages == ["aa", "bb"]  # at least one text each
-    with pytest.raises(ValueError):
-        language.train(docs, most_languages=1)
+    assert language.train(docs, bytes_in_all=1).languages == ["aa", "bb"]
     junk = spark.createDataFrame([(1, "alpha beta gamma", "x"), (2, "qzx" * 40 + "JKWVQZ" * 30, "x"), (3, None, "x"), (4, "12", "x"), (1, "alpha beta gamma", "x")], "doc_id long, text string, lang_pred string")
     assert [r["doc_id"] for r in language.accepted(junk, language.train(docs)).collect()] == [1, 1]
     assert language.accepted(junk, None).count() == 0 and language.accepted(junk.limit(0), language.train(docs)).count() == 0

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -33,17 +34,31 @@ THRESHOLD = 0.3
 IMITATES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "ѕ": "s", "ј": "j",
+    "α": "a", "ε": "e", "ι": "i", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "κ": "k", "ν": "v", "χ": "x", "η": "n", "ı": "i", "ł": "l", "ø": "o", "đ": "d",
 }
+#: What one star may stand for.
+ANY = "abcdefghijklmnopqrstuvwxyz"
+
+
+def decomposed(c: str) -> str:
+    """The base of a character that Unicode composes of a base and marks, or calls a form of another; else itself."""
+    return unicodedata.normalize("NFKD", c)[:1].lower() or c
+
+
+#: Signs beyond ASCII that are forms of a letter or of a sign that imitates one: accents, full width, styled alphabets.
+FORMS = [c for c in map(chr, [*range(0xA0, 0x2000), *range(0x2070, 0x2190), *range(0x2460, 0x2500), *range(0xFF00, 0xFFEF), *range(0x1D400, 0x1D800)]) if decomposed(c) != c]
+IMITATES |= {c: b if b.isascii() and b.isalpha() else IMITATES[b] for c in FORMS if ((b := decomposed(c)).isascii() and b.isalpha() or b in IMITATES) and c not in IMITATES}
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in IMITATES) + "“”‘’«»…–—¿"
-SUBSTITUTED, DROPPED, KEPT_APART, REPEATED = 0.5, 0.7, 2.0, 0.3
+SUBSTITUTED, DROPPED, KEPT_APART, REPEATED, HIDDEN = 0.5, 0.7, 2.0, 0.3, 1.5
 #: At least three single characters with white space between them.
 SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 TAIL = re.compile(r"(?:!+|\${3,}|\++|\(+)$")
 RUN = re.compile(r"(.)\1\1")
 #: What the channel can change among letters.
-OPEN = re.compile(rf"(.)\1|[{''.join(c for c in IMITATES if c.isalpha())}]")
-ALIKE = re.compile(f"[{''.join(c for c in IMITATES if c.isalpha())}]")
+ALIKE = {c: x for c, x in IMITATES.items() if c.isalpha()}
+OPEN = re.compile(rf"(.)\1|[{''.join(ALIKE)}]")
+BASES = str.maketrans(ALIKE)
 REPETITION = re.compile(r"(.)\1+")
 
 
@@ -148,6 +163,8 @@ def channel(c: str, before: str) -> list[tuple[str, float]]:
         return [("", 0.1), (BREAK, KEPT_APART)]
     else:
         options += [("", DROPPED + (1.5 if c.isdigit() else 0)), (BREAK, KEPT_APART)]
+    if c == "*" != before:  # of several in a row the first only
+        options += [(x, HIDDEN) for x in ANY]
     return options + [(x, SUBSTITUTED) for x in IMITATES.get(c, "")]
 
 
@@ -203,8 +220,8 @@ def words_in(core: str, model: CharacterModel | None) -> list[str]:
 
 
 def squeezed(word: str) -> str:
-    """With every run of one letter as one letter: what dropping repetitions leaves alike."""
-    return REPETITION.sub(r"\1", word)
+    """With look-alikes as what they imitate and every run of one letter as one letter: what the channel leaves alike of letters."""
+    return REPETITION.sub(r"\1", word if word.isascii() else word.translate(BASES))
 
 
 def features(word: str) -> list[str]:
@@ -239,10 +256,10 @@ class ToxicityModel:
     def known(self, token: str) -> tuple[str, ...]:
         """The learned features in a token."""
         core = bare(token)
-        if core.isalpha() and not ALIKE.search(core):
-            # the channel can only drop repetitions here: the word begins like a feature, both squeezed, or has none
+        if core.isalpha():
+            # the channel drops repetitions and replaces look-alikes here: the word begins like a feature, both squeezed, or has none
             plain = not OPEN.search(core)
-            least = core if plain else squeezed(core)
+            least = squeezed(core)
             if least[:3] not in self.heads and least[:2] not in self.heads and least[:1] not in self.heads:
                 return ()
             if plain:
@@ -409,7 +426,7 @@ def train(docs: DataFrame, labels: DataFrame, where=None, key: str = "doc_id", t
 
 
 def scored(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of every row: 0 to 1, a null or empty text has the base rate of texts without any
+    """(key, score) of every row: 0 to 1, whole texts whatever their length; a null or empty text has the base rate of texts without any
     known feature; repeated rows give repeated results; other columns are not read."""
     frame = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -405,9 +405,9 @@ def test_toxicity_sees_through_letters_alone(spark):
     rows, labels = toxic_rows(rng, 500)
     rows = [(k, t.replace("blorpf", "zup")) for k, t in rows]
     model = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    for disguised in ("kraagnus", "vexllom", "vexlоm", "krаgnus", "z u p", "zuup"):
+    for disguised in ("kraagnus", "vexllom", "vexlоm", "krаgnus", "z u p", "zuup", "ｋｒａｇｎｕｓ", "krágnüs", "vexlοm", "𝐯exlom", "v*xlom", "kr*gnus", "кragnus", "vexl０m"):
         assert model.score(f"some text with {disguised} in it") > 0.9, disguised
-    for clean in ("some letters in a book", "x y z", "привет мир, сообщение"):
+    for clean in ("some letters in a book", "x y z", "привет мир, сообщение", "élan naïve señor * star", "**** ****", "2 * 3 * 4", "καλημέρα κόσμε"):
         assert model.score(clean) < 0.3, clean
 
 
@@ -443,7 +443,7 @@ def test_restore_is_the_best_path():
                 best = (cost, out)
         return best[1].split()
 
-    for raw in ("1d10t", "b@nd", "t0o0ad", "b a n d", "iddiot", "x-1"):
+    for raw in ("1d10t", "b@nd", "t0o0ad", "b a n d", "iddiot", "x-1", "b*nd", "tóad", "b**d"):
         assert toxicity.restore(raw, model) == all_paths(raw), raw
 
 

@@ -56,7 +56,7 @@ SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 TAIL = re.compile(r"(?:!+|\${3,}|\++|\(+)$")
 RUN = re.compile(r"(.)\1\1")
 #: What the channel can change among letters.
-ALIKE = {c: x for c, x in IMITATES.items() if c.isalpha()}
+ALIKE = {c: x for c, x in IMITATES.items() if c.isalpha() and len(x) == 1}
 OPEN = re.compile(rf"(.)\1|[{''.join(ALIKE)}]")
 BASES = str.maketrans(ALIKE)
 REPETITION = re.compile(r"(.)\1+")
@@ -235,10 +235,14 @@ class ToxicityModel:
     weights: dict[str, float]
     base: float
     held: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    heads: frozenset[str] = frozenset()
+    wholes: frozenset[str] = frozenset()
+    starts: frozenset[str] = frozenset()
+    sizes: tuple[int, ...] = ()
 
     def __post_init__(self):
-        self.heads = frozenset(squeezed(f.rstrip("-"))[:3] for f in self.weights)
+        self.wholes = frozenset(squeezed(f) for f in self.weights if not f.endswith("-"))
+        self.starts = frozenset(squeezed(f[:-1]) for f in self.weights if f.endswith("-"))
+        self.sizes = tuple(sorted({len(s) for s in self.starts}))
 
     def __getstate__(self):
         return self.__dict__ | {"held": {}}
@@ -257,13 +261,12 @@ class ToxicityModel:
         """The learned features in a token."""
         core = bare(token)
         if core.isalpha():
-            # the channel drops repetitions and replaces look-alikes here: the word begins like a feature, both squeezed, or has none
-            plain = not OPEN.search(core)
+            # the channel drops repetitions and replaces look-alikes here: the word is or begins like a feature, both squeezed, or has none
+            if not OPEN.search(core):
+                return tuple(f for f in features(core) if f in self.weights)
             least = squeezed(core)
-            if least[:3] not in self.heads and least[:2] not in self.heads and least[:1] not in self.heads:
+            if least not in self.wholes and not any(least[:n] in self.starts for n in self.sizes):
                 return ()
-            if plain:
-                return tuple(f for f in features(core) if f in self.weights)
         found = self.held.get(core)
         if found is None:
             found = tuple(f for w in words_in(core, self.letters) for f in features(w) if f in self.weights)

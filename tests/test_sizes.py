@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eigenfold.operators import parts as P
+from eigenfold.operators import singular
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +44,22 @@ def test_uncoupled_rows_keep_no_inverse(spark, tall):
     parts = P.Parts(bipartite(tall[0]), 312, parts=3)
     assert sum(len(c) for c in parts.parts.map(lambda part: part.diagonal_cells(4)[1]).collect()) <= 3
     parts.unpersist()
+
+
+@pytest.mark.parametrize("count", [1, 5, 40])
+def test_product_on_the_short_side(spark, tall, count):
+    df, a = tall
+    parts = P.Normal(df, 300, 12, parts=count)
+    x = np.random.default_rng(1).standard_normal((12, 2))
+    b = parts.vectors(spark.createDataFrame([(k, [float(c) for c in r]) for k, r in enumerate(x)], "i long, x array<double>"), 2)
+    _, total = parts.step(b, lambda part, s: s, lambda s: s["b"], lambda part, s, y: {"y": y, "x": s["b"]}, lambda part, s: s["x"].T @ s["y"])
+    assert np.allclose(total, x.T @ (a.T @ (a @ x)))
+    parts.unpersist()
+
+
+def test_values_of_a_tall_frame(spark, tall):
+    df, a = tall
+    want = np.linalg.svd(a, compute_uv=False)[:3]
+    assert np.allclose(singular.tall_svd(df, 300, 12, nsv=3).values, want, rtol=1e-8)
+    wide = df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    assert np.allclose(singular.tall_svd(wide, 12, 300, nsv=3).values, want, rtol=1e-8)

@@ -63,3 +63,11 @@ def test_values_of_a_tall_frame(spark, tall):
     assert np.allclose(singular.tall_svd(df, 300, 12, nsv=3).values, want, rtol=1e-8)
     wide = df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
     assert np.allclose(singular.tall_svd(wide, 12, 300, nsv=3).values, want, rtol=1e-8)
+
+
+@pytest.mark.parametrize("pairs,at_once", [(10**6, 10**6), (200, 30), (200, 2)])
+def test_squares_of_the_gram_matrix(spark, tall, monkeypatch, pairs, at_once):
+    monkeypatch.setattr(P, "PAIRS", pairs)
+    monkeypatch.setattr(P, "PAIRS_AT_ONCE", at_once)
+    df, a = tall
+    assert np.isclose(P.gram_squares(df, 12), ((a.T @ a) ** 2).sum(), rtol=1e-12)

@@ -158,14 +158,20 @@ def totals(frame: DataFrame, c: np.ndarray, length: int, scale: int) -> tuple[li
         )
         release()
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        s = [str(sum(map(int, column))) for column in zip(*group["s"])]
-        return pd.DataFrame({"k": group["k"].iloc[:1], "n": [int(group["n"].sum())], "s": [s], "d": [str(sum(map(int, group["d"])))]})
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple] = {}
+        for frame in frames:
+            for k, n, s, d in zip(*(frame[x].tolist() for x in ("k", "n", "s", "d"))):
+                count, total, far = held.get(k, (0, 0, 0))
+                held[k] = (count + n, total + np.array(list(map(int, s)), object), far + int(d))
+        if held:
+            count, total, far = zip(*held.values())
+            yield pd.DataFrame({"k": list(held), "n": count, "s": [list(map(str, t)) for t in total], "d": list(map(str, far))})
 
     schema = "k int, n long, s array<string>, d string"
-    parts = frame.mapInArrow(run, schema).withColumn("g", F.spark_partition_id())
-    tasks = math.isqrt(max(frame.rdd.getNumPartitions(), 1)) + 1
-    parts = parts.withColumn("g", F.pmod("g", F.lit(tasks))).groupBy("g", "k").applyInPandas(lambda g: merge(g[["k", "n", "s", "d"]]), schema)
+    groups = math.isqrt(max(frame.rdd.getNumPartitions(), 1)) + 1
+    # dealt by turns, not by a key: as many tasks as groups, since the driver's iterator runs a job for each, whatever the number of shuffle partitions
+    parts = frame.mapInArrow(run, schema).repartition(groups).mapInPandas(merge, schema)
     count, total, far = [0] * len(c), np.zeros((len(c), length), object), [0] * len(c)
     for r in parts.toLocalIterator():
         count[r["k"]] += r["n"]

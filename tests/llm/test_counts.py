@@ -55,6 +55,22 @@ def test_few_or_no_vectors(spark):
     assert [(r["cluster"], r["distance"]) for r in got] == [(0, 0), (0, 0)]
 
 
+def test_jobs_do_not_follow_the_shuffle_partitions(spark):
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = vectors(spark, [(i, [float(i), 1.0]) for i in range(30)]).repartition(3)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("centroids", "")
+        assert len(centroids.clusters(rows, length=2, k=30, rounds=3).collect()) == 30
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("centroids")) < 40  # a round read its groups by one job a partition
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_rounding_intervals_hold_and_screen():
     rng = np.random.default_rng(0)
     for size in (300, 1 << 20, centroids.PLAIN):

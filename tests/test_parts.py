@@ -181,6 +181,26 @@ def test_counts_by_ranges_and_levels(spark, hub):
         assert [got[k] for k in range(len(shifts))] == want
 
 
+def test_counts_of_entries_that_add_up(spark):
+    """Levels as functions of the row number, a Laplacian that is not summed, edges given in pieces, and entries between blocks that cancel."""
+    rng = np.random.default_rng(5)
+    tree = [(3 * k, 3 * (k // 4) + 1, float(rng.integers(1, 9))) for k in range(60) for _ in range(2)] + [(3 * (k // 4) + 1, 2, 0.75) for k in range(0, 60, 4)]
+    half = spark.createDataFrame(tree, "i long, j long, v double")
+    n = 3 * 59 + 1
+    a = np.zeros((n, n))
+    for i, j, v in tree:
+        for x, y, w in ((i, j, -v), (j, i, -v), (i, i, v), (j, j, v)):
+            a[x, y] += w
+    rows = sorted({x for t in tree for x in t[:2]})
+    w = np.linalg.eigvalsh(a[np.ix_(rows, rows)])
+    shifts = [0.31, 2.203, 7.77, 19.1]
+    stray = spark.createDataFrame([(i, j, v) for v in (1.0, -1.0) for i, j in ((0, 12), (12, 0))], "i long, j long, v double")
+    levels = [lambda i: F.when(i % 3 == 0, F.floor(i / 12)).when(i % 3 == 1, F.floor(i / 3))]
+    for about in (None, 600_000):
+        got = {r["shift"]: r["below"] for r in inertia.counts_below(src.laplacian_entries(half).unionByName(stray), shifts, levels, about).collect()}
+        assert got == {s: int((w < s).sum()) for s in shifts}
+
+
 def test_counts_beyond_the_dense_form(spark):
     """A line of 5000 points in two levels, against its closed form."""
     n = 5000

@@ -18,9 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+#: Rows of a checkpoint's file, about, where the frame's size is known.
+ROWS_A_FILE = 20_000
+
+
+def checkpointed(df: DataFrame, about: int | None = None) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, with its lineage cut.
 
+    ``about``: how many rows it has at most, or about how many; a few rows in very many shuffle partitions are then written by
+    fewer tasks, at least one a core. On a local disk each file costs the executor a process or more (Hadoop's chmod).
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset on one machine
     (``local``, as in tests) a temporary folder is used.
     """
@@ -29,6 +35,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not sc.master.startswith("local"):
             raise RuntimeError("a cluster needs a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    if about is not None:
+        df = df.coalesce(max(sc.defaultParallelism, about // ROWS_A_FILE + 1))
     return df.checkpoint()
 
 
@@ -132,17 +140,18 @@ def summed(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, about: int | None = None) -> DataFrame:
     """(node, component) of the nodes in ``edges`` (a, b): the smallest node reachable.
 
     Every round each node takes the smallest label among its neighbours' and then
     the label of that label (pointer jumping), so that a chain needs about as many rounds
     as its length has binary digits. Labels stay distributed, and each round is
-    checkpointed. Null ends are dropped; a pair of equal ends is a node.
+    checkpointed. Null ends are dropped; a pair of equal ends is a node. ``about``: how many nodes there are, if known.
     """
     pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a IS NOT NULL AND b IS NOT NULL")
-    pairs = checkpointed(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(pairs.groupBy("a").agg(F.min(F.least("a", "b")).alias("l")))
+    pairs = checkpointed(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), about)
+    labels = checkpointed(pairs.groupBy("a").agg(F.min(F.least("a", "b")).alias("l")), pairs.count())
+    nodes = labels.count()
     for _ in range(rounds):
         near = (
             pairs.join(labels.select(F.col("a").alias("b"), "l"), "b")
@@ -151,10 +160,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         # hook: the old label's node also learns of the smaller label
         hooked = near.where("m < l").groupBy(F.col("l").alias("a")).agg(F.min("m").alias("h"))
-        near = checkpointed(near.join(hooked, "a", "left").select("a", "l", F.least("m", F.coalesce("h", "m")).alias("m")))
+        near = checkpointed(near.join(hooked, "a", "left").select("a", "l", F.least("m", F.coalesce("h", "m")).alias("m")), nodes)
         jumped = checkpointed(
             near.join(near.select(F.col("a").alias("m"), F.col("m").alias("j")), "m", "left")
-            .select("a", F.least("m", F.coalesce("j", "m")).alias("l"), F.col("l").alias("was"))
+            .select("a", F.least("m", F.coalesce("j", "m")).alias("l"), F.col("l").alias("was")),
+            nodes,
         )
         labels = jumped.select("a", "l")
         if jumped.where("l < was").isEmpty():

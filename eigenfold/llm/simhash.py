@@ -171,7 +171,7 @@ def paired(keys: DataFrame, by: list[str], groups: list[list[int]], distance: in
     """Verified edges of the rows that share ``by``; crowded ones go through ``split``."""
     keys = checkpointed(keys)
     sizes = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("indexed")).where("n > 1 AND indexed")
-    sizes = checkpointed(sizes)
+    sizes = checkpointed(sizes, keys.count())
     few = keys.join(sizes.where(F.col("n") <= crowd).select(*by), by)
     own = few.where("own").select(*by, F.col("fp").alias("a"))
     near = own.join(few.select(*by, F.col("fp").alias("b")), by).where("a <> b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
@@ -195,9 +195,9 @@ def split(crowded: DataFrame, by: list[str], groups: list[list[int]], distance:
         subs = F.array(*[F.struct(F.lit(p).alias("piece"), F.col("fp").bitwiseAND(m).alias("sub")) for p, m in enumerate(masks)])
         choice = F.when(F.col("part") == k, subs).otherwise(choice)
     fine = crowded.select(*by, "fp", "own", F.explode(choice).alias("s")).select(*by, "fp", "own", "s.piece", "s.sub")
-    fine = checkpointed(fine)
+    fine = checkpointed(fine, crowded.count() * pieces)
     keys = [*by, "piece", "sub"]
-    sizes = checkpointed(fine.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("indexed")).where("n > 1 AND indexed"))
+    sizes = checkpointed(fine.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("indexed")).where("n > 1 AND indexed"), fine.count())
     few = fine.join(sizes.where(F.col("n") <= crowd).select(*keys), keys)
     near = (
         few.where("own").select(*keys, F.col("fp").alias("a"))
@@ -223,12 +223,13 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     table gives none; other columns are not read.
     """
     marks = checkpointed(fingerprints(docs, key, text, words))
-    unique = checkpointed(marks.groupBy("fp").agg(F.min(key).alias("least")))
+    unique = checkpointed(marks.groupBy("fp").agg(F.min(key).alias("least")), marks.count())
+    total = unique.count()
     edges = links(unique.select("fp"), distance)
-    found = components(edges)
+    found = components(edges, about=total)
     labelled = unique.join(found, unique.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = checkpointed(labelled.join(smallest, "label").select("fp", "component_id"))
+    classes = checkpointed(labelled.join(smallest, "label").select("fp", "component_id"), total)
     return marks.join(classes, "fp").select(key, "fp", "component_id")
 
 

@@ -347,8 +347,8 @@ def letters_of(docs: DataFrame, text: str = "text", most: int | None = None, dis
     # strings that begin with two breaks are none
     two = F.lit(ord(BREAK) << WIDE | ord(BREAK)).cast("long")
     ends = ends.where((F.col("context") != two) & (F.shiftright("context", WIDE) != two))
-    counts = checkpointed(ends.groupBy("context", "c").agg(F.sum("n").alias("n")))
-    rows = counts if most is None else most_frequent(counts, most)
+    counts = ends.groupBy("context", "c").agg(F.sum("n").alias("n"))
+    rows = counts if most is None else most_frequent(checkpointed(counts), most)
     table = rows.toArrow()
     return CharacterModel.from_arrays(*(table.column(k).to_numpy() for k in ("context", "c", "n")))
 

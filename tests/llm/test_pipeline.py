@@ -18,6 +18,27 @@ def test_components(spark):
     assert components(frame.limit(0)).count() == 0
 
 
+def test_few_rows_are_checkpointed_in_few_files(spark, monkeypatch):
+    """Near copies through all of SimHash's steps, with many shuffle partitions that Spark leaves as they are."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(60)) + f" x{k % 70}") for k in range(200)], "doc_id long, text string").coalesce(2)
+    files, plain = [], type(docs).checkpoint
+    monkeypatch.setattr(type(docs), "checkpoint", lambda self: (out := plain(self), files.append(out.rdd.getNumPartitions()))[0])
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    from .test_text import classes
+
+    rows = docs.collect()
+    assert got == classes([r["doc_id"] for r in rows], [simhash.fingerprint(r["text"]) for r in rows])
+    assert len(files) > 5 and max(files) <= spark.sparkContext.defaultParallelism
+
+
 @pytest.fixture()
 def corpus(spark, tmp_path):
     rng = random.Random(11)

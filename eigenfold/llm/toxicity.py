@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, distinct_words, fold, release, slices
+from .common import checkpointed, distinct_words, fold, release, slices, summed
 
 BREAK = "#"
 THRESHOLD = 0.3
@@ -62,15 +62,27 @@ BASES = str.maketrans(ALIKE)
 REPETITION = re.compile(r"(.)\1+")
 
 
+def numbered(values: np.ndarray) -> np.ndarray:
+    """Each value's (0 or more) place among the different ones, ascending; without sorting, unless they are few for their size."""
+    top = int(values.max()) + 1
+    if top > 4 * len(values) + (1 << 16):
+        return np.unique(values, return_inverse=True)[1].astype(np.int64)
+    seen = np.zeros(top, bool)
+    seen[values] = True
+    return (np.cumsum(seen) - 1)[values]
+
+
 def grams(words: dict[str, int]) -> tuple[list[str], np.ndarray]:
     """The four characters that end at each letter of a word, and at the break after it, with breaks before the
     word; and how often each occurs, if the words occur as often as given."""
     if not words:
         return [], np.zeros(0, np.int64)
     joined = "".join(f"{BREAK * 3}{w}{BREAK}" for w in words)
-    codes = np.unique(np.frombuffer(joined.encode("utf-32-le"), np.uint32), return_inverse=True)[1].astype(np.int64)
-    pairs = np.unique(codes[:-1] * (codes.max() + 1) + codes[1:], return_inverse=True)[1].astype(np.int64)
-    first, which = np.unique(pairs[:-2] * (pairs.max() + 1) + pairs[2:], return_index=True, return_inverse=True)[1:]
+    codes = numbered(np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64))
+    pairs = numbered(codes[:-1] * (codes.max() + 1) + codes[1:])
+    which = numbered(pairs[:-2] * (pairs.max() + 1) + pairs[2:])
+    first = np.zeros(which.max() + 1, np.int64)
+    first[which[::-1]] = np.arange(len(which))[::-1]
     # no window reaches into the next word: the last three starts of each weigh nothing
     weights = np.stack([np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(words), np.int64)], 1).ravel()
     lengths = np.stack([np.fromiter(map(len, words), np.int64, len(words)) + 1, np.full(len(words), 3)], 1).ravel()
@@ -82,6 +94,8 @@ def grams(words: dict[str, int]) -> tuple[list[str], np.ndarray]:
 
 #: Bits of a character in a packed string.
 WIDE = 21
+#: Characters, about, that are looked at together.
+BLOCK = 1 << 20
 
 
 @dataclass
@@ -224,6 +238,30 @@ def squeezed(word: str) -> str:
     return REPETITION.sub(r"\1", word if word.isascii() else word.translate(BASES))
 
 
+def heads(cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which cores are words of letters alone, and the first three characters of each core squeezed, a column a character (0: none)."""
+    lengths = np.fromiter(map(len, cores), np.int64, len(cores))
+    codes = np.frombuffer("".join(cores).encode("utf-32-le"), np.uint32)
+    out = np.zeros((len(cores), 3), np.int64)
+    if not len(codes):
+        return np.zeros(len(cores), bool), out
+    present = np.flatnonzero(np.bincount(codes))
+    letter, base = np.zeros(present[-1] + 1, bool), np.zeros(present[-1] + 1, np.uint32)
+    letter[present] = [chr(c).isalpha() for c in present.tolist()]
+    base[present] = [ord(ALIKE.get(chr(c), chr(c))) for c in present.tolist()]
+    ends = np.cumsum(lengths)
+    letters = (summed(letter[codes], np.append(0, ends)) == lengths) & (lengths > 0)
+    least = base[codes]
+    new = np.append(True, least[1:] != least[:-1])
+    new[(ends - lengths)[lengths > 0]] = True
+    until = np.append(0, np.cumsum(new))
+    least, first, last = least[new], until[ends - lengths], until[ends]
+    for k in range(3):
+        own = first + k < last
+        out[own, k] = least[first[own] + k]
+    return letters, out
+
+
 def features(word: str) -> list[str]:
     """The word and its beginnings of four to six letters."""
     return [word] + [f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n]
@@ -238,11 +276,15 @@ class ToxicityModel:
     wholes: frozenset[str] = frozenset()
     starts: frozenset[str] = frozenset()
     sizes: tuple[int, ...] = ()
+    begins: tuple[np.ndarray, ...] = ()
 
     def __post_init__(self):
         self.wholes = frozenset(squeezed(f) for f in self.weights if not f.endswith("-"))
         self.starts = frozenset(squeezed(f[:-1]) for f in self.weights if f.endswith("-"))
         self.sizes = tuple(sorted({len(s) for s in self.starts}))
+        # by number of characters, up to three, how a word of letters begins that has a feature
+        begins = [(3, f) for f in self.wholes] + [(min(3, len(s)), s) for s in self.starts]
+        self.begins = tuple(np.array(sorted({CharacterModel.packed(f[:n].ljust(n, "\0")) for m, f in begins if m == n}), np.int64) for n in (1, 2, 3))
 
     def __getstate__(self):
         return self.__dict__ | {"held": {}}
@@ -276,13 +318,30 @@ class ToxicityModel:
                 self.held[core] = found
         return found
 
+    def may_have(self, tokens: list[str]) -> np.ndarray:
+        """Which tokens may have a feature: all but the words of letters that, squeezed, begin like none."""
+        out = np.zeros(len(tokens), bool)
+        cores = list(map(bare, tokens))
+        ends = np.cumsum(np.fromiter(map(len, cores), np.int64, len(cores)))
+        cuts = np.unique(np.searchsorted(ends, np.arange(BLOCK, ends[-1] if len(ends) else 0, BLOCK), "right")).tolist()
+        for at, end in zip([0, *cuts], [*cuts, len(cores)]):
+            letters, head = heads(cores[at:end])
+            key, like = np.zeros(end - at, np.int64), np.zeros(end - at, bool)
+            for k, begins in enumerate(self.begins):
+                key = key << WIDE | head[:, k]
+                like |= np.isin(key, begins)
+            out[at:end] = ~letters | like
+        return out
+
     def found(self, texts: list[str | None]) -> list[set[str]]:
         """The learned features in each text; each different token of the texts is looked at once."""
         low = [t.lower() if t else "" for t in texts]
         parts = pc.utf8_split_whitespace(pa.array(low, pa.string()))
         place, different = distinct_words(parts.values)
-        known = [self.known(w) for w in different]
-        at = np.flatnonzero(np.fromiter(map(bool, known), bool, len(known))[place]) if known else np.zeros(0, np.int64)
+        known = {i: own for i in np.flatnonzero(self.may_have(different)).tolist() if (own := self.known(different[i]))}
+        has = np.zeros(len(different), bool)
+        has[list(known)] = True
+        at = np.flatnonzero(has[place])
         out: list[set[str]] = [set() for _ in texts]
         for i, k in zip((np.searchsorted(parts.offsets.to_numpy(), at, "right") - 1).tolist(), place[at].tolist()):
             out[i].update(known[k])

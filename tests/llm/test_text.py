@@ -517,6 +517,28 @@ def test_toxicity_learns_and_scores_as_a_plain_model():
         assert model.score(t) == pytest.approx(1 - left)
 
 
+def test_toxicity_looks_closely_at_few_words(monkeypatch):
+    """Plain words that begin like no learned feature are told apart together; the others are found as one by one."""
+    letters = toxicity.CharacterModel.of(plain_grams({"blorpf": 5, "kragnus": 3, "zup": 2, "ooze": 1}))
+    model = toxicity.ToxicityModel(letters, {"blorpf": 0.9, "blor-": 0.8, "kragnu-": 0.9, "zup": 0.7, "oo": 0.6, "aaaa-": 0.9, "gg": 0.9}, 0.1)
+    rng = random.Random(21)
+    odd = ["blorpf", "bloorpf!", "BLÓRPF", "(kragnusse)", "kragnu", "zzup", "zu", "zup+++", "oo", "o", "ooo", "aaaab", "aab", "ab", "g", "ggh", "!!!", "…", "zup…", "bl0rpf", "straße", "сообщение", "ｚｕｐ", "x" * 300, "漢字", "z\u0301up", "𝐳up"]
+    odd += [rng.choice(("", "zup", "blor", "aaaa", "oo", "gg")) + "".join(rng.choice("zupobléо0.!a") for _ in range(rng.randint(1, 6))) for _ in range(2000)]
+    plain = sorted({"".join(rng.choice("cdefhijmnqstvwxyé") for _ in range(rng.randint(1, 9))) for _ in range(3000)})
+    one = {t: set(model.known(t.lower())) for t in odd + plain}
+    assert sum(map(bool, one.values())) > 100 and not any(one[t] for t in plain)
+    looked = []
+    known = toxicity.ToxicityModel.known
+    monkeypatch.setattr(toxicity.ToxicityModel, "known", lambda self, t: (looked.append(t), known(self, t))[1])
+    for block in (7, toxicity.BLOCK):
+        monkeypatch.setattr(toxicity, "BLOCK", block, raising=False)
+        assert model.found([*odd, None, "", *plain]) == [*(one[t] for t in odd), set(), set(), *(one[t] for t in plain)]
+        assert model.found([" ".join(plain), "zup " + " ".join(plain)]) == [set(), {"zup"}]
+    looked.clear()
+    model.found(plain)
+    assert not looked
+
+
 def test_spaced_words():
     found = lambda t: [m[0] for m in toxicity.SPACED.finditer(t)]
     assert found("an i    d    i \t o    t is") == ["i    d    i \t o    t"] and found("a b c") == ["a b c"] and found("a b cd") == [] and found("x y z word") == ["x y z"]

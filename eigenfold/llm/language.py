@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, map_arrow, summed, utf8
+from .common import fold, map_arrow, slices, summed, utf8
 
 UNKNOWN = "und"
 NEWLINE = 10
@@ -229,8 +229,9 @@ def identify(docs: DataFrame, model: ContextTrees | None, key: str = "doc_id", t
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lang, score, _ = predict_batch(held.value, batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], [key, "lang_pred", "score"])
+        for part in slices(batch):  # what is worked out of a text takes many times its bytes
+            lang, score, _ = predict_batch(held.value, part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], [key, "lang_pred", "score"])
 
     return map_arrow(frame, run, schema)
 
@@ -247,8 +248,9 @@ def accepted(docs: DataFrame, model: ContextTrees | None, text: str = "text", le
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = zip(*predict_batch(held.value, batch.column(at)))
-        yield batch.filter(pa.array([k != UNKNOWN and s >= least and excess <= margin * n + slack for k, s, (excess, n) in rows], pa.bool_()))
+        for part in slices(batch):
+            rows = zip(*predict_batch(held.value, part.column(at)))
+            yield part.filter(pa.array([k != UNKNOWN and s >= least and excess <= margin * n + slack for k, s, (excess, n) in rows], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
 

@@ -366,6 +366,23 @@ def test_pieces_have_the_lattice_distribution():
     assert set(seen) <= set(every) and max(abs(seen.get(x, 0) / n - w) for x, w in zip(every, weight)) < 0.015
 
 
+def test_language_takes_few_rows_at_a_time(spark, monkeypatch):
+    """A large batch of texts is not worked on as a whole, and gives the same rows."""
+    rng = random.Random(5)
+    model = language.calibrated({k: [words(rng, alphabet, 20).encode() for _ in range(20)] for k, alphabet in (("aa", "abcdef"), ("bb", "uvwxyz"))})
+    texts = [words(rng, rng.choice(("abcdef", "uvwxyz")), rng.randint(1, 20)) for _ in range(1500)] + ["", None, "12 !"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    docs = frame(spark, [(1, "a")])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *_: list(run(iter([batch]))))
+    lang, score, _ = language.predict_batch(model, batch.column(1))
+    got = language.identify(docs, model)
+    assert max(b.num_rows for b in got) <= 512
+    table = pa.Table.from_batches(got).to_pydict()
+    assert table["doc_id"] == list(range(len(texts))) and table["lang_pred"] == lang and table["score"] == pytest.approx(score)
+    kept = language.accepted(docs, model)
+    assert max(b.num_rows for b in kept) <= 512 and {"aa", "bb"} == {lang[k] for b in kept for k in b.column(0).to_pylist()}
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------
 
 

@@ -157,6 +157,19 @@ def test_lyapunov_factor(spark, hub):
         P.lyapunov(parts, vectors(spark, b), 2, shift=-4.0)
 
 
+def test_lyapunov_residual_below_the_rounding_of_the_squared_norm(spark):
+    """Hubs of weight 4e6 and more, whose squares' rounding is more than the tolerance."""
+    hubs, leaves = 25, 10
+    n = hubs * (leaves + 1)
+    a = np.diag(np.append(4e3 * (1000 + 37 * (np.arange(hubs) * 7 % hubs)), np.full(n - hubs, 30.0)))
+    hub, leaf = np.arange(n - hubs) // leaves, np.arange(hubs, n)
+    a[hub, leaf] = a[leaf, hub] = -5 * np.sqrt(4e3)
+    df = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i long, j long, v double")
+    b = 1.0 + np.arange(n)[:, None] % 7
+    found = P.lyapunov(P.Parts(df, n, parts=1), vectors(spark, b), 1, shift=1.0, tol=1e-6).checked()
+    assert found.residual <= 1e-6 and np.isclose(found.trace, (b.T @ np.linalg.solve(a + np.eye(n), b)).item() / 2, rtol=1e-7)
+
+
 def test_contour(spark, hub):
     df, a, n = hub
     w = np.linalg.eigvalsh(a)

@@ -71,3 +71,11 @@ def test_squares_of_the_gram_matrix(spark, tall, monkeypatch, pairs, at_once):
     monkeypatch.setattr(P, "PAIRS_AT_ONCE", at_once)
     df, a = tall
     assert np.isclose(P.gram_squares(df, 12), ((a.T @ a) ** 2).sum(), rtol=1e-12)
+
+
+def test_values_at_the_edge_of_a_dense_spectrum(spark):
+    """The second and third value are 3e-4 apart, as those of a long short side are; 200 steps of a narrow basis do not part them."""
+    n = 3000
+    square = np.append(18.0, 1.01 - np.arange(n - 1) / n)
+    df = spark.createDataFrame([(k, k, float(np.sqrt(x))) for k, x in enumerate(square)], "i long, j long, v double")
+    assert np.allclose(singular.tall_svd(df, n, n, nsv=3).values, np.sqrt(square[:3]), rtol=1e-8)

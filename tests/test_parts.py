@@ -241,3 +241,48 @@ def test_misfit_vectors_are_refused(spark, rows, match):
     for use in (basis.gram, basis.norms, lambda f: basis.orthogonalised(f), lambda f: basis.multiply(f, np.eye(4)).collect()):
         with pytest.raises(Exception, match=match):
             use(df)
+
+
+def test_sides_hold_each_entry_once(spark):
+    """The products of K = [0 A'; A 0], D - K / 2 and D^-1/2 K D^-1/2 are those of the whole matrix, rows without entries and repeated places included."""
+    rng = np.random.default_rng(11)
+    rows, cols, n = 90, 14, 104
+    entries = [(int(i), int(j), float(v)) for i, j, v in zip(rng.integers(0, rows - 3, 400), rng.integers(0, cols - 1, 400), rng.integers(1, 9, 400))]
+    df = spark.createDataFrame(entries, "i long, j long, v double")
+    k = np.zeros((n, n))
+    for i, j, v in entries:
+        k[cols + i, j] += v
+        k[j, cols + i] += v
+    d = k.sum(0)
+    root = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0)
+    b = rng.standard_normal((n, 2))
+    for dress, want in ((lambda p: p, k), (lambda p: p.weighted(0.5), np.diag(d) - k / 2), (lambda p: p.normalised(), root[:, None] * k * root)):
+        parts = dress(P.Sides(df, rows, cols, parts=5))
+        assert parts.parts.map(lambda p: len(p.vals) + len(p.far_vals)).sum() == len(entries)
+        state, _ = parts.step(parts.vectors(vectors(spark, b), 2), lambda part, s: s, lambda s: s["b"], lambda part, s, y: {"y": y}, lambda part, s: np.zeros(1))
+        assert np.allclose(gathered(parts.frame(state, lambda s: s["y"]), n, 2), want @ b, atol=1e-12)
+        parts.unpersist()
+    with pytest.raises(Exception, match="entries outside"):
+        P.Sides(df, rows - 10, cols)
+
+
+def test_state_is_checkpointed_before_messages_outgrow_the_disk(spark, hub, monkeypatch):
+    df, a, n = hub
+    monkeypatch.setattr(P, "BYTES_KEPT", 1)
+    parts = P.Parts(df, n, parts=3)
+    state = parts.start(lambda part: {"b": np.ones((part.rows, 1))})
+    for _ in range(3):
+        state, _ = parts.step(state, lambda part, s: s, lambda s: s["b"], lambda part, s, y: {"b": y}, lambda part, s: np.zeros(1))
+        kept = state.isCheckpointed()
+    assert kept and np.allclose(gathered(parts.frame(state, lambda s: s["b"]), n, 1), np.linalg.matrix_power(a, 3) @ np.ones((n, 1)))
+
+
+def test_fourth_moment_in_turns(spark, monkeypatch):
+    """Runs of columns take turns where their rows would outgrow the disk."""
+    a = np.random.default_rng(12).integers(0, 3, (60, 25)).astype(float)
+    df = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i long, j long, v double")
+    monkeypatch.setattr(P, "ROUND_BYTES", 20_000)
+    monkeypatch.setattr(P, "PAIRS", 2_000)
+    sent = []
+    monkeypatch.setattr(P, "let_go", lambda spark: sent.append(1))
+    assert np.isclose(P.gram_squares(df, 25), ((a.T @ a) ** 2).sum()) and len(sent) > 2
